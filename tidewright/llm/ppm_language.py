@@ -13,12 +13,12 @@ tables, and each context that any language has seen keeps a row of code lengths.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ ORDER = 3
 SAMPLE_DOCS = 300
 #: A context seen less often than this in the whole sample is not kept.
 LEAST = 4
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 

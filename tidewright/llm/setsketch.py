@@ -212,7 +212,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     reps = filled.join(classes, (filled.doc_id == classes.rep) & (filled.digest == classes.digest), "left_semi")
     reps = written(reps.dropDuplicates(["doc_id"]), "representatives")
 
-    banded = reps.select("doc_id", "n", F.explode("keys").alias("key"))
+    # a set of n items is at best n / (n + 1) like another one; smaller sets link with equal ones only
+    linkable = 100 * F.col("n") >= percent * (F.col("n") + 1)
+    banded = reps.where(linkable).select("doc_id", "n", F.explode("keys").alias("key"))
     centre = F.struct(F.xxhash64("doc_id", "key").alias("h"), F.col("doc_id").alias("c"), F.col("n").alias("cn"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(centre).alias("centre")).where("size > 1")
     members = written(banded.join(buckets.select("key", "centre.c", "centre.cn"), "key"), "buckets")
