@@ -32,6 +32,11 @@ RATE = 20.0
 TOP = (1 << 16) - 1
 #: An estimate below the threshold by more than this (over five standard errors of 120 registers) rules a pair out.
 MARGIN = 0.22
+#: Hashes of a set that its block holds: smaller sets are whole there. MARGIN's like for such a sample.
+SAMPLE = 256
+SAMPLE_MARGIN = 0.13
+#: Members of a bucket that are compared with as many others at a time.
+BLOCK = 64
 _seeds = np.random.default_rng(7).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64)
 SALT, FACTOR = _seeds[0], _seeds[1] * np.uint64(2) + np.uint64(1)
 _lower = np.arange(256, dtype=np.uint8)
@@ -174,6 +179,62 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def block_links(p: pa.StructArray, z: pa.StructArray, percent: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs across two blocks of members (doc_id, n, comp, low), those of different
+    components that reach ``percent`` where both sets are whole in ``low``, or may do so where
+    not: of a larger set, ``low`` has the SAMPLE smallest hashes, and two such samples estimate
+    the similarity up to the smaller one's end. One certain link of a row to a component does.
+    A pair that may link counts in its first common band only, if its joint estimate allows."""
+    sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in x.field("low")] for x in (p, z)]
+    ids, n, comp = ([x.field(f).to_numpy(zero_copy_only=False) for x in (p, z)] for f in ("doc_id", "n", "comp"))
+    both = np.intersect1d(np.concatenate(sets[0]), np.concatenate(sets[1]))
+    if not len(both):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held = []
+    for side in sets:
+        flat, owner = np.concatenate(side), np.repeat(np.arange(len(side)), [len(s) for s in side])
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        here = both[at] == flat
+        m = np.zeros((len(side), len(both)), np.float32)
+        m[owner[here], at[here]] = 1
+        held.append(m)
+    common = np.rint(held[0] @ held[1].T)
+    whole = [np.array([len(s) for s in side]) == k for side, k in zip(sets, n, strict=True)]
+    ends = [np.where(w, np.uint64(2**64 - 1), np.array([s[-1] for s in side], np.uint64)) for side, w in zip(sets, whole, strict=True)]
+    u = np.array([np.searchsorted(s, ends[1], "right") for s in sets[0]]) + np.array([np.searchsorted(s, ends[0], "right") for s in sets[1]]).T - common
+    certain = whole[0][:, None] & whole[1][None]
+    may = (comp[0][:, None] != comp[1][None]) & (100 * common >= np.where(certain, percent, percent - 100 * SAMPLE_MARGIN) * u)
+    may &= 100 * np.minimum(n[0][:, None], n[1][None]) >= percent * np.maximum(n[0][:, None], n[1][None])
+    i, j = np.nonzero(may)
+    regs = [np.frombuffer(b"".join(x.field("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in (p, z)]
+    x, y = regs[0][i], regs[1][j]
+    first = (x == y).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+    i, j, x, y = i[first], j[first], x[first], y[first]
+    sure = certain[i, j]
+    if not sure.all():
+        fine = sure | (joint_estimate(x, y, n[0][i].astype(float), n[1][j].astype(float)) >= percent / 100 - MARGIN)
+        i, j, sure = i[fine], j[fine], sure[fine]
+    _, first = np.unique(np.stack((i[sure], comp[1][j[sure]])), axis=1, return_index=True)
+    chosen = np.concatenate((np.flatnonzero(~sure), np.flatnonzero(sure)[first]))
+    x, y = ids[0][i[chosen]], ids[1][j[chosen]]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def across_blocks(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that ``block_links`` finds between the rest and all members of each bucket.
+    Buckets are dealt into blocks of about BLOCK members; a row is a pair of blocks."""
+    every = apart.groupBy("key", "block").agg(F.collect_list("x").alias("z")).drop("block")
+    rest = apart.where("rest").groupBy("band", "key", "block").agg(F.collect_list("x").alias("p")).drop("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [block_links(p.values, z.values, percent, band.as_py()) for p, z, band in zip(*batch.columns, strict=True)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rest.join(every, "key").select("p", "z", "band").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of edges (a, b) with the smallest id as root; nodes
     without an edge, and roots, are not listed.
@@ -214,7 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     # a set of n items is at best n / (n + 1) like another one; smaller sets link with equal ones only
     linkable = 100 * F.col("n") >= percent * (F.col("n") + 1)
-    banded = reps.where(linkable).select("doc_id", "n", F.explode("keys").alias("key"))
+    banded = reps.where(linkable).select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
     centre = F.struct(F.xxhash64("doc_id", "key").alias("h"), F.col("doc_id").alias("c"), F.col("n").alias("cn"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(centre).alias("centre")).where("size > 1")
     members = written(banded.join(buckets.select("key", "centre.c", "centre.cn"), "key"), "buckets")
@@ -230,19 +291,17 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     roots = components(found)
 
     # members of a bucket that are still apart: those outside its largest component against all others
-    placed = members.select("key", "doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = written(placed.select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("comp")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    shares = placed.join(mixed, "key", "left_semi").groupBy("key", "comp").agg(F.count("*").alias("k"))
-    main = shares.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    apart = written(placed.join(main, "key"), "apart")
-    rest = apart.where("comp <> main").select("key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-    second = rest.join(apart, "key").where(
-        (F.col("pc") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("p") < F.col("doc_id"))) & fits(F.col("pn"), F.col("n"))
-    )
-    second = second.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
-    second = second.join(stars, ["a", "b"], "left_anti")
-    more = written(verified(likely(second, reps, percent / 100), sets, percent), "links")
+    placed = members.select("band", "key", "doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = written(placed.select("band", "key", "doc_id", "n", F.coalesce("root", "doc_id").alias("comp")), "placed")
+    shares = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    mixed = shares.groupBy("key").agg(F.sum("k").alias("total"), F.max(F.struct("k", "comp")).alias("m"))
+    mixed = mixed.where(F.col("total") > F.col("m.k")).select("key", "total", F.col("m.comp").alias("main"))
+    low = sets.select("doc_id", F.substring("items", 1, 8 * SAMPLE).alias("low"))
+    apart = placed.join(mixed, "key").join(low, "doc_id").join(reps.select("doc_id", "regs"), "doc_id")
+    block = F.pmod(F.xxhash64("doc_id", "key"), F.ceil(F.col("total") / BLOCK))
+    apart = written(apart.select("band", "key", block.alias("block"), F.struct("doc_id", "n", "comp", "low", "regs").alias("x"), (F.col("comp") != F.col("main")).alias("rest")), "apart")
+    second = written(across_blocks(apart, percent).distinct(), "second").join(stars, ["a", "b"], "left_anti")
+    more = written(verified(second, sets, percent), "links")
     if not more.isEmpty():
         roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
