@@ -524,7 +524,7 @@ QUERIES |= {
     "analysis_hermite": analysed("hermite", dict_params={"max_deg": 2}),
     "analysis_rbf": analysed("rbf", dict_params={"n_rbf": 8}),
     "analysis_rff": analysed("rff", dict_params={"D": 20, "include_states": True}),
-    "analysis_kernel": analysed("kernel", dict_params={"sigma": 2.0, "n_subsample": 100}),
+    "analysis_kernel": analysed("kernel", dict_params={"sigma": 2.0, "n_subsample": 40}),
     "analysis_havok": analysed("havok", dict_params={}),
 }
 
