@@ -121,7 +121,9 @@ def predict_delay_edmd(states: DataFrame, k: np.ndarray, b_full: np.ndarray, u:
 
 
 def predict_kernel(states: DataFrame, fit, u: np.ndarray, starts: Sequence[int], n_pred: int) -> DataFrame:
-    """The same with the kernel vector as features; ``fit`` is a KernelFit on U's."""
+    """The same with the kernel vector as features; ``fit`` is a KernelFit on U's. Its operator is
+    (K_xx + alpha I)^-1 K_xy and acts transposed, as every other fit's does; with these Gram
+    matrices that moves a state against time."""
 
     def move(s: np.ndarray) -> np.ndarray:
         x = s @ u

@@ -88,7 +88,8 @@ def mutual_information(df: DataFrame, lags: Sequence[int], by: Sequence[str] = (
     cells = limits.select(*by, F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"))
     if pairs is None:
         return cells.select(*by, "lag", F.when(F.col("lag") == 0, F.lit(float("nan"))).otherwise(0.0).alias("mi"))
-    pairs = pairs.select(*by, "now", "l.lag", "l.later").where(F.col("later").isNotNull()).join(limits, list(by))
+    pairs = pairs.select(*by, "now", "l.lag", "l.later").where(F.col("later").isNotNull())
+    pairs = pairs.join(limits, list(by)) if by else pairs.crossJoin(F.broadcast(limits))  # one row
     width = (F.col("_hi") - F.col("_lo")) / n_bins
     box = lambda v: F.least(F.lit(n_bins), F.floor((v - F.col("_lo")) / width) + 1).cast("int")
     counts = pairs.where("_hi > _lo").groupBy(*by, "lag", box(F.col("now")).alias("a"), box(F.col("later")).alias("b")).agg(F.count("*").alias("n"))
