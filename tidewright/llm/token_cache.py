@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import shared_dir, small_batches
+from tidewright.llm.common import shared_dir, small_batches, written
 
 LIMIT = 2048
 CACHE_DDL = "digest binary, version string, n_tokens long"
@@ -38,8 +38,9 @@ def version_digest(path: str) -> str:
 
 
 def content_digest(text: Column) -> Column:
-    """SHA-256 of the text with each run of ASCII white space as one space, as 32 bytes."""
-    return F.unhex(F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), 256))
+    """SHA-256 of the text with each run of ASCII white space as one space, as 32 bytes. A single
+    space is such a run already and is not touched."""
+    return F.unhex(F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "), 256))
 
 
 def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
@@ -85,12 +86,11 @@ def token_counts(docs: DataFrame, path: str | None = None, cache: str | None = N
     cache = cache or shared_dir(spark, "token-counts")
     version = version_digest(path)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # one row of each distinct content stands for it; its own key finds its text again
-    key = F.xxhash64("doc_id", "text")
-    keyed = rows.select("doc_id", key.alias("row"), content_digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
-    distinct = keyed.groupBy("digest").agg(F.min("row").alias("row"))
-    missed = distinct.join(cached_counts(spark, cache, version), "digest", "left_anti")
-    texts = rows.select(key.alias("row"), "text").join(missed, "row").select("digest", "text").dropDuplicates(["digest"])
+    digest = content_digest(F.col("text"))
+    keyed = written(rows.select("doc_id", digest.alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
+    # copies meet in the map tasks first, then each distinct text is shuffled once
+    distinct = rows.select(digest.alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
+    texts = distinct.join(cached_counts(spark, cache, version), "digest", "left_anti").select("digest", "text")
     encoded_counts(texts, path).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     counts = cached_counts(spark, cache, version)
     out = keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
