@@ -11,15 +11,18 @@ counts as one space.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import shared_dir, small_batches, written
+from tidewright.llm.common import SPACES, shared_dir, small_batches, text_bytes, written
 
 LIMIT = 2048
+#: Words whose counts a task keeps.
+WORDS = 1 << 19
 CACHE_DDL = "digest binary, version string, n_tokens long"
 
 
@@ -55,8 +58,24 @@ def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def words_stand_alone(path: str) -> bool:
+    """Whether the tokenizer's file makes the tokens of a text those of its words one after the
+    other: white space is dropped, and no rule reaches across it."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    rules = json.dumps([file.get("normalizer"), file.get("pre_tokenizer")])
+    plain = not any(x["lstrip"] or x["rstrip"] or x["normalized"] or set(x["content"]) & set(SPACES) for x in file.get("added_tokens", []))
+    dropped = '"pattern": {"Regex": "\\\\s+"}, "content": " "' in rules and '"behavior": "Removed", "invert": true' in rules
+    return plain and dropped and not file["model"].get("ignore_merges")
+
+
 def encoded_counts(texts: DataFrame, path: str) -> DataFrame:
-    """(digest, n_tokens) of (digest, text) rows by the tokenizers library."""
+    """(digest, n_tokens) of (digest, text) rows by the tokenizers library.
+
+    Where words stand alone, each distinct word of a task is encoded once and its count kept
+    (up to WORDS of them); else whole texts are.
+    """
+    by_word = words_stand_alone(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -67,8 +86,18 @@ def encoded_counts(texts: DataFrame, path: str) -> DataFrame:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
+        lengths = lambda x: [len(e) for e in t.encode_batch_fast(x, add_special_tokens=False)]
+        kept: dict[bytes, int] = {}
         for batch in (s for x in batches for s in small_batches(x, 64)):
-            n = [len(e) for e in t.encode_batch_fast(batch.column(1).to_pylist(), add_special_tokens=False)]
+            if by_word:
+                words = [x.split() for x in text_bytes(batch.column(1))]  # at ASCII white space
+                if len(kept) > WORDS:
+                    kept.clear()
+                new = list({w for x in words for w in x if w not in kept})
+                kept.update(zip(new, lengths([w.decode() for w in new]), strict=True))
+                n = [sum(map(kept.__getitem__, x)) for x in words]
+            else:
+                n = lengths(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
     return texts.mapInArrow(run, "digest binary, n_tokens long")
