@@ -80,6 +80,8 @@ def fit_ppm(rows: list[tuple[int, str, str]], order: int = ORDER, least: int = L
             seen += np.bincount(c[ok] * width + d[ok], minlength=contexts * width).reshape(contexts, width)
         seen[:, width - 1] = 0
         kept = seen >= least
+        if not kept.any():
+            break  # no context of this length was seen often enough
         table = np.full((contexts, width), -1, np.int32)
         table[kept] = np.arange(int(kept.sum()))
         child.append(table)
