@@ -110,10 +110,14 @@ def fit_ngram(rows: list[tuple[int, str, int]], passes: int = 60, rate: float =
     for a, b, doc, slot in hashed_features(texts):
         key, count = np.unique(doc * (1 << BITS) + slot, return_counts=True)
         d = key >> BITS
-        docs.append(d + a)
-        slots.append(key & ((1 << BITS) - 1))
+        docs.append((d + a).astype(np.int32))
+        slots.append((key & ((1 << BITS) - 1)).astype(np.int32))
         values.append(count / np.bincount(doc, minlength=b - a)[d])
-    d, s, v = (np.concatenate(x) if x else np.zeros(0, int) for x in (docs, slots, values))
+    flat = []
+    for parts in (docs, slots, values):
+        flat.append(np.concatenate(parts) if parts else np.zeros(0, int))
+        parts.clear()  # never all of it twice
+    d, s, v = flat
     seen = (place % 3 != 2) | (len(rows) < 12)
     own = np.where(seen, np.where(labels == 1, 1 / max(1, (labels[seen] == 1).sum()), 1 / max(1, (labels[seen] == 0).sum())), 0)
     w, bias = np.zeros(1 << BITS), 0.0
