@@ -38,6 +38,7 @@ HINTS = frozenset(
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _HEAD = re.compile(r"<head(?=[\s>])[^>]*>(?:(?!</head|<body).)*", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.S)
+_CUT = re.compile(r"<[/!?a-zA-Z][^<]*\Z")
 _NAME = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -114,8 +115,8 @@ def blocks_of(page: str) -> list[Block]:
                     stack.pop()
                 label = re.search(r"data-keep=\"(\w)\"", m[3])
                 stack.append((tag, hinted(m[3]), label[1] if label else ""))
-    if at < len(page):
-        texts.append(page[at:])
+    if at < len(page):  # a page may be cut off within a tag
+        texts.append(_CUT.sub("", page[at:]))
     close()
     return out
 
@@ -129,7 +130,6 @@ def featured(blocks: list[Block]) -> np.ndarray:
     own = np.array([[b.words, b.link_words / b.words] for b in blocks], float).reshape(n, 2)
     edge = np.zeros((1, 2))
     before, after = np.vstack((edge, own[:-1])), np.vstack((own[1:], edge))
-    marks = np.array([[b.region, b.hint, b.article, b.heading, any(x.article for x in blocks)] for b in blocks[:1]], float)
     marks = np.array([[b.region, b.hint, b.article, b.heading, 0] for b in blocks], float).reshape(n, 5)
     marks[:, 4] = marks[:, 2].any()
     return np.hstack((own, before, after, marks))
@@ -171,6 +171,27 @@ LABELLED = (
     <div class="legal" data-keep="0">Prices include tax; see the terms for returns, delivery times and the warranty on used goods.</div></body>""",
     """<body><article data-keep="1"><h1>A list of links</h1><p>Sources for the text:</p><p><a>The parish book of 1830</a></p><p><a>Letters from the mill</a></p></article>
     <article data-keep="1"><p>One</p><p>Two words</p><blockquote>The wheel turns.</blockquote></article><p data-keep="0">Loading</p><div class="popup" data-keep="0">Stay</div></body>""",
+    """<body><div class="ad" data-keep="0">This month only, order two chairs from the oak range and get a third at half its price, with free delivery to every house on the coast and the islands.</div>
+    <article data-keep="1"><h1>Snow on the pass</h1><p>Snow closed the pass for three days in May, which had not been seen since the road was built and the inn at the top was opened.</p><p>It is open again.</p></article>
+    <div class="comments" data-keep="0"><p>I drove up there on the first day and had to turn back at the second bend, so thank you for this report, which I would have liked to read before I left home.</p>
+    <p>We sat in the inn for two nights, and the soup was very good; the owner told us stories about the winter of his youth, when snow lay until the middle of June.</p></div>
+    <aside data-keep="0"><p>About this page: it has told of the mountains, their roads and their weather since the year in which the first phone line reached the upper villages.</p></aside>
+    <div data-keep="0"><p>Our other pages tell you what is on in the towns of the region this week, from the market on Monday to the dance in the old hall on Sunday evening.</p></div>
+    <footer data-keep="0"><p>All texts and pictures belong to their makers and may not be copied without their leave, except for short parts that are quoted with the name of the source.</p></footer></body>""",
+    """<body><nav data-keep="0"><p>Here you find all parts of our page, in the order in which most readers ask for them: roads, weather, huts, maps, guides, trains, buses and the lake.</p></nav>
+    <div class="banner" data-keep="0"><p>We and our partners store small files on your machine to learn how you use these pages and to show you what you may like, unless you tell us not to.</p></div>
+    <h1 data-keep="1">A night in the hut</h1><div data-keep="1"><p>The hut stands on a ledge over the glacier, and whoever reaches it before dark is given tea, a blanket and a place near the stove.</p><p>In the night the wind turned.</p>
+    <p>By morning the tracks were gone, and the guide, who had slept badly, chose the long way round by the lake and the lower bridge.</p></div>
+    <form data-keep="0"><p>Tell us what you think of this text in a few lines, and leave an address at which we can reach you if the editors have a question about it.</p></form>
+    <div class="sidebar" data-keep="0"><p>The guides of the valley meet each Friday at eight in the back room of the post office, where guests who want to join a tour can ask them for their price.</p></div>
+    <section id="reader-comments" data-keep="0"><p>A fine text, but the hut is older than you say: my grandfather carried the beams for it in the year before the railway came, and he was not a young man then.</p></section></body>""",
+    """<body><ul data-keep="0"><li><a>Roads</a></li><li><a>Huts and beds for the night</a></li></ul><h1 data-keep="1">The ferry</h1><div data-keep="1">
+    <p>For sixty years the ferry was the only way over the sound, and those who missed the last one at nine slept in the boat house on straw, or rowed themselves if the moon was up and the current was weak enough for two to hold the boat on course.</p>
+    <p>Then came the bridge.</p><p>It took four years to build, cost twice what had been said at the start, and on the day of its opening half of the island walked over it and back before the first car was let on, which the mayor still calls the best hour of her life.</p><p>No bell now.</p>
+    <h2>What is left</h2><p>The boat house is a museum, open from May to October, where the engine of the last ferry is started each Sunday at noon by the men who once oiled it, and children may pull the cord of the horn as often as they like until their parents have had enough.</p></div>
+    <p data-keep="0"><a>Back to the list of all the texts about the islands</a></p><p data-keep="0"><a>Top</a></p></body>""",
+    """<body><p data-keep="1">Bees find their way home by the sun, by the lie of the land and, on the last few yards, by smell.</p></body>""",
+    """<body><div data-keep="1"><h2>Tides</h2><p>The sea rises twice a day on most coasts and once on a few.</p><p>Sailors knew it long before anyone could say why, and set out with the ebb.</p></div></body>""",
 )
 
 
