@@ -201,6 +201,21 @@ def plain_components(rows, size, percent):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
+def test_counts_of_other_tokenizers(spark):
+    """White space counts where the tokenizer's file doesn't drop it."""
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    texts = ["two  spaces", "two spaces", "a\n\n\nb", "a b", "", None, " x ", "x"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    piece = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = {"byte_bpe_50k.json": lambda x: len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(x, add_special_tokens=False)), "piece_bpe_32k.model": lambda x: len(piece.encode(x))}
+    for name, count in plain.items():
+        got = {r.doc_id: r.n_tokens for r in token_cache.token_counts(d, public_tokenizers.path(name)).collect()}
+        assert got == {i: count(t or "") for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("words", [60, 700])
 def test_near_copies_of_a_large_group(spark, words):
     """A group whose members are about as alike as the threshold, some of them with no partner."""
@@ -250,8 +265,12 @@ def test_targets_share_the_excess(spark):
     assert t["b"] == 30 and t["c"] == 270 and np.isclose(t["a"], 700)
 
 
+WORDY = "a line of many words that says little and goes on for longer than the short ones do " * 3 + "end."
 PAGES = [
-    ("<p>Hello &amp; good&nbsp;bye</p><nav><a>Home</a></nav>", None),
+    ("<p>Hello &amp; good&nbsp;bye</p><nav><a>Home</a></nav>", "Hello & good bye"),
+    (f"<div class=ad>{WORDY}</div><article><p>One.</p></article><div><p>{WORDY}</p></div><aside>{WORDY}</aside>", "One."),
+    (f"<div><h1>T</h1><p>{WORDY}</p><p>Short.</p></div><ul><li><a>{WORDY}</a></li></ul><div id='comments'><p>{WORDY}</p></div><form>{WORDY}</form>", f"T\n\n{WORDY}\n\nShort."),
+    ("<article><p>a < b</p><p>cut off</p", "a < b\n\ncut off"),
     ("<article><h1>Title</h1><p>One  two\n three.</p><script>x</script><style>p</style><!-- c --><p>Four.</p></article><footer>Legal</footer>", "Title\n\nOne two three.\n\nFour."),
     (None, ""), ("", ""), ("<div class='ad'>Buy</div>", ""), ("<article><p>a<br>b<p>c</article><div class='comments'>me too, thanks a lot for this</div>", "a b\n\nc"),
 ]
@@ -263,7 +282,7 @@ def test_pages(spark):
     out = {r.page_id: r for r in html_blocks.extract(d).collect()}
     for i, (_, want) in enumerate(PAGES):
         assert out[i].n_chars == len(out[i].text)
-        assert want is None or out[i].text == want
+        assert out[i].text == want
     assert html_blocks.extract(d.limit(0)).count() == 0
 
 

@@ -4,15 +4,16 @@ The digest of a text's normalised content, with that of the tokenizer's version,
 of a stored count. Texts are joined to the stored counts by it; only distinct texts that
 miss are encoded, and their counts are appended to the cache.
 
-Normalising only does what the tokenizer does first itself: a run of ASCII white space
-counts as one space.
+Normalising only does what the tokenizer does first itself: where its file makes the tokens
+of a text those of its words, a run of ASCII white space counts as one space; elsewhere the
+text is taken as it is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,16 +35,18 @@ def default_path() -> str:
 
 def version_digest(path: str) -> str:
     """Digest of the tokenizer's file and its library's version."""
-    import tokenizers
+    import importlib
 
+    library = importlib.import_module("sentencepiece" if path.endswith(".model") else "tokenizers")
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
+        return hashlib.sha256(f.read() + library.__version__.encode()).hexdigest()
 
 
-def content_digest(text: Column) -> Column:
-    """SHA-256 of the text with each run of ASCII white space as one space, as 32 bytes. A single
-    space is such a run already and is not touched."""
-    return F.unhex(F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "), 256))
+def content_digest(text: Column, by_word: bool = True) -> Column:
+    """SHA-256 of the text, where words stand alone with each run of ASCII white space as one
+    space, as 32 bytes. A single space is such a run already and is not touched."""
+    normal = F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ") if by_word else text
+    return F.unhex(F.sha2(normal, 256))
 
 
 def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
@@ -61,6 +64,8 @@ def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
 def words_stand_alone(path: str) -> bool:
     """Whether the tokenizer's file makes the tokens of a text those of its words one after the
     other: white space is dropped, and no rule reaches across it."""
+    if not path.endswith(".json"):
+        return False
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     rules = json.dumps([file.get("normalizer"), file.get("pre_tokenizer")])
@@ -69,8 +74,26 @@ def words_stand_alone(path: str) -> bool:
     return plain and dropped and not file["model"].get("ignore_merges")
 
 
+def counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Numbers of tokens by the library of the file: sentencepiece for .model, else tokenizers."""
+    if path.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        return lambda x: [len(e) for e in model.encode(x, num_threads=1)]
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return lambda x: [len(e) for e in t.encode_batch_fast(x, add_special_tokens=False)]
+
+
 def encoded_counts(texts: DataFrame, path: str) -> DataFrame:
-    """(digest, n_tokens) of (digest, text) rows by the tokenizers library.
+    """(digest, n_tokens) of (digest, text) rows by the tokenizer's library.
 
     Where words stand alone, each distinct word of a task is encoded once and its count kept
     (up to WORDS of them); else whole texts are.
@@ -78,15 +101,7 @@ def encoded_counts(texts: DataFrame, path: str) -> DataFrame:
     by_word = words_stand_alone(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        lengths = lambda x: [len(e) for e in t.encode_batch_fast(x, add_special_tokens=False)]
+        lengths = counter(path)
         kept: dict[bytes, int] = {}
         for batch in (s for x in batches for s in small_batches(x, 64)):
             if by_word:
@@ -115,7 +130,7 @@ def token_counts(docs: DataFrame, path: str | None = None, cache: str | None = N
     cache = cache or shared_dir(spark, "token-counts")
     version = version_digest(path)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    digest = content_digest(F.col("text"))
+    digest = content_digest(F.col("text"), words_stand_alone(path))
     keyed = written(rows.select("doc_id", digest.alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
     # copies meet in the map tasks first, then each distinct text is shuffled once
     distinct = rows.select(digest.alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
