@@ -29,15 +29,16 @@ def powers_table(spark, first: np.ndarray, step: np.ndarray, n_pred: int) -> Dat
     return spark.createDataFrame(rows, "step int, dim int, row array<double>")
 
 
-def linear_rollout(states: DataFrame, starts: Sequence[int], first: np.ndarray, step: np.ndarray, n_pred: int, truth: str = "x", state: str = "psi", true_start: bool = False) -> DataFrame:
+def linear_rollout(states: DataFrame, starts: Sequence[int] | None, first: np.ndarray, step: np.ndarray, n_pred: int, truth: str = "x", state: str = "psi", true_start: bool = False) -> DataFrame:
     """States (t, state, truth array): predictions from each start, beside the truth ``step`` rows
-    later. ``true_start``: step 0 is the truth itself. Starts too near the end are refused."""
+    later. ``true_start``: step 0 is the truth itself. Starts too near the end are refused; None
+    starts from every row that has ``n_pred`` rows after it."""
     spark = states.sparkSession
     last = states.agg(F.max("t")).first()[0] or 0
     if starts and max(starts) + n_pred > last:
         raise ValueError("a start is too near the end")
     rows = powers_table(spark, first, step, n_pred)
-    chosen = states.where(F.col("t").isin(list(map(int, starts)))).select(F.col("t").alias("start_idx"), F.col(state).alias("_s"))
+    chosen = states.where(F.col("t") <= last - n_pred if starts is None else F.col("t").isin(list(map(int, starts)))).select(F.col("t").alias("start_idx"), F.col(state).alias("_s"))
     out = chosen.crossJoin(F.broadcast(rows)).select("start_idx", "step", "dim", dot(F.col("row"), F.col("_s")).alias("x_pred"), (F.col("start_idx") + F.col("step")).alias("t"))
     true = states.select("t", F.posexplode(truth).alias("_d", "x_true")).select("t", (F.col("_d") + 1).alias("dim"), "x_true")
     true = true.where(F.col("dim") <= len(first))
@@ -46,19 +47,19 @@ def linear_rollout(states: DataFrame, starts: Sequence[int], first: np.ndarray,
     return out.select("start_idx", "step", F.col("dim").cast("int").alias("dim"), "x_true", pred.alias("x_pred"))
 
 
-def predict_from_psi(states: DataFrame, k: np.ndarray, b: np.ndarray, starts: Sequence[int], n_pred: int) -> DataFrame:
+def predict_from_psi(states: DataFrame, k: np.ndarray, b: np.ndarray, starts: Sequence[int] | None, n_pred: int) -> DataFrame:
     """Delay vectors with features (t, s, psi): the observable (B psi)[1], step 0 reconstructed."""
     return linear_rollout(states, starts, b[:1], k.T, n_pred, "s", "psi")
 
 
-def predict_delay_space(states: DataFrame, k: np.ndarray, starts: Sequence[int], n_pred: int) -> DataFrame:
+def predict_delay_space(states: DataFrame, k: np.ndarray, starts: Sequence[int] | None, n_pred: int) -> DataFrame:
     """s <- K s on (t, s); step 0 is the truth."""
     first = np.zeros((1, len(k)))
     first[0, 0] = 1
     return linear_rollout(states, starts, first, k, n_pred, "s", "s", True)
 
 
-def predict_states_from_psi(states: DataFrame, k: np.ndarray, b: np.ndarray, starts: Sequence[int], n_pred: int) -> DataFrame:
+def predict_states_from_psi(states: DataFrame, k: np.ndarray, b: np.ndarray, starts: Sequence[int] | None, n_pred: int) -> DataFrame:
     """All coordinates of (t, x, psi), lifted once; step 0 is B psi."""
     return linear_rollout(states, starts, b, k.T, n_pred, "x", "psi")
 

@@ -51,9 +51,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.numbered(e, ["event_type"], "ts", "event_id")
 
 
+def one_series(spark, sf_dir):
+    """(t, value): all events as one series in order of time, scaled by a number that leaves no
+    decimal ties to round."""
+    e = read(spark, sf_dir, "events").select("event_id", "ts", (F.col("value") / 97.0).alias("value"))
+    return embedding.numbered(e, [], "ts", "event_id").select("t", "value")
+
+
 SERIES = """s AS (SELECT event_type, value, user_id::DOUBLE AS user_id,
   row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS t FROM events)"""
 
+ONE_SERIES = "e AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS t, value / 97.0::DOUBLE AS v FROM events)"
+
 BY = ["event_type"]
 
 
@@ -157,10 +166,11 @@ def first_minimum(spark, sf_dir):
     return stats.find_first_minimum(curve, BY, "lag", "mi").select("event_type", F.col("i").cast("int").alias("i"))
 
 
-@query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings ORDER BY vec_id LIMIT 1000)
+@query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
 SELECT round(median(list_distance(a.x, b.x)), 5) + 0.0::DOUBLE AS sigma FROM p a JOIN p b ON a.vec_id < b.vec_id""")
 def median_sigma(spark, sf_dir):
-    points = read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1000).select(F.col("vec_id").alias("t"), F.col("embedding").alias("x"))
+    # the operator samples where there are over SIGMA_POINTS rows; up to that it is exact and equals the SQL
+    points = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.col("embedding").alias("x"))
     return spark.createDataFrame([(stats.median_sigma(points),)], "sigma double").select(rounded("sigma", 5).alias("sigma"))
 
 
@@ -197,18 +207,14 @@ def data_limits(spark, sf_dir):
     return stats.padded_limits(x).select("dim", rounded("low", 4).alias("low"), rounded("high", 4).alias("high"))
 
 
-@query("""WITH e AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS t, value FROM events WHERE user_id = (SELECT min(user_id) FROM events)),
-p AS (SELECT t, value AS a, lead(value) OVER (ORDER BY t) AS b, lead(value, 2) OVER (ORDER BY t) AS c FROM e),
+@query(f"""WITH {ONE_SERIES},
+p AS (SELECT t, v AS a, lead(v) OVER (ORDER BY t) AS b, lead(v, 2) OVER (ORDER BY t) AS c FROM e),
 q AS (SELECT * FROM p WHERE c IS NOT NULL),
 n AS (SELECT x.t, arg_min(struct_pack(c := y.c, d := sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2)), (sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2), y.t)) AS m, any_value(x.c) AS c
   FROM q x JOIN q y ON x.t <> y.t GROUP BY x.t)
 SELECT round(avg(CASE WHEN abs(c - m.c) / m.d > 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS fraction FROM n WHERE m.d >= 1e-12::DOUBLE""")
 def fnn_fraction(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    first = e.agg(F.min("user_id").alias("_u"))
-    own = e.join(F.broadcast(first), F.col("user_id") == F.col("_u")).select("user_id", "ts", "event_id", "value")  # one row
-    series = embedding.numbered(own, ["user_id"], "ts", "event_id").select("t", "value")
-    return spark.createDataFrame([(diagnostics.false_nearest_neighbours(series, 2, 1),)], "fraction double").select(F.round("fraction", 6).alias("fraction"))
+    return spark.createDataFrame([(diagnostics.false_nearest_neighbours(one_series(spark, sf_dir), 2, 1),)], "fraction double").select(F.round("fraction", 6).alias("fraction"))
 
 
 # --- dictionaries -------------------------------------------------------------------------
@@ -323,31 +329,31 @@ def edmd_ridge_3x3(spark, sf_dir):
     return fit.grouped_ridge(lifted_events(spark, sf_dir), BY, 3, 1e-3).select("event_type", "i", "j", rounded("value", 5).alias("value"))
 
 
-CLICKS = LIFTED.replace("FROM w WHERE", "FROM w WHERE event_type = (SELECT min(event_type) FROM events) AND")
-
-
-def first_type(df):
-    return df.join(F.broadcast(df.agg(F.min("event_type").alias("_e"))), F.col("event_type") == F.col("_e")).drop("_e")  # one row
-
-
-@query(f"""WITH {CLICKS}, m AS (SELECT {', '.join(f"sum(a{i} * a{j}){' + 1e-6::DOUBLE' if i == j else ''} AS g{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))},
+@query(f"""WITH {LIFTED}, m AS (SELECT {', '.join(f"sum(a{i} * a{j}){' + 1e-6::DOUBLE' if i == j else ''} AS g{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))},
   {', '.join(f"sum(a{i} * a{j + 1}) AS h{i}{j}" for i in (1, 2, 3) for j in (1, 2))} FROM p)
 {' UNION ALL '.join(f"SELECT {j}::INT AS i, {i + 1}::INT AS j, round({e} / {DET}, 4) + 0.0::DOUBLE AS value FROM m" for j in (1, 2) for i, e in enumerate(cramer(str(j))))}""")
 def projection_operator(spark, sf_dir):
-    p = first_type(lifted_events(spark, sf_dir))
+    p = lifted_events(spark, sf_dir)
     b = fit.fit_projection(p, "x", "psi_x", 1e-6)
     from tidewright.functions.vectors import matrix_table
 
     return matrix_table(spark, b).select("i", "j", rounded("value", 4).alias("value"))
 
 
-@query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id < 40)
-SELECT a.vec_id AS i, b.vec_id AS j, round(exp(-(list_distance(a.x, b.x) ** 2) / 2.0::DOUBLE), 6) + 0.0::DOUBLE AS k FROM p a, p b""")
+@query("""WITH d AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(v) AS v FROM d GROUP BY label, i), c AS (SELECT label, list(v ORDER BY i) AS c FROM m GROUP BY label)
+SELECT vec_id AS i, c.label AS j, round(exp(-(list_distance(embedding::DOUBLE[], c) ** 2) / 2.0::DOUBLE), 6) + 0.0::DOUBLE AS k FROM embeddings, c""")
 def kernel_gram(spark, sf_dir):
-    p = read(spark, sf_dir, "embeddings").where("vec_id < 40").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    q = p.select(F.col("vec_id").alias("j"), F.col("x").alias("y"))
-    out = p.crossJoin(F.broadcast(q))  # the landmarks: 40 rows
-    return out.select(F.col("vec_id").alias("i"), "j", rounded(gaussian(F.col("x"), F.col("y"), 1.0)).alias("k"))
+    """Kernel vectors of all embeddings; the landmarks are the labels' mean vectors."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    means = e.select("label", F.posexplode("x").alias("d", "v")).groupBy("label", "d").agg(F.avg("v").alias("v"))
+    means = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("m"))
+    means = sorted(means.select("label", "m.v").limit(fit.MAX_LANDMARKS + 1).collect())
+    if len(means) > fit.MAX_LANDMARKS:
+        raise ValueError("too many labels to be landmarks")
+    out = fit.kernel_rows(e.select("vec_id", "x"), np.array([m[1] for m in means]), 1.0).select("vec_id", F.posexplode("k").alias("p", "k"))
+    label = F.get(F.array(*[F.lit(m[0]) for m in means]), F.col("p"))
+    return out.select(F.col("vec_id").alias("i"), label.alias("j"), rounded("k").alias("k"))
 
 
 # --- spectra ------------------------------------------------------------------------------
@@ -399,15 +405,13 @@ def fixed_point_kinds(spark, sf_dir):
 
 
 def rollout(spark, sf_dir):
-    """Fixed 2x2 operator rolled out over the delay vectors of the first event type."""
-    e = first_type(events(spark, sf_dir)).select("t", (F.col("value") / 100.0).alias("value"))
-    s = embedding.delay_embed(e, 2, 1, [])
-    return predict.predict_delay_space(s, np.array([[0.9, 0.2], [-0.1, 0.8]]), [1, 5, 9], 20)
+    """Fixed 2x2 operator rolled out from every delay vector that has 20 more after it."""
+    s = embedding.delay_embed(one_series(spark, sf_dir), 2, 1, [])
+    return predict.predict_delay_space(s, np.array([[0.9, 0.2], [-0.1, 0.8]]), None, 20)
 
 
-ROLL = f"""WITH RECURSIVE {SERIES}, e AS (SELECT t, value / 100.0::DOUBLE AS v FROM s WHERE event_type = (SELECT min(event_type) FROM events)),
-d AS (SELECT t - 1 AS t, v AS s1, lag(v) OVER (ORDER BY t) AS s2 FROM e),
-r AS (SELECT t AS start_idx, 0 AS step, s1, s2 FROM d WHERE t IN (1, 5, 9)
+ROLL = f"""WITH RECURSIVE {ONE_SERIES}, d AS (SELECT t - 1 AS t, v AS s1, lag(v) OVER (ORDER BY t) AS s2 FROM e),
+r AS (SELECT t AS start_idx, 0 AS step, s1, s2 FROM d WHERE t BETWEEN 1 AND (SELECT max(t) FROM d) - 20
   UNION ALL SELECT start_idx, step + 1, 0.9::DOUBLE * s1 + 0.2::DOUBLE * s2, -0.1::DOUBLE * s1 + 0.8::DOUBLE * s2 FROM r WHERE step < 20),
 o AS (SELECT r.start_idx, r.step, d.s1 AS x_true, r.s1 AS x_pred FROM r JOIN d ON d.t = r.start_idx + r.step)"""
 
@@ -506,10 +510,6 @@ def limit_cycle(spark, sf_dir):
 # --- whole analyses (no SQL) --------------------------------------------------------------
 
 
-def one_series(spark, sf_dir):
-    return first_type(events(spark, sf_dir)).select("t", (F.col("value") / 100.0).alias("value"))
-
-
 def analysed(kind: str, **options) -> Query:
     def run(spark, sf_dir):
         c = plans.Config(**{"m_embed": 6, "tau_delay": 1, "r": 3, "dict_type": kind, "seed": 1} | options)
