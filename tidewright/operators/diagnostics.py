@@ -20,9 +20,9 @@ BLOCK = 512
 def nearest_neighbours(points: DataFrame, key: str = "t", value: str = "s") -> DataFrame:
     """(key, nn, distance): the nearest other row, the lowest key of equals.
 
-    Points are cut into slabs of about BLOCK rows along the first coordinate. Each slab
-    finds its own nearest pairs first, which bounds how far along that coordinate anything
-    nearer can be; then only slabs within that reach are compared.
+    Points are cut into slabs of about BLOCK rows along the first coordinate. Each point finds
+    its nearest one in its own slab first, which bounds how far along that coordinate anything
+    nearer can be; then it meets only the slabs within its own reach.
     """
     spark = points.sparkSession
     n = points.count()
@@ -31,15 +31,14 @@ def nearest_neighbours(points: DataFrame, key: str = "t", value: str = "s") -> D
     slim = points.select(F.col(key).cast("long").alias("key"), F.col(value).cast("array<double>").alias("x"), first.alias("_c"))
     cuts = slim.approxQuantile("_c", [i / slabs for i in range(1, slabs)], 0.1 / slabs) if slabs > 1 else []
     cuts = sorted(set(cuts))
-    slab = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_c"))) if cuts else F.lit(0)
+    slab_of = lambda v: F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < v)) if cuts else F.lit(0)
     # equal first coordinates can crowd one slab: it is dealt into parts
-    sized = slim.withColumn("_slab", slab)
-    counts = sized.groupBy("_slab").agg(F.count("*").alias("_n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
-    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("_n") / BLOCK))
-    blocks = sized.join(counts, "_slab").groupBy("_slab", part.alias("_part")).agg(
-        F.collect_list(F.struct("key", "x")).alias("rows"), F.first("_lo").alias("lo"), F.first("_hi").alias("hi")
-    )
-    blocks = blocks.withColumn("block", F.struct("_slab", "_part")).select("block", "rows", "lo", "hi")
+    sized = slim.withColumn("_slab", slab_of(F.col("_c")))
+    counts = sized.groupBy("_slab").agg(F.count("*").alias("_n"))
+    dealt = sized.join(counts, "_slab").withColumn("_part", F.pmod(F.xxhash64("key"), F.ceil(F.col("_n") / BLOCK)))
+    dealt = dealt.select(F.struct("_slab", "_part").alias("block"), "key", "x", "_c")
+    row = F.struct("key", "x")
+    blocks = dealt.groupBy("block").agg(F.collect_list(row).alias("other"))
 
     def nearest(own: pa.StructArray, other: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = rows_of(own.field("x")), rows_of(other.field("x"))
@@ -59,14 +58,17 @@ def nearest_neighbours(points: DataFrame, key: str = "t", value: str = "s") -> D
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["key", "nn", "distance"])
 
     ddl = "key long, nn long, distance double"
-    own = blocks.select("rows", F.col("rows").alias("other")).mapInArrow(run, ddl).where("distance < double('inf')")
-    members = blocks.select("block", "lo", "hi", F.explode("rows.key").alias("key"))
-    bounds = members.join(own, "key", "left").groupBy("block").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.max(F.coalesce("distance", F.lit(float("inf")))).alias("reach"))
-    # one row a block of BLOCK points
-    far = bounds.alias("a").join(bounds.alias("b"), (F.col("a.block") != F.col("b.block")) & (F.col("b.lo") <= F.col("a.hi") + F.col("a.reach")) & (F.col("b.hi") >= F.col("a.lo") - F.col("a.reach")))
-    pairs = far.select(F.col("a.block").alias("block"), F.col("b.block").alias("ob"))
-    others = blocks.select(F.col("block").alias("ob"), F.col("rows").alias("other"))
-    across = pairs.join(blocks.select("block", "rows"), "block").join(others, "ob").select("rows", "other").mapInArrow(run, ddl)
+    own = blocks.select(F.col("other").alias("rows"), "other").mapInArrow(run, ddl).where("distance < double('inf')")
+    # what rounds off in a distance must not hide an equal one
+    reach = F.coalesce("distance", F.lit(float("inf"))) * (1 + 1e-9) + F.abs("_c") * 1e-12
+    wide = dealt.join(own.select("key", "distance"), "key", "left").withColumn("_reach", reach)
+    wide = wide.withColumn("_slab", F.explode(F.sequence(slab_of(F.col("_c") - F.col("_reach")), slab_of(F.col("_c") + F.col("_reach")))))
+    parts = dealt.select(F.col("block").alias("ob")).distinct()
+    asked = wide.join(parts, F.col("_slab") == F.col("ob._slab")).where(F.col("ob") != F.col("block")).select("ob", "key", "x")
+    # a block that many points reach is asked by BLOCK of them at a time
+    load = asked.groupBy("ob").agg(F.count("*").alias("_n"))
+    asked = asked.join(load, "ob").groupBy("ob", F.pmod(F.xxhash64("key"), F.ceil(F.col("_n") / BLOCK)).alias("_turn")).agg(F.collect_list(row).alias("rows"))
+    across = asked.join(blocks.withColumnRenamed("block", "ob"), "ob").select("rows", "other").mapInArrow(run, ddl)
     best = own.unionByName(across.where("distance < double('inf')")).groupBy("key").agg(F.min(F.struct("distance", "nn")).alias("b"))
     return best.select(F.col("key").alias(key), "b.nn", "b.distance")
 
