@@ -24,6 +24,8 @@ from tidewright.llm.common import SPACES, shared_dir, small_batches, text_bytes,
 LIMIT = 2048
 #: Words whose counts a task keeps.
 WORDS = 1 << 19
+#: Copies of one text in more than one of so many rows are met by a broadcast.
+COMMON = 1000
 CACHE_DDL = "digest binary, version string, n_tokens long"
 
 
@@ -137,5 +139,10 @@ def token_counts(docs: DataFrame, path: str | None = None, cache: str | None = N
     texts = distinct.join(cached_counts(spark, cache, version), "digest", "left_anti").select("digest", "text")
     encoded_counts(texts, path).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     counts = cached_counts(spark, cache, version)
-    out = keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+    # a digest of over a COMMON-th of all rows would crowd one task; there are fewer than COMMON of them
+    copies = keyed.groupBy("digest").agg(F.count("*").alias("copies"))
+    often = written(copies.where(F.col("copies") * COMMON > keyed.count()).select("digest").join(counts, "digest"), "token-common")
+    met = keyed.join(F.broadcast(often), "digest", "left")  # fewer than COMMON rows
+    rest = met.where(F.col("n_tokens").isNull()).drop("n_tokens").join(counts, "digest")
+    out = met.where(F.col("n_tokens").isNotNull()).unionByName(rest).select("doc_id", "n_bytes", "n_tokens")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
