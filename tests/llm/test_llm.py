@@ -302,6 +302,41 @@ def test_edit_distance(a, b):
     assert piecewise.edit_distance(a, b) == plain_distance(a, b)
 
 
+def plain_print(text):
+    """Every chunk's character, one chunk at a time."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    block = piecewise.LEAST_BLOCK
+    while block * piecewise.LENGTH < len(data):
+        block *= 2
+    roll, out = piecewise.rolling(data).tolist(), [str(block)]
+    for size in (block, 2 * block):
+        ends = [i + 1 for i, h in enumerate(roll) if h % size == size - 1 and i + 1 < len(data)] + [len(data)]
+        chunks = [data[a:b] for a, b in zip([0, *ends], ends)]
+        out.append("".join(piecewise.ALPHABET[int(piecewise.span_hashes(c, np.array([0]), np.array([len(c)]))[0]) >> 58] for c in chunks))
+    return ":".join(out)
+
+
+def test_periodic_texts_keep_all_chunks():
+    following = "".join(random.Random(5).choice("klmnopqrst uvw") for _ in range(2000))
+    long = 0
+    for k in range(200):
+        rng = random.Random(k)
+        text = ("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6))) + " ") * 600
+        text = text[:2000]
+        own = plain_print(text)
+        assert piecewise.fingerprint(text.encode()) == own
+        a = own.split(":")[1]
+        if len(a) <= 128:
+            continue
+        long += 1
+        other = plain_print(piecewise.edited(text, following))
+        b = other.split(":")[1]
+        near = piecewise.likeness(own, other)
+        assert piecewise.edit_distance(a, b) == plain_distance(a, b)
+        assert near == piecewise.row(1, text, own, following, own)[5] and 0.5 < near < 0.85  # the last third is another text
+    assert long > 3
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 50])
 def test_fingerprints_follow_descending_ids(spark, partitions):
     rng = random.Random(4)

@@ -10,6 +10,7 @@ edit distance where their block sizes are equal or one is twice the other.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from tidewright.llm.common import mix64, small_batches, span_hashes, written
 
 WINDOW = 7
 LEAST_BLOCK = 3
-#: A signature of about this many characters is aimed at.
+#: A signature of about this many characters is aimed at; periodic texts go beyond it.
 LENGTH = 64
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _letters = np.frombuffer(ALPHABET.encode(), np.uint8)
@@ -39,12 +40,11 @@ def rolling(data: np.ndarray) -> np.ndarray:
 
 def signature(data: np.ndarray, roll: np.ndarray, block: int) -> str:
     """One character a chunk; what follows the last boundary is a chunk as well. Boundaries at
-    twice a block size are boundaries at the block size."""
+    twice a block size are boundaries at the block size. No chunk is left out: a periodic text,
+    whose boundaries may follow one another much faster, has a longer signature."""
     ends = np.flatnonzero(roll % np.uint64(block) == block - 1) + 1
     if not len(ends) or ends[-1] != len(data):
         ends = np.append(ends, len(data))
-    if len(ends) > 2 * LENGTH:  # periodic text: the last character stands for all the rest
-        ends = np.append(ends[: 2 * LENGTH - 1], len(data))
     starts = np.concatenate(([0], ends[:-1]))
     return _letters[(span_hashes(data, starts, ends) >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
@@ -63,7 +63,12 @@ def fingerprint(text: bytes) -> str:
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a column of differences at a time in the bits of an integer."""
+    """Levenshtein distance, a column of differences at a time in the bits of an integer. What
+    both begin or end with costs nothing and is cut off first."""
+    same = len(os.path.commonprefix((a, b)))
+    a, b = a[same:], b[same:]
+    same = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - same], b[: len(b) - same]
     if len(a) < len(b):
         a, b = b, a
     if not b:
