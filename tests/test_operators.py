@@ -96,6 +96,16 @@ def test_median_sigma(spark):
     assert stats.median_sigma(states(spark, x[:1])) == 1.0
 
 
+def test_median_distance_takes_all_pairs(spark):
+    x = np.random.default_rng(3).normal(size=(90, 2))
+    x[:30] = x[0]  # many equal distances
+    keys = [i // 2 for i in range(90)]  # two rows a key: these don't meet
+    for n in (90, 89, 4, 2):
+        d = [np.linalg.norm(x[i] - x[j]) for i in range(n) for j in range(i) if keys[i] != keys[j]]
+        out = stats.median_distance(spark.createDataFrame([(k, [float(c) for c in v]) for k, v in zip(keys[:n], x)], "key long, x array<double>"), 7)
+        assert out == pytest.approx(np.median(d)) if d else out is None
+
+
 def test_dictionary_sizes():
     assert [stats.dictionary_size(*a) for a in ((2, 1), (2, 2), (3, 1))] == [3, 6, 4]
     assert exponents(2, 1) == [(0, 0), (0, 1), (1, 0)]

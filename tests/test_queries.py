@@ -1,3 +1,5 @@
+import duckdb
+import numpy as np
 import pytest
 
 from tidewright.queries import ORACLES, QUERIES
@@ -19,3 +21,11 @@ def test_entry_module(spark):
 @pytest.mark.parametrize("name", ["regimes", "fixed_points_all", "euler_maruyama", "limit_cycle", "analysis_rff", "analysis_kernel", "state_analysis"])
 def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
+
+
+def test_median_sigma_of_a_larger_table(spark, tmp_path):
+    x = np.random.default_rng(6).normal(size=(1500, 4))
+    spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert QUERIES["median_sigma"](spark, str(tmp_path)).first().sigma == con.execute(ORACLES["median_sigma"]).fetchone()[0]

@@ -169,9 +169,9 @@ def first_minimum(spark, sf_dir):
 @query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
 SELECT round(median(list_distance(a.x, b.x)), 5) + 0.0::DOUBLE AS sigma FROM p a JOIN p b ON a.vec_id < b.vec_id""")
 def median_sigma(spark, sf_dir):
-    # the operator samples where there are over SIGMA_POINTS rows; up to that it is exact and equals the SQL
+    # all pairs, as the SQL; the operator's default would sample
     points = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.col("embedding").alias("x"))
-    return spark.createDataFrame([(stats.median_sigma(points),)], "sigma double").select(rounded("sigma", 5).alias("sigma"))
+    return spark.createDataFrame([(stats.median_sigma(points, n_sample=None),)], "sigma double").select(rounded("sigma", 5).alias("sigma"))
 
 
 @query("""WITH p AS (SELECT c_nationkey AS nation, c_custkey AS i, c_custkey::DOUBLE % 97 AS x, c_acctbal AS y FROM customer),
