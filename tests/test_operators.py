@@ -189,6 +189,20 @@ def test_kernel_fit(spark):
             fit.MAX_LANDMARKS = old
 
 
+def test_landmark_fit_uses_all_pairs(spark):
+    x = np.random.default_rng(4).normal(size=(700, 2))
+    y = x @ np.array([[0.9, 0.2], [-0.1, 0.8]]) + 0.1 * x**2
+    f = fit.fit_landmarks(pairs(spark, x, y), 1.5, 12, 1e-6)
+    k = lambda v: np.exp(-((v[:, None] - f.landmarks[None]) ** 2).sum(2) / (2 * 1.5**2))
+    g = k(x).T @ k(x)
+    assert f.landmarks.shape == (12, 2) and np.allclose(f.gram_xx, g) and np.allclose(f.gram_xy, k(x).T @ k(y))
+    inv = np.linalg.inv(g + 1e-6 * np.eye(12))
+    assert np.allclose(f.k, inv @ k(x).T @ k(y), atol=1e-4) and np.allclose(f.b, x.T @ k(x) @ inv, atol=1e-4)
+    assert np.abs(k(x) @ f.k @ f.b.T - y).mean() < np.abs(x - y).mean()  # with time
+    with pytest.raises(ValueError):
+        fit.fit_landmarks(pairs(spark, x, y), 1.5, fit.MAX_LANDMARKS + 1)
+
+
 def test_sine_frequencies(spark):
     w = 0.3
     a = config.hankel_analysis(series(spark, np.sin(w * np.arange(200))), config.Config(m_embed=8, tau_delay=1, r=2, dict_type="none", dict_params={}))

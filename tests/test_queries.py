@@ -29,3 +29,7 @@ def test_median_sigma_of_a_larger_table(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert QUERIES["median_sigma"](spark, str(tmp_path)).first().sigma == con.execute(ORACLES["median_sigma"]).fetchone()[0]
+
+
+def test_kernel_query_returns_the_whole_spectrum(spark, data):
+    assert QUERIES["analysis_kernel"](spark, data).count() == 500

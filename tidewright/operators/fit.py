@@ -196,6 +196,58 @@ def fit_kernel(pairs: DataFrame, sigma: float, alpha: float = 1e-6, n_landmarks:
     return KernelFit(inv @ xy, x.T @ inv, x, xx, xy, sigma)
 
 
+def kernel_sums(pairs: DataFrame, landmarks: np.ndarray, sigma: float, tasks: int = 16) -> np.ndarray:
+    """The sum over all pairs of k(x) [k(x), k(y), x]' for kernel vectors against the landmarks: a
+    matrix a partition, a few tasks that add up its rows, the driver."""
+    (dim,) = widths(pairs, "x")
+    m = len(landmarks)
+    sq = (landmarks * landmarks).sum(1)
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        d2 = np.maximum((x * x).sum(1)[:, None] - 2 * x @ landmarks.T + sq[None], 0)
+        return np.exp(-d2 / (2 * sigma * sigma))
+
+    def rows(at: Sequence[int], total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), as_lists(total)], names=["i", "row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((m, 2 * m + dim)), False
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                x, y = (rows_of(c) for c in whole.slice(at, 512).columns)
+                kx, seen = kernel(x), True
+                total += kx.T @ np.hstack((kx, kernel(y), x))
+        for at in range(0, m if seen else 0, 256):
+            yield rows(range(at, min(m, at + 256)), total[at : at + 256])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, row in zip(b.column(0).to_pylist(), rows_of(b.column(1)), strict=True):
+                held[i] = held[i] + row if i in held else row.copy()
+        if held:
+            yield rows(list(held), np.array(list(held.values())))
+
+    # buckets of rows would be few tasks for this much arithmetic
+    spread = pairs.select("x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = spread.mapInArrow(run, "i int, row array<double>").repartition(tasks, "i").mapInArrow(add, "i int, row array<double>")
+    return np.array([r.row for r in sorted(sums.collect(), key=lambda r: r.i)])
+
+
+def fit_landmarks(pairs: DataFrame, sigma: float, n_landmarks: int, alpha: float = 1e-6, seed: int = 0, keys: Sequence[str] = ("t",)) -> KernelFit:
+    """Kernel fit on all snapshot pairs; ``n_landmarks`` of their x, by smallest hash, are only the
+    features: k(y) ~ K' k(x), x ~ B k(x) in least squares with a ridge. Moves states with time."""
+    if n_landmarks > MAX_LANDMARKS:
+        raise ValueError(f"over {MAX_LANDMARKS} landmarks")
+    chosen = pairs.select(*keys, "x").orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n_landmarks).collect()
+    landmarks = np.array([r["x"] for r in sorted(chosen)], float)
+    m = len(landmarks)
+    sums = kernel_sums(pairs, landmarks, sigma)
+    xx, xy, xs = sums[:, :m], sums[:, m : 2 * m], sums[:, 2 * m :]
+    solved = np.linalg.solve(xx + alpha * np.eye(m), np.hstack((xy, xs)))
+    return KernelFit(solved[:, :m], solved[:, m:].T, landmarks, xx, xy, sigma)
+
+
 # --- singular vectors ---------------------------------------------------------------------
 
 

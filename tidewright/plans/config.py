@@ -158,7 +158,11 @@ def delay_analysis(states: DataFrame, config: Config) -> Analysis:
         return Analysis(config, u @ small @ u.T, u.T, np.eye(len(small)), u, "delays", states, sigma=sigma)
     if kind == "kernel":
         p = config.dict_params
-        f = fit.fit_kernel(pairs, p.get("sigma", 1.0), p.get("alpha", 1e-6), p.get("n_subsample"), p.get("seed", config.seed or 0))
+        alpha, seed = p.get("alpha", 1e-6), p.get("seed", config.seed or 0)
+        if p.get("n_landmarks"):  # all pairs
+            f = fit.fit_landmarks(pairs, p.get("sigma", 1.0), p["n_landmarks"], alpha, seed)
+        else:  # the reference's: the pairs, or a sample of them, are the basis
+            f = fit.fit_kernel(pairs, p.get("sigma", 1.0), alpha, p.get("n_subsample"), seed)
         axes = u if u is not None else np.eye(f.landmarks.shape[1])
         return Analysis(config, f.k, axes @ f.b, f.b, axes, "features", states, kernel=f, sigma=sigma)
     (dim,) = fit.widths(reduced, "x")

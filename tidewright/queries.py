@@ -514,7 +514,7 @@ def analysed(kind: str, **options) -> Query:
     def run(spark, sf_dir):
         c = plans.Config(**{"m_embed": 6, "tau_delay": 1, "r": 3, "dict_type": kind, "seed": 1} | options)
         a = plans.hankel_analysis(one_series(spark, sf_dir), c)
-        return a.spectrum_table(spark, 20)
+        return a.spectrum_table(spark, len(a.k))
 
     return run
 
@@ -524,7 +524,7 @@ QUERIES |= {
     "analysis_hermite": analysed("hermite", dict_params={"max_deg": 2}),
     "analysis_rbf": analysed("rbf", dict_params={"n_rbf": 8}),
     "analysis_rff": analysed("rff", dict_params={"D": 20, "include_states": True}),
-    "analysis_kernel": analysed("kernel", dict_params={"sigma": 2.0, "n_subsample": 40}),
+    "analysis_kernel": analysed("kernel", dict_params={"sigma": 2.0, "n_landmarks": 500}),
     "analysis_havok": analysed("havok", dict_params={}),
 }
 
