@@ -276,6 +276,21 @@ PAGES = [
 ]
 
 
+HINTED_WHOLES = [
+    (f"<body class='has-sidebar'><article class='post header-fixed'><h1>T</h1><p>{WORDY}</p></article></body>", f"T\n\n{WORDY}"),
+    (f"<body><main id='more'><p>{WORDY}</p><div class='share'>{WORDY}</div></main></body>", WORDY),
+    (f"<body><div class='page has-sidebar'><article><p>{WORDY}</p></article><div class='sidebar'>{WORDY}</div></div></body>", WORDY),
+    (f"<body class='has-sidebar'><p>{WORDY}</p><div class='ad'>{WORDY}</div></body>", WORDY),
+    (f"<article><p>{WORDY}</p></article><div id='comments'><article class='comment'><p>Me too, thanks.</p></article></div>", WORDY),
+    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "So x=2 holds."),
+]
+
+
+@pytest.mark.parametrize("page,want", HINTED_WHOLES)
+def test_names_of_the_whole_page_drop_no_article(page, want):
+    assert html_blocks.main_text(page, html_blocks.tree()) == want
+
+
 def test_pages(spark):
     rows = [(i, "u", h, "x") for i, (h, _) in enumerate(PAGES)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -25,8 +25,10 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Content that is never text.
-RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "title", "head")
+RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "object", "svg", "textarea", "title", "head")
 REGION_TAGS = frozenset("nav header footer aside form menu button select dialog fieldset".split())
+#: Elements that hold the article itself: their names say nothing of one part.
+WHOLE_TAGS = frozenset("html body main article".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
@@ -74,6 +76,7 @@ def blocks_of(page: str) -> list[Block]:
     texts: list[str] = []
     links: list[str] = []
     anchors = 0
+    holders: set[str] = set()  # of main and article, those that have begun
 
     def close() -> None:
         text = " ".join(html.unescape("".join(texts)).split())
@@ -114,7 +117,10 @@ def blocks_of(page: str) -> list[Block]:
                 if tag == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
                 label = re.search(r"data-keep=\"(\w)\"", m[3])
-                stack.append((tag, hinted(m[3]), label[1] if label else ""))
+                if tag in ("main", "article") and tag not in holders:  # what holds the page's first isn't a part of it
+                    holders.add(tag)
+                    stack = [(t, False, mark) for t, _, mark in stack]
+                stack.append((tag, tag not in WHOLE_TAGS and hinted(m[3]), label[1] if label else ""))
     if at < len(page):  # a page may be cut off within a tag
         texts.append(_CUT.sub("", page[at:]))
     close()
