@@ -33,3 +33,9 @@ def test_median_sigma_of_a_larger_table(spark, tmp_path):
 
 def test_kernel_query_returns_the_whole_spectrum(spark, data):
     assert QUERIES["analysis_kernel"](spark, data).count() == 500
+
+
+def test_hankel_prediction_starts_from_every_row(spark, data):
+    n = spark.read.parquet(f"{data}/events.parquet").count() - 5
+    truth = QUERIES["hankel_prediction"](spark, data).groupBy("start_idx").count().collect()
+    assert sorted(map(tuple, truth)) == [(i + 1, 6) for i in range(n - 5)]

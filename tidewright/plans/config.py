@@ -85,8 +85,9 @@ class Analysis:
     def harmonic_branches(self, **options) -> dict[int, list[int]]:
         return spectral.harmonic_branches(self.spectrum[0], self.config.dt, **options)
 
-    def predict(self, starts: Sequence[int], n_pred: int) -> DataFrame:
-        """(start_idx, step, dim, x_true, x_pred) of the observable s[0]."""
+    def predict(self, starts: Sequence[int] | None, n_pred: int) -> DataFrame:
+        """(start_idx, step, dim, x_true, x_pred) of the observable s[0]; None starts from every
+        row, where the recursion is linear."""
         if self.states is None:
             raise ValueError("a fit on states has no delay vectors: use operators.predict")
         if self.kernel is not None:
