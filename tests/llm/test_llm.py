@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, html_blocks, line_spread, ngram_rules, oracle_sql, pareto_mix, piecewise, ppm_language, quality_compression, queries, setsketch, token_cache
+from tidewright.llm import bpe, line_spread, ngram_rules, oracle_sql, pareto_mix, piecewise, ppm_language, quality_compression, queries, setsketch, token_cache
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, size long, h long, bin int, digest string"
 LONG = "word another thing " * 30_000
@@ -265,42 +265,6 @@ def test_targets_share_the_excess(spark):
     assert t["b"] == 30 and t["c"] == 270 and np.isclose(t["a"], 700)
 
 
-WORDY = "a line of many words that says little and goes on for longer than the short ones do " * 3 + "end."
-PAGES = [
-    ("<p>Hello &amp; good&nbsp;bye</p><nav><a>Home</a></nav>", "Hello & good bye"),
-    (f"<div class=ad>{WORDY}</div><article><p>One.</p></article><div><p>{WORDY}</p></div><aside>{WORDY}</aside>", "One."),
-    (f"<div><h1>T</h1><p>{WORDY}</p><p>Short.</p></div><ul><li><a>{WORDY}</a></li></ul><div id='comments'><p>{WORDY}</p></div><form>{WORDY}</form>", f"T\n\n{WORDY}\n\nShort."),
-    ("<article><p>a < b</p><p>cut off</p", "a < b\n\ncut off"),
-    ("<article><h1>Title</h1><p>One  two\n three.</p><script>x</script><style>p</style><!-- c --><p>Four.</p></article><footer>Legal</footer>", "Title\n\nOne two three.\n\nFour."),
-    (None, ""), ("", ""), ("<div class='ad'>Buy</div>", ""), ("<article><p>a<br>b<p>c</article><div class='comments'>me too, thanks a lot for this</div>", "a b\n\nc"),
-]
-
-
-HINTED_WHOLES = [
-    (f"<body class='has-sidebar'><article class='post header-fixed'><h1>T</h1><p>{WORDY}</p></article></body>", f"T\n\n{WORDY}"),
-    (f"<body><main id='more'><p>{WORDY}</p><div class='share'>{WORDY}</div></main></body>", WORDY),
-    (f"<body><div class='page has-sidebar'><article><p>{WORDY}</p></article><div class='sidebar'>{WORDY}</div></div></body>", WORDY),
-    (f"<body class='has-sidebar'><p>{WORDY}</p><div class='ad'>{WORDY}</div></body>", WORDY),
-    (f"<article><p>{WORDY}</p></article><div id='comments'><article class='comment'><p>Me too, thanks.</p></article></div>", WORDY),
-    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "So x=2 holds."),
-]
-
-
-@pytest.mark.parametrize("page,want", HINTED_WHOLES)
-def test_names_of_the_whole_page_drop_no_article(page, want):
-    assert html_blocks.main_text(page, html_blocks.tree()) == want
-
-
-def test_pages(spark):
-    rows = [(i, "u", h, "x") for i, (h, _) in enumerate(PAGES)]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    out = {r.page_id: r for r in html_blocks.extract(d).collect()}
-    for i, (_, want) in enumerate(PAGES):
-        assert out[i].n_chars == len(out[i].text)
-        assert out[i].text == want
-    assert html_blocks.extract(d.limit(0)).count() == 0
-
-
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):

@@ -1,9 +1,11 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat blocks of text at block-level tags. A block is described by its own
-and its neighbours' word counts and link densities, and by what its markup says (inside an
-article, inside navigation and the like, a telling class name, a heading). A decision tree,
-grown here on the small labelled table below, keeps or drops each block.
+word count and link density, those of the blocks before and after it, how much of the page's
+plain text its container holds, and a few weak signs: a menu-like element, a heading, a telling
+name, words that adverts and notices use. A decision tree keeps or drops each block. It is grown
+once, on the driver, on a small labelled table: the blocks of PAGES invented pages whose parts
+are known (``llm.page_table``).
 """
 
 from __future__ import annotations
@@ -25,24 +27,45 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Content that is never text.
-RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "object", "svg", "textarea", "title", "head")
-REGION_TAGS = frozenset("nav header footer aside form menu button select dialog fieldset".split())
-#: Elements that hold the article itself: their names say nothing of one part.
-WHOLE_TAGS = frozenset("html body main article".split())
+RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "object", "svg", "textarea", "title")
+REGION_TAGS = frozenset("nav footer aside form menu button select dialog fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies disqus respond "
-    "sidebar side rail related recommended more nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead toolbar "
-    "widget tags legal copyright disclaimer skip search form".split()
+TEXT_TAGS = HEADINGS | frozenset("p li blockquote pre td th dd dt figcaption caption".split())
+#: Elements that gather a few short texts of one flow.
+INNER_TAGS = frozenset("ul ol dl tr tbody thead tfoot table header figure".split())
+#: Parts of class, id, role and label names that often mark what is not the article: a weak sign.
+NAMES_APART = frozenset(
+    "ad ads advert advertisement sponsored promo banner cookie cookies consent notice alert popup modal newsletter subscribe signup login share social "
+    "comment comments reply replies disqus sidebar related recommended nav navbar navigation menu breadcrumb breadcrumbs pagination header footer masthead widget copyright legal".split()
+)
+#: Words that adverts, notices, forms and reader comments use more often than articles.
+CUES = frozenset(
+    "cookie cookies consent subscribe newsletter sponsored advertisement anzeige werbung publicité publicidad share tweet facebook "
+    "comment comments kommentar kommentare commentaires comentarios reply replies antworten répondre login register imprint impressum privacy datenschutz "
+    "buy discount offer shipping click abonnieren related © newsletters advertise".split()
+)
+_RAW = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/])[^>]*/>|<(" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I
 )
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_HEAD = re.compile(r"<head(?=[\s>])[^>]*>(?:(?!</head|<body).)*", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.S)
 _CUT = re.compile(r"<[/!?a-zA-Z][^<]*\Z")
 _NAME = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HREF = re.compile(r"(?:^|\s)href\b", re.I)
 _PART = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+|©")
+_MARK = re.compile(r"data-keep=\"(\w)\"")
+
+
+@dataclass
+class Element:
+    """An open or closed block-level element and the plain (unlinked) words inside it."""
+
+    tag: str
+    named: bool
+    mark: str
+    plain: int = 0
+    titled: bool = False  # holds the page's first h1, main or article
 
 
 @dataclass
@@ -50,164 +73,153 @@ class Block:
     text: str
     words: int
     link_words: int
-    article: bool
-    region: bool
-    hint: bool
-    heading: bool
-    mark: str = ""
-    features: list[float] = field(default_factory=list)
+    path: tuple[Element, ...]
+    before_title: bool = False
+
+    @property
+    def mark(self) -> str:
+        return next((e.mark for e in reversed(self.path) if e.mark), "")
 
 
-def hinted(attributes: str) -> bool:
-    """Whether a class, id or role holds one of the telling words."""
+def telling(attributes: str) -> bool:
+    """Whether a class, id, role or label holds one of NAMES_APART."""
     for m in _NAME.finditer(attributes):
         value = (m[1] or m[2] or m[3] or "").replace("_", "-")
         value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()
-        if HINTS.intersection(_PART.findall(value)):
+        if NAMES_APART.intersection(_PART.findall(value)):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's non-empty text blocks in order."""
-    page = _RAW.sub(" ", _HEAD.sub(" ", page))
-    out: list[Block] = []
-    stack: list[tuple[str, bool, str]] = []  # open block-level elements: tag, hinted, label
-    texts: list[str] = []
-    links: list[str] = []
-    anchors = 0
-    holders: set[str] = set()  # of main and article, those that have begun
-
-    def close() -> None:
-        text = " ".join(html.unescape("".join(texts)).split())
+@dataclass
+class Cutter:
+    """Cuts one page into its non-empty text blocks, in order."""
+
+    out: list[Block] = field(default_factory=list)
+    stack: list[Element] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+    links: list[str] = field(default_factory=list)
+    link_depth: int = -1  # number of open elements where a link began; -1 outside of links
+    seen: set[str] = field(default_factory=set)  # of h1, main and article, those that have begun
+
+    def close(self) -> None:
+        text = " ".join(html.unescape("".join(self.texts)).split())
         if text:
-            tags = [t for t, _, _ in stack]
-            linked = len(html.unescape(" ".join(links)).split())
             words = len(text.split())
-            out.append(Block(
-                text, words, min(words, linked), "article" in tags or "main" in tags, not REGION_TAGS.isdisjoint(tags),
-                any(h for _, h, _ in stack), not HEADINGS.isdisjoint(tags), next((m for _, _, m in reversed(stack) if m), ""),
-            ))
-        texts.clear()
-        links.clear()
-
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            texts.append(piece)
-            if anchors:
-                links.append(piece)
-        at = m.end()
-        tag = (m[2] or "").lower()
+            linked = min(words, len(html.unescape(" ".join(self.links)).split()))
+            for e in self.stack:
+                e.plain += words - linked
+            self.out.append(Block(text, words, linked, tuple(self.stack), "h1" not in self.seen))
+        self.texts.clear()
+        self.links.clear()
+
+    def take(self, piece: str) -> None:
+        self.texts.append(piece)
+        if self.link_depth >= 0:
+            self.links.append(piece)
+
+    def cut_to(self, depth: int) -> None:
+        del self.stack[depth:]
+        if self.link_depth > depth:
+            self.link_depth = -1
+
+    def tag(self, closing: bool, tag: str, attributes: str) -> None:
         if tag == "a":
-            anchors = max(0, anchors - 1) if m[1] else anchors + 1
+            self.link_depth = len(self.stack) if not closing and _HREF.search(attributes) else -1
         elif tag == "br":
-            texts.append(" ")
+            self.texts.append(" ")
         elif tag in BLOCK_TAGS:
-            close()
-            anchors = 0
-            if m[1]:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            self.close()
+            if closing:
+                depth = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag), None)
                 if depth is not None:
-                    del stack[depth:]
-            elif tag not in VOID_TAGS and not m[3].endswith("/"):
-                if stack and stack[-1][0] == "p":  # a paragraph ends where the next block begins
-                    stack.pop()
-                if tag == "li" and stack and stack[-1][0] == "li":
-                    stack.pop()
-                label = re.search(r"data-keep=\"(\w)\"", m[3])
-                if tag in ("main", "article") and tag not in holders:  # what holds the page's first isn't a part of it
-                    holders.add(tag)
-                    stack = [(t, False, mark) for t, _, mark in stack]
-                stack.append((tag, tag not in WHOLE_TAGS and hinted(m[3]), label[1] if label else ""))
-    if at < len(page):  # a page may be cut off within a tag
-        texts.append(_CUT.sub("", page[at:]))
-    close()
-    return out
+                    self.cut_to(depth)
+            elif tag not in VOID_TAGS and not attributes.endswith("/"):
+                last = self.stack[-1].tag if self.stack else ""
+                if last == "p" or (last == tag and tag in ("li", "dt", "dd", "option")):  # these end where the next begins
+                    self.cut_to(len(self.stack) - 1)
+                mark = _MARK.search(attributes)
+                self.stack.append(Element(tag, tag not in ("html", "body") and telling(attributes), mark[1] if mark else ""))
+                if tag in ("h1", "main", "article") and tag not in self.seen:
+                    self.seen.add(tag)
+                    for e in self.stack:
+                        e.titled = True
 
 
-NAMES = ("words", "link density", "words before", "link density before", "words after", "link density after", "region", "hint", "article", "heading", "page has article")
+def blocks_of(page: str) -> list[Block]:
+    page = _RAW.sub(" ", page)
+    c, at = Cutter(), 0
+    for m in _TAG.finditer(page):
+        if m.start() > at:
+            c.take(page[at : m.start()])
+        at = m.end()
+        if m[2]:
+            c.tag(bool(m[1]), m[2].lower(), m[3])
+    if at < len(page):  # a page may be cut off within a tag
+        c.take(_CUT.sub("", page[at:]))
+    c.close()
+    if "h1" not in c.seen:  # nothing comes before a title that isn't there
+        for b in c.out:
+            b.before_title = False
+    return c.out
+
+
+FEATURES = (
+    "words", "link density", "words before", "link density before", "words after", "link density after", "words two after", "container share", "article rank",
+    "best article share", "region", "header", "heading", "named", "cue words", "under a cue", "before title",
+)
+#: The first so many are the blocks' own and their neighbours' counts.
+COUNTS = 7
+
+
+def named(b: Block, page_words: int) -> float:
+    """1 inside of a part with a telling name, 0.5 where only the block's own element has one. What
+    holds the page's title and a fifth of its text is no part apart, whatever its name."""
+    out = 0.0
+    for e in b.path:
+        whole = e.titled and (e.tag in ("main", "article", "h1") or 5 * e.plain > page_words) or 10 * e.plain > 9 * page_words and e.tag not in TEXT_TAGS
+        if e.named and not whole:
+            out = max(out, 0.5 if e.tag in TEXT_TAGS else 1.0)
+    return out
 
 
 def featured(blocks: list[Block]) -> np.ndarray:
-    """A row of features for each block."""
+    """A row of FEATURES for each block. Shares are of the plain words outside of menu-like
+    elements and parts with telling names, whose own share is 0."""
     n = len(blocks)
     own = np.array([[b.words, b.link_words / b.words] for b in blocks], float).reshape(n, 2)
-    edge = np.zeros((1, 2))
-    before, after = np.vstack((edge, own[:-1])), np.vstack((own[1:], edge))
-    marks = np.array([[b.region, b.hint, b.article, b.heading, 0] for b in blocks], float).reshape(n, 5)
-    marks[:, 4] = marks[:, 2].any()
-    return np.hstack((own, before, after, marks))
-
-
-# --- the labelled table -------------------------------------------------------------------
-
-#: Small pages whose elements say whether their text is kept (1) or not (0). The blocks cut
-#: from them are the training table.
-LABELLED = (
-    """<body><nav data-keep="0"><ul><li><a>Home</a></li><li><a>News</a></li><li><a>About us</a></li></ul></nav>
-    <div class="ad" data-keep="0">Buy now and save on every order of tea this week only.</div>
-    <article data-keep="1"><h1>Rain over the northern valley</h1><p>Rain over the northern valley.</p>
-    <p>Rain fell on the valley for nine days, and the river rose to the old bridge before it turned.</p><p>No one was hurt.</p>
-    <p>Farmers moved their sheep to the hills; the mill was closed, and the road to the town stayed under water until Friday.</p></article>
-    <footer data-keep="0">&copy; valley.example &middot; All rights reserved by the valley press.</footer></body>""",
-    """<body><header data-keep="0"><p>The Daily Page</p><p><a>Sign in</a> <a>Register</a></p></header>
-    <div class="cookie-notice" data-keep="0">We use cookies to give you the best experience on our pages and to measure their use.</div>
-    <main data-keep="1"><h1>How bread is made</h1><p>Flour, water, salt and time are all that a loaf needs.</p><ul><li>Mix the flour and the water.</li><li>Wait.</li></ul>
-    <p>See the <a>long guide</a> for more on ovens, stones and the heat that a crust needs to form well.</p><h2>Salt</h2><p>Two parts in a hundred.</p></main>
-    <aside data-keep="0"><h3>Most read</h3><p><a>Ten loaves to try</a></p><p>Our editor picks the best stories of the week for you to read at home.</p></aside>
-    <div class="comments" data-keep="0"><h3>Comments</h3><p>Great text, I baked this and my family loved it, thank you so much for sharing it here.</p><p>Me too.</p></div>
-    <form data-keep="0"><p>Write a comment below and press send when you are done with it.</p><button>Send</button></form></body>""",
-    """<body><div class="menu" data-keep="0"><a>Start</a> <a>Shop</a> <a>Help</a></div>
-    <div data-keep="1"><p>The harbour was built in stone by masons who came from the south, and it has held against the sea ever since they left.</p>
-    <p>Boats are still drawn up there in winter. The keepers paint them, mend the nets and tell the same stories as their fathers did.</p>
-    <p>In spring the first catch is sold on the quay for a low price, and people from the villages come down to buy it and to talk.</p></div>
-    <div data-keep="0"><a>Next story</a> <a>Previous story</a> <a>Archive</a></div><p data-keep="0"><a>Contact</a> | <a>Imprint</a></p><p data-keep="0">Page 3</p></body>""",
-    """<body><article data-keep="1"><h1>Short note</h1><p>All trains run again.</p></article>
-    <div class="related-posts" data-keep="0"><h2>Read on</h2><p>Why the line was closed in March and what it cost the city to open it.</p></div>
-    <article><div class="share" data-keep="0">Share this with your friends on all the networks that you use</div><p data-keep="1">The line to the lake opens at six, and the last train leaves before midnight from platform four.</p>
-    <aside data-keep="0">Advice: buy the day ticket, it is cheaper if you ride more than twice.</aside><nav data-keep="0"><a>Part two</a></nav>
-    <footer data-keep="0"><p>Written by the city desk, with notes from readers and the press office.</p></footer></article></body>""",
-    """<body><div id="sidebar" data-keep="0"><h4>Weather</h4><p>Sunny in the morning with clouds over the coast later in the day and some rain.</p></div>
-    <div data-keep="0"><a>Politics</a></div><div data-keep="0"><a>Sports</a></div>
-    <h1 data-keep="1">The mill by the road</h1><div data-keep="1"><p>It ground the wheat of four villages for two hundred years, and when the wheel broke the miller carved another one by hand.</p>
-    <p>It now holds a small library with a few hundred books on rivers, wheels and bread which anyone may borrow for a month.</p></div>
-    <div class="newsletter" data-keep="0"><p>Get one letter a week with the best of our pages, free of charge and easy to stop.</p></div>
-    <div class="legal" data-keep="0">Prices include tax; see the terms for returns, delivery times and the warranty on used goods.</div></body>""",
-    """<body><article data-keep="1"><h1>A list of links</h1><p>Sources for the text:</p><p><a>The parish book of 1830</a></p><p><a>Letters from the mill</a></p></article>
-    <article data-keep="1"><p>One</p><p>Two words</p><blockquote>The wheel turns.</blockquote></article><p data-keep="0">Loading</p><div class="popup" data-keep="0">Stay</div></body>""",
-    """<body><div class="ad" data-keep="0">This month only, order two chairs from the oak range and get a third at half its price, with free delivery to every house on the coast and the islands.</div>
-    <article data-keep="1"><h1>Snow on the pass</h1><p>Snow closed the pass for three days in May, which had not been seen since the road was built and the inn at the top was opened.</p><p>It is open again.</p></article>
-    <div class="comments" data-keep="0"><p>I drove up there on the first day and had to turn back at the second bend, so thank you for this report, which I would have liked to read before I left home.</p>
-    <p>We sat in the inn for two nights, and the soup was very good; the owner told us stories about the winter of his youth, when snow lay until the middle of June.</p></div>
-    <aside data-keep="0"><p>About this page: it has told of the mountains, their roads and their weather since the year in which the first phone line reached the upper villages.</p></aside>
-    <div data-keep="0"><p>Our other pages tell you what is on in the towns of the region this week, from the market on Monday to the dance in the old hall on Sunday evening.</p></div>
-    <footer data-keep="0"><p>All texts and pictures belong to their makers and may not be copied without their leave, except for short parts that are quoted with the name of the source.</p></footer></body>""",
-    """<body><nav data-keep="0"><p>Here you find all parts of our page, in the order in which most readers ask for them: roads, weather, huts, maps, guides, trains, buses and the lake.</p></nav>
-    <div class="banner" data-keep="0"><p>We and our partners store small files on your machine to learn how you use these pages and to show you what you may like, unless you tell us not to.</p></div>
-    <h1 data-keep="1">A night in the hut</h1><div data-keep="1"><p>The hut stands on a ledge over the glacier, and whoever reaches it before dark is given tea, a blanket and a place near the stove.</p><p>In the night the wind turned.</p>
-    <p>By morning the tracks were gone, and the guide, who had slept badly, chose the long way round by the lake and the lower bridge.</p></div>
-    <form data-keep="0"><p>Tell us what you think of this text in a few lines, and leave an address at which we can reach you if the editors have a question about it.</p></form>
-    <div class="sidebar" data-keep="0"><p>The guides of the valley meet each Friday at eight in the back room of the post office, where guests who want to join a tour can ask them for their price.</p></div>
-    <section id="reader-comments" data-keep="0"><p>A fine text, but the hut is older than you say: my grandfather carried the beams for it in the year before the railway came, and he was not a young man then.</p></section></body>""",
-    """<body><ul data-keep="0"><li><a>Roads</a></li><li><a>Huts and beds for the night</a></li></ul><h1 data-keep="1">The ferry</h1><div data-keep="1">
-    <p>For sixty years the ferry was the only way over the sound, and those who missed the last one at nine slept in the boat house on straw, or rowed themselves if the moon was up and the current was weak enough for two to hold the boat on course.</p>
-    <p>Then came the bridge.</p><p>It took four years to build, cost twice what had been said at the start, and on the day of its opening half of the island walked over it and back before the first car was let on, which the mayor still calls the best hour of her life.</p><p>No bell now.</p>
-    <h2>What is left</h2><p>The boat house is a museum, open from May to October, where the engine of the last ferry is started each Sunday at noon by the men who once oiled it, and children may pull the cord of the horn as often as they like until their parents have had enough.</p></div>
-    <p data-keep="0"><a>Back to the list of all the texts about the islands</a></p><p data-keep="0"><a>Top</a></p></body>""",
-    """<body><p data-keep="1">Bees find their way home by the sun, by the lie of the land and, on the last few yards, by smell.</p></body>""",
-    """<body><div data-keep="1"><h2>Tides</h2><p>The sea rises twice a day on most coasts and once on a few.</p><p>Sailors knew it long before anyone could say why, and set out with the ebb.</p></div></body>""",
-)
-
-
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    x, y = [], []
-    for page in LABELLED:
-        blocks = blocks_of(page)
-        x.append(featured(blocks))
-        y += [int(b.mark == "1") for b in blocks]
-    return np.vstack(x), np.array(y)
+    edge = np.zeros((2, 2))
+    before, after, later = np.vstack((edge[:1], own[:-1])), np.vstack((own[1:], edge[:1])), np.vstack((own[2:], edge))[:n]
+    page_words = sum(b.words - b.link_words for b in blocks)
+    tags = [[e.tag for e in b.path] for b in blocks]
+    region = np.array([not REGION_TAGS.isdisjoint(t) for t in tags], bool)
+    name = np.array([named(b, page_words) for b in blocks])
+    apart = region | (name == 1)
+    held: dict[int, int] = {}  # of each element, plain words that aren't in a part apart
+    for b, off in zip(blocks, apart, strict=True):
+        for e in () if off else b.path:
+            held[id(e)] = held.get(id(e), 0) + b.words - b.link_words
+    rest = max(1, sum(b.words - b.link_words for b, off in zip(blocks, apart, strict=True) if not off))
+    share, article, heading, cues, under = (np.zeros(n) for _ in range(5))
+    current = 0.0
+    for i, (b, off) in enumerate(zip(blocks, apart, strict=True)):
+        if not off:
+            holder = next((e for e in reversed(b.path) if e.tag not in TEXT_TAGS and e.tag not in INNER_TAGS), None)
+            share[i] = held[id(holder)] / rest if holder else 1.0
+            article[i] = max((held[id(e)] for e in b.path if e.tag in ("article", "main")), default=0) / rest
+        level = next((t for t in reversed(tags[i]) if t in HEADINGS), "")
+        heading[i] = 1.0 if level == "h1" else 0.5 if level else 0.0
+        cues[i] = sum(w in CUES for w in _WORD.findall(b.text.lower())) / b.words
+        if level and (level == "h1" or b.words <= 6):  # a heading below the title names what follows
+            current = float(level != "h1" and cues[i] > 0)
+        under[i] = current
+    best = np.full(n, article.max() if n else 0.0)
+    rank = article / np.maximum(best, 1e-12)  # 1 in the page's largest article, less in teasers, 0 outside of any
+    header, early = np.array(["header" in t for t in tags], float), np.array([b.before_title for b in blocks], float)
+    return np.column_stack((own, before, after, later[:, 0], share, rank, best, region, header, heading, name, cues, under, early))
+
+
+# --- the tree -----------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -219,37 +231,60 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Node:
-    """A binary tree by Gini impurity; equal gains take the first feature and lowest split."""
-    share = float(y.mean()) if len(y) else 0.0
-    if depth == 0 or share in (0.0, 1.0):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 4) -> Node:
+    """A binary tree by Gini impurity; equal gains take the first feature and lowest split. At
+    most 64 splits of a feature are tried at a node, at even steps of its distinct values."""
+    n, share = len(y), float(y.mean()) if len(y) else 0.0
+    if depth == 0 or share in (0.0, 1.0) or n < 2 * least:
         return Node(share)
     best: tuple[float, int, float] | None = None
-    gini = lambda v: 2 * v.mean() * (1 - v.mean()) * len(v)
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
-        for split in (values[1:] + values[:-1]) / 2:
-            left = x[:, f] <= split
-            if left.sum() < least or (~left).sum() < least:
-                continue
-            cost = gini(y[left]) + gini(y[~left])
-            if best is None or cost < best[0] - 1e-12:
-                best = (cost, f, float(split))
+        splits = (values[1:] + values[:-1]) / 2
+        if len(splits) > 64:
+            splits = splits[np.linspace(0, len(splits) - 1, 64).astype(int)]
+        if not len(splits):
+            continue
+        order = np.argsort(x[:, f], kind="stable")
+        kept = np.concatenate(([0.0], np.cumsum(y[order])))
+        low = np.searchsorted(x[order, f], splits, "right")
+        k, high = kept[low], n - low
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cost = 2 * k * (1 - k / low) + 2 * (kept[-1] - k) * (1 - (kept[-1] - k) / high)
+        cost[(low < least) | (high < least)] = np.inf
+        i = int(cost.argmin())
+        if np.isfinite(cost[i]) and (best is None or cost[i] < best[0] - 1e-9):
+            best = (float(cost[i]), f, float(splits[i]))
     if best is None:
         return Node(share)
     left = x[:, best[1]] <= best[2]
     return Node(share, best[1], best[2], grow(x[left], y[left], depth - 1, least), grow(x[~left], y[~left], depth - 1, least))
 
 
+def labelled(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels (kept: 1) of the blocks of marked pages."""
+    x, y = [], []
+    for page in pages:
+        blocks = blocks_of(page)
+        x.append(featured(blocks))
+        y += [int(b.mark == "1") for b in blocks]
+    return np.vstack(x), np.array(y)
+
+
 @lru_cache(maxsize=1)
 def tree() -> Node:
-    return grow(*labelled_table())
+    from tidewright.llm.page_table import pages
 
+    return grow(*labelled(pages()))
 
-def keeps(node: Node, row: np.ndarray) -> bool:
+
+def path_of(node: Node, row: np.ndarray) -> tuple[float, list[int]]:
+    """The share of kept blocks at a row's leaf, and the features asked on the way."""
+    asked = []
     while node.feature >= 0:
+        asked.append(node.feature)
         node = node.low if row[node.feature] <= node.split else node.high
-    return node.share >= 0.5
+    return node.share, asked
 
 
 def main_text(page: str | None, model: Node) -> str:
@@ -257,15 +292,19 @@ def main_text(page: str | None, model: Node) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    return "\n\n".join(b.text for b, row in zip(blocks, featured(blocks), strict=True) if keeps(model, row))
+    return "\n\n".join(b.text for b, row in zip(blocks, featured(blocks), strict=True) if path_of(model, row)[0] >= 0.5)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages``. Null html is an empty page;
-    repeated rows are extracted each; other columns are not read."""
+    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
+
+    Null, empty and textless html give an empty text; null ids and urls stay null; repeated rows
+    are extracted each; a very long page is read whole, by one task; an empty table gives an empty
+    one. Other columns are not read, whatever their names.
+    """
+    model = tree()  # grown once, on the driver; a few hundred nodes travel with the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tree()
         for batch in (s for x in batches for s in small_batches(x)):
             texts = [main_text(h, model) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
