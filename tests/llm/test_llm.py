@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -259,6 +260,33 @@ def test_mix_is_near_target_and_repeats(spark, data):
     assert sum(r.copies for r in a.collect()) == pareto_mix.mixed_documents(d).count()
 
 
+def test_mix_tells_repeated_ids_apart(spark):
+    """1,000 rows of one doc_id, 1,000 of none and single ones in each source: within a document."""
+    rows = [(i, "some words of text " * (1 + i % 9), "en", s) for i in range(500) for s in "abcd"]
+    rows += [(7_000, "ten words " * 5, "en", s) for s in "abcd" for _ in range(1000)] + [(None, "ten words " * 5, "en", s) for s in "abcd" for _ in range(1000)]
+    d = frame(spark, rows).repartition(5)
+    out = pareto_mix.mix(d)
+    assert out.count() == len(rows) and out.where("taken > 3 * size").count() == 0
+    for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max("size").alias("m"), F.countDistinct("copies").alias("k")).collect():
+        assert abs(r.t - r.g) <= r.m and r.k >= 2
+    mixed = pareto_mix.mixed_documents(d)
+    want = {(r.source, r.doc_id, r["size"]): r.c for r in out.groupBy("source", "doc_id", "size").agg(F.sum("copies").alias("c")).collect() if r.c}
+    got = mixed.groupBy("source", "doc_id", pareto_mix.word_count(F.col("text")).alias("size")).count().collect()
+    assert {(r.source, r.doc_id, r["size"]): r["count"] for r in got} == want
+    con = duckdb.connect()
+    con.register("documents", d.toArrow())
+    theirs = con.execute(pareto_mix.ORACLE).fetchall()
+    ours = out.select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(str((r[1], r[2], r[4])) for r in theirs) == sorted(str((r[1], r[2], r[4])) for r in ours)
+
+
+def test_inclusion_follows_the_size_class(spark):
+    rows = [(i, "w " * (1 << (i % 8)), "en", s) for i in range(8_000) for s in "ab"]
+    out = pareto_mix.mix(frame(spark, rows)).where("source = 'a'").groupBy("size").agg(F.avg("copies").alias("c")).orderBy("size").collect()
+    share = [r.c for r in out]  # source a is due two thirds of its size
+    assert all(x <= y + 0.05 for x, y in zip(share, share[1:])) and share[0] < 0.35 and share[-1] > 0.6
+
+
 def test_targets_share_the_excess(spark):
     s = spark.createDataFrame([("a", 900), ("b", 10), ("c", 90)], "source string, source_size long")
     t = {r.source: r.target for r in pareto_mix.source_targets(s).collect()}

@@ -30,6 +30,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tidewright/{name}-{uuid.uuid4().hex}"
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed to c0_, c1_, .. by position, and what each is called now:
+    an operator may then add columns of any other name. ``toDF(*df.columns)`` names them back."""
+    names = {c: f"c{i}_" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to a shared folder and read back: cuts the lineage so
     that a lost executor costs a re-read, not a recomputation."""

@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target, in words, over its size is the number of copies that each of its
-documents is due: the whole part is taken for certain, the rest is an inclusion
-probability p. Documents are ranked by the ratio of random odds to inclusion odds,
-(u / (1 - u)) / (p / (1 - p)), and the smallest ratios are taken up to the fixed size that
-is left, counted in words.
-
-The order within a source is never built in one task: ranks fall into equal bins of u, the
-bins' sums are cumulated, and only the one bin where a source reaches its size is ordered.
+A source's target, in words, over its size is the number of copies that its documents are due.
+The whole part is taken for certain. What is left of the target is a sample of fixed size, in
+words, in which documents have unequal inclusion probabilities p: in proportion to the bit
+length of their size, so that longer documents are likelier, scaled so that the words expected
+are what is left. Classes whose p would pass 1 are certain and get one more whole copy. The
+others are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and the
+smallest ratios are taken up to the size.
+
+The order within a source is never built in one task: ratios fall into equal bins of r / (1 + r),
+the bins' sums are cumulated, and only the one bin where a source reaches its size is ordered.
+Rows that repeat a source, doc_id and size are told apart by a number j, each with a u of its own.
 """
 
 from __future__ import annotations
@@ -15,24 +18,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WORD, written
+from tidewright.llm.common import WORD, plain_names, written
 
 #: No document is taken more often than this.
 MAX_COPIES = 3
-#: Bins of the random number; the ordered bin holds about this share of a source.
+#: Bins of the ranking; the ordered bin holds about this share of a source.
 BINS = 4096
+#: Copies of one document that are numbered in one go.
+RUN = 4096
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(key: Column, salt: str = "mix") -> Column:
-    """A number in (0, 1) from 48 bits of the key's md5; the same in every run."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{salt}")))
+def uniform(key: Column, j: Column, salt: str = "mix") -> Column:
+    """A number in (0, 1) from 48 bits of the md5 of key and j; the same in every run."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), j.cast("string"), F.lit(f":{salt}")))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def same(a: str, b: str, *columns: str) -> Column:
+    """Null-safe equality of columns of two aliased frames."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) -> the same with ``target``: weights 1, 2, 3 repeating in code
     point order (null last), shares of the whole, capped at MAX_COPIES times the size and the
@@ -55,67 +68,117 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.withColumn("target", target).select("source", "source_size", "target")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(source, doc_id, size, j, class, u): a row for each row of ``docs``; those of one source,
+    doc_id and size have j = 1, 2, .. and are counted before they are numbered, so that a doc_id
+    that many rows repeat crowds no task."""
+    rows = docs.select("source", "doc_id", word_count(F.col("text")).alias("size"))
+    alike = rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n"))
+    few = alike.where(F.col("n") <= RUN).select("source", "doc_id", "size", F.lit(1).cast("long").alias("a"), F.col("n").alias("b"))
+    starts = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(RUN).cast("long")))
+    many = alike.where(F.col("n") > RUN).withColumn("a", starts).select("source", "doc_id", "size", "a", F.least("n", F.col("a") + RUN - 1).alias("b"))
+    runs = few.unionByName(many.repartition("source", "doc_id", "size", "a"))
+    out = runs.select("source", "doc_id", "size", F.explode(F.sequence("a", "b")).alias("j"))
+    return out.withColumn("class", F.length(F.bin("size"))).withColumn("u", uniform(F.col("doc_id"), F.col("j")))
+
+
+def class_plan(rows: DataFrame) -> DataFrame:
+    """(source, class, source_size, target, whole, p, left): of each source's size classes, 64 at
+    most. ``left`` is what the ranked documents have to bring."""
+    classes = rows.groupBy("source", "class").agg(F.sum("size").alias("words"))
+    targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = targets.withColumn("whole", F.floor(ratio + 1e-9).cast("int"))
+    plan = plan.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    t = classes.alias("c").join(plan.alias("t"), same("c", "t", "source")).select("c.source", "class", "words", "source_size", "target", "whole", "rest")
+    own = Window.partitionBy("source")
+    above = F.coalesce(F.sum("words").over(own.orderBy(F.col("class").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum(F.col("words") * F.col("class")).over(own.orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumn("rate", F.when(upto > 0, (F.col("rest") - above) / upto))
+    # classes from the largest down are certain until the rate fits
+    fits = F.when(F.col("rate") * F.col("class") <= 1, F.struct("class", "rate"))
+    t = t.withColumn("top", F.max(fits).over(own))
+    p = F.when(F.col("class") > F.col("top.class"), 1.0).otherwise(F.least(F.lit(1.0), F.col("top.rate") * F.col("class")))
+    t = t.withColumn("p", F.coalesce(p, F.lit(0.0)))
+    certain = F.coalesce(F.sum(F.when(F.col("p") >= 1, F.col("words"))).over(own), F.lit(0))
+    return t.select("source", "class", "source_size", "target", "whole", "p", (F.col("rest") - certain).alias("left"))
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of ``docs``.
+    """doc_id, source, size, j, source_size, target, copies, taken for every row of ``docs``
+    (doc_id, text, source).
 
-    Null texts and texts without words have size 0 and are taken 0 times. Equal doc_ids get
-    equal random numbers and are ordered by size; whether both are taken is decided for each.
+    Null and empty texts and texts without words have size 0 and are taken 0 times. A null source
+    is one source, a null doc_id one id. Rows that repeat a source, doc_id and size are numbered by
+    j and sampled apart. Equal ratios: by doc_id, size, j. An empty table gives an empty one; other
+    columns are not read, whatever their names.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    rows = written(rows.withColumn("u", uniform(F.col("doc_id"))).withColumn("bin", F.floor(F.col("u") * BINS).cast("int")), "mix")
-    # (source, bin) rows only from here on: at most BINS a source
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    targets = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = targets.withColumn("ratio", ratio).withColumn("whole", F.floor(F.col("ratio") + 1e-9).cast("int"))
-    plan = plan.withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    up_to = Window.partitionBy("source").orderBy("bin")
-    cut = (
-        bins.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        .withColumn("below", F.coalesce(F.sum("words").over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("state", F.when(F.col("below") + F.col("words") <= F.col("left"), 1).when(F.col("below") >= F.col("left"), 0).otherwise(2))
-        .select("source", "bin", "source_size", "target", "ratio", "whole", "left", "below", "state")
-    )
-    cut = written(cut, "mix-bins")
-    edges = cut.where(F.col("state") == 2).select(F.col("source").alias("_s"), F.col("bin").alias("_b"), "left", "below", "ratio", "whole")
-    p = F.col("ratio") - F.col("whole")
-    inside = rows.join(edges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")))
-    inside = inside.withColumn("odds", (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
-    order = Window.partitionBy("source").orderBy("odds", "doc_id", "size")
-    inside = inside.withColumn("reach", F.col("below") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = written(numbered(docs), "mix")
+    plan = written(class_plan(rows), "mix-plan")
+    p = F.col("p")
+    known = rows.alias("r").join(plan.alias("q"), same("r", "q", "source", "class")).select("r.source", "doc_id", "size", "j", "u", "source_size", "target", "whole", "p", "left")
+    ranked = known.where((F.col("size") > 0) & (p > 0) & (p < 1)).withColumn("ratio", F.col("u") / (1 - F.col("u")) / (p / (1 - p)))
+    ranked = ranked.withColumn("bin", F.floor(F.col("ratio") / (1 + F.col("ratio")) * BINS).cast("int"))
+    # (source, bin) rows: at most BINS + 1 a source
+    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    state = F.when(F.col("below") + F.col("words") <= F.col("left"), 1).when(F.col("below") >= F.col("left"), 0).otherwise(2)
+    cut = written(bins.select("source", "bin", "below", state.alias("state")), "mix-bins")
+    met = ranked.alias("r").join(cut.alias("b"), same("r", "b", "source") & (F.col("r.bin") == F.col("b.bin"))).select("r.*", "below", "state")
+    order = Window.partitionBy("source").orderBy("ratio", "doc_id", "size", "j")
+    reach = F.col("below") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     # a document is taken if that brings the sum nearer to the size than leaving it
-    picked = inside.where(F.col("reach") - F.col("size") / 2.0 <= F.col("left")).select(F.col("doc_id").alias("_d"), F.col("size").alias("_z"), F.col("source").alias("_s")).distinct()
-    dealt = rows.join(
-        cut.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), "source_size", "target", "whole", "state"),
-        F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")),
-    ).drop("_s", "_b")
-    dealt = dealt.join(
-        picked.withColumn("_in", F.lit(1)),
-        (F.col("state") == 2) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z")) & F.col("source").eqNullSafe(F.col("_s")),
-        "left",
-    )
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.when(F.col("state") == 1, 1).when(F.col("state") == 2, F.coalesce("_in", F.lit(0))).otherwise(0))
-    return dealt.withColumn("copies", copies.cast("int")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
-    )
+    edge = met.where("state = 2").withColumn("extra", (reach - F.col("size") / 2.0 <= F.col("left")).cast("int"))
+    out = ["doc_id", "source", "size", "j", "source_size", "target", "whole", "extra"]
+    parts = [
+        known.where((F.col("size") == 0) | (p <= 0) | (p >= 1)).withColumn("extra", (p >= 1).cast("int")).select(*out),
+        met.where("state <> 2").withColumn("extra", F.col("state")).select(*out),
+        edge.select(*out),
+    ]
+    dealt = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.col("extra")).cast("int")
+    dealt = dealt.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return dealt.select("doc_id", "source", "size", "j", "source_size", "target", "copies", "taken")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; columns unchanged."""
-    copies = mix(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies").distinct()
-    names = docs.columns
-    out = docs.withColumn("_words", word_count(F.col("text"))).join(
-        copies.withColumnRenamed("copies", "_copies"),
-        F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_z")),
-    )
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    """``docs`` with each row as often as the mix takes it; columns unchanged, whatever their names.
+
+    Of rows that repeat a source, doc_id and size, which are the first, second, .. of ``mix`` is
+    settled by a number within their input partition, in order of text, on top of the counts of
+    earlier partitions: they are numbered without being gathered.
+    """
+    d, at = plain_names(docs)
+    key = ["source", "doc_id", "size"]
+    every_row = written(mix(docs).select(*key, "j", "copies"), "mix-copies")
+    copies, repeated = every_row.where("copies > 0"), every_row.where("j = 2").select(*key)
+    every = d.select("*", F.col(at["source"]).alias("source"), F.col(at["doc_id"]).alias("doc_id"), word_count(F.col(at["text"])).alias("size"), F.spark_partition_id().alias("salt"))
+    groups = copies.groupBy(*key).agg(F.max("j").alias("last"), F.max("copies").alias("copies"))
+    times = lambda x: F.explode(F.sequence(F.lit(1), x))
+    met = every.alias("d").join(groups.alias("g"), same("d", "g", *key)).select("d.*", "copies")
+    if repeated.isEmpty():
+        return met.withColumn("time", times(F.col("copies"))).select(*d.columns).toDF(*docs.columns)
+    single = met.alias("d").join(repeated.alias("g"), same("d", "g", *key), "left_anti")
+    single = single.withColumn("time", times(F.col("copies"))).select(*d.columns)
+    many = written(every.alias("d").join(repeated.alias("g"), same("d", "g", *key), "left_semi"), "mix-repeated")
+    counts = many.groupBy(*key, "salt").agg(F.count("*").alias("rows"))
+    earlier = Window.partitionBy(*key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition of the input
+    counts = written(counts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows"), "mix-counts")
+    place = F.row_number().over(Window.partitionBy(*key, "salt").orderBy(at["text"]))
+    placed = many.withColumn("place", place).alias("d").join(counts.alias("c"), same("d", "c", *key, "salt"))
+    placed = placed.select("d.*", (F.col("before") + F.col("place")).alias("j"))
+    found = placed.alias("d").join(copies.alias("c"), same("d", "c", *key, "j")).select("d.*", "copies")
+    return single.unionByName(found.withColumn("time", times(F.col("copies"))).select(*d.columns)).toDF(*docs.columns)
 
 
 ORACLE = f"""
-WITH w AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
-  FROM documents
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) AS j, length(bin(size)) AS c FROM d
+), w AS (
+  SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || j || ':mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u FROM n
 ), s AS (
   SELECT source, sum(size)::DOUBLE AS source_size, {MAX_COPIES} * sum(size)::DOUBLE AS cap,
          ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS wt
@@ -130,15 +193,30 @@ WITH w AS (
   SELECT source, source_size, least(cap, coalesce(level * wt, cap)) AS target FROM v
 ), p AS (
   SELECT source, source_size, target,
-         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio,
          floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-9::DOUBLE)::INT AS whole
   FROM t
+), r AS (
+  SELECT *, greatest(0.0, target - whole * source_size) AS rest FROM p
+), k AS (
+  SELECT w.source, c, sum(size)::DOUBLE AS words FROM w GROUP BY ALL
+), g AS (
+  SELECT k.*, (r.rest - coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY c DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / nullif(sum(words * c) OVER (PARTITION BY k.source ORDER BY c ROWS UNBOUNDED PRECEDING), 0) AS rate
+  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source
+), h AS (
+  SELECT *, max(CASE WHEN rate * c <= 1 THEN c END) OVER (PARTITION BY source) AS top FROM g
+), q AS (
+  SELECT source, c, words, coalesce(CASE WHEN c > top THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, max(CASE WHEN c = top THEN rate END) OVER (PARTITION BY source) * c) END, 0.0::DOUBLE) AS p FROM h
+), z AS (
+  SELECT *, coalesce(sum(CASE WHEN p >= 1 THEN words END) OVER (PARTITION BY source), 0) AS certain FROM q
+), x AS (
+  SELECT w.*, z.p, z.certain, r.source_size, r.target, r.whole, r.rest,
+         CASE WHEN size > 0 AND z.p > 0 AND z.p < 1 THEN u / (1 - u) / (z.p / (1 - z.p)) END AS ratio
+  FROM w JOIN z ON w.source IS NOT DISTINCT FROM z.source AND w.c = z.c JOIN r ON w.source IS NOT DISTINCT FROM r.source
 ), o AS (
-  SELECT w.*, p.source_size, p.target, p.whole, greatest(0.0, p.target - p.whole * p.source_size) AS rem,
-         sum(w.size) OVER (PARTITION BY w.source ORDER BY w.u, w.doc_id, w.size ROWS UNBOUNDED PRECEDING) AS reach
-  FROM w JOIN p ON w.source IS NOT DISTINCT FROM p.source
+  SELECT *, sum(CASE WHEN ratio IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY ratio NULLS LAST, doc_id NULLS FIRST, size, j ROWS UNBOUNDED PRECEDING) AS reach FROM x
 )
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-       (size * (whole + CASE WHEN reach - size / 2.0::DOUBLE <= rem THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + CASE WHEN p >= 1 THEN 1 WHEN ratio IS NOT NULL AND reach - size / 2.0::DOUBLE <= rest - certain THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM o
 """
