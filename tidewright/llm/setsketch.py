@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import by_bytes, mix64, small_batches, span_hashes, text_bytes, words_of, written
+from tidewright.llm.common import by_bytes, mix64, plain_names, small_batches, span_hashes, text_bytes, words_of, written
 
 BANDS, ROWS = 30, 4
 REGISTERS = BANDS * ROWS
@@ -35,8 +35,9 @@ MARGIN = 0.22
 #: Hashes of a set that its block holds: smaller sets are whole there. MARGIN's like for such a sample.
 SAMPLE = 256
 SAMPLE_MARGIN = 0.13
-#: Members of a bucket that are compared with as many others at a time.
-BLOCK = 64
+#: Members of a bucket that are compared with as many others at a time, and blocks that one task
+#: of a large bucket compares the rest with.
+BLOCK, TURN = 64, 8
 _seeds = np.random.default_rng(7).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64)
 SALT, FACTOR = _seeds[0], _seeds[1] * np.uint64(2) + np.uint64(1)
 _lower = np.arange(256, dtype=np.uint8)
@@ -67,6 +68,10 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def set_digest(items: bytes) -> bytes:
+    return hashlib.blake2b(items, digest_size=16).digest()
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """SetSketch registers of non-empty sets, (sets, REGISTERS) of 16 bits."""
     ends = np.cumsum([len(s) for s in sets])
@@ -117,7 +122,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for x in batches for s in small_batches(x)):
             sets = shingle_sets(text_bytes(batch.column(1)), size)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            digest = [set_digest(s.tobytes()) for s in sets]
             filled = [i for i, s in enumerate(sets) if len(s)]
             regs: list[bytes | None] = [None] * len(sets)
             keys: list[np.ndarray | None] = [None] * len(sets)
@@ -151,14 +156,15 @@ def likely(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the whole set as bytes of sorted 64-bit hashes."""
+    """doc_id, the whole set as bytes of sorted 64-bit hashes, and its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for x in batches for s in small_batches(x)):
             sets = [s.tobytes() for s in shingle_sets(text_bytes(batch.column(1)), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "items"])
+            digest = [set_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(digest, pa.binary())], names=["doc_id", "items", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items binary, digest binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,9 +228,13 @@ def block_links(p: pa.StructArray, z: pa.StructArray, percent: int, band: int) -
 
 def across_blocks(apart: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that ``block_links`` finds between the rest and all members of each bucket.
-    Buckets are dealt into blocks of about BLOCK members; a row is a pair of blocks."""
-    every = apart.groupBy("key", "block").agg(F.collect_list("x").alias("z")).drop("block")
-    rest = apart.where("rest").groupBy("band", "key", "block").agg(F.collect_list("x").alias("p")).drop("block")
+    Buckets are dealt into blocks of about BLOCK members; a row is a pair of blocks. A bucket's
+    blocks are dealt over tasks in turns of about TURN, and the rest goes to each turn: no task
+    has all pairs of a bucket."""
+    turns = F.ceil(F.col("blocks") / TURN)
+    every = apart.groupBy("key", "block", F.pmod("block", turns).alias("turn")).agg(F.collect_list("x").alias("z")).drop("block")
+    rest = apart.where("rest").groupBy("band", "key", "block", turns.alias("turns")).agg(F.collect_list("x").alias("p"))
+    rest = rest.select("band", "key", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +242,7 @@ def across_blocks(apart: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rest.join(every, "key").select("p", "z", "band").mapInArrow(run, "a long, b long")
+    return rest.join(every, ["key", "turn"]).select("p", "z", "band").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,30 +273,38 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Null, empty and wordless texts have an empty set, are linked with nothing and kept.
-    Rows that repeat a doc_id are one node; rows with a null doc_id have a null component and
-    are kept. Other columns are not read.
+    Rows that repeat a doc_id are one node; if their texts differ, that of the smallest set digest
+    stands for it. Rows with a null doc_id have a null component and are kept. Very long texts are
+    whole sets. An empty table gives an empty one. Other columns are not read, whatever their names.
     """
     docs = docs.select("doc_id", "text")
     sketch = written(sketches(docs, size), "sketches")
     filled = sketch.where(F.col("n").cast("boolean") & F.col("doc_id").isNotNull())
     classes = written(filled.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = filled.join(classes, (filled.doc_id == classes.rep) & (filled.digest == classes.digest), "left_semi")
-    reps = written(reps.dropDuplicates(["doc_id"]), "representatives")
+    first = F.min(F.struct("digest", "n", "regs", "keys"))
+    reps = written(reps.groupBy("doc_id").agg(first.alias("x")).select("doc_id", "x.*"), "representatives")
 
     # a set of n items is at best n / (n + 1) like another one; smaller sets link with equal ones only
     linkable = 100 * F.col("n") >= percent * (F.col("n") + 1)
     banded = reps.where(linkable).select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
     centre = F.struct(F.xxhash64("doc_id", "key").alias("h"), F.col("doc_id").alias("c"), F.col("n").alias("cn"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(centre).alias("centre")).where("size > 1")
-    members = written(banded.join(buckets.select("key", "centre.c", "centre.cn"), "key"), "buckets")
+    # written, so that the join deals both sides itself and may split a large bucket
+    buckets = written(buckets.select("key", "centre.c", "centre.cn"), "centres")
+    members = written(banded.join(buckets, "key"), "buckets")
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else too few in common
     stars = members.where((F.col("doc_id") != F.col("c")) & fits(F.col("n"), F.col("cn")))
     stars = stars.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
     tried = written(likely(stars, reps, percent / 100), "likely")
     needed = members.select("doc_id").distinct()
-    sets = written(full_sets(docs.join(needed, "doc_id", "left_semi"), size), "sets")
-    sets = sets.join(reps.select("doc_id"), "doc_id", "left_semi")
+    wanted = docs.join(needed, "doc_id", "left_semi")
+    twice = filled.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    twice = written(twice.select("doc_id"), "repeated")
+    if not twice.isEmpty():  # rows that repeat an id: each of its texts once
+        wanted = wanted.join(twice, "doc_id", "left_anti").unionByName(wanted.join(twice, "doc_id", "left_semi").distinct())
+    sets = written(full_sets(wanted, size), "sets").join(reps.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "items")
     found = written(verified(tried, sets, percent), "links")
     roots = components(found)
 
@@ -295,11 +313,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     placed = written(placed.select("band", "key", "doc_id", "n", F.coalesce("root", "doc_id").alias("comp")), "placed")
     shares = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
     mixed = shares.groupBy("key").agg(F.sum("k").alias("total"), F.max(F.struct("k", "comp")).alias("m"))
-    mixed = mixed.where(F.col("total") > F.col("m.k")).select("key", "total", F.col("m.comp").alias("main"))
+    blocks = F.ceil(F.col("total") / BLOCK)
+    mixed = written(mixed.where(F.col("total") > F.col("m.k")).select("key", blocks.alias("blocks"), F.col("m.comp").alias("main")), "mixed")
     low = sets.select("doc_id", F.substring("items", 1, 8 * SAMPLE).alias("low"))
     apart = placed.join(mixed, "key").join(low, "doc_id").join(reps.select("doc_id", "regs"), "doc_id")
-    block = F.pmod(F.xxhash64("doc_id", "key"), F.ceil(F.col("total") / BLOCK))
-    apart = written(apart.select("band", "key", block.alias("block"), F.struct("doc_id", "n", "comp", "low", "regs").alias("x"), (F.col("comp") != F.col("main")).alias("rest")), "apart")
+    block = F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks"))
+    apart = written(apart.select("band", "key", "blocks", block.alias("block"), F.struct("doc_id", "n", "comp", "low", "regs").alias("x"), (F.col("comp") != F.col("main")).alias("rest")), "apart")
     second = written(across_blocks(apart, percent).distinct(), "second").join(stars, ["a", "b"], "left_anti")
     more = written(verified(second, sets, percent), "links")
     if not more.isEmpty():
@@ -314,6 +333,10 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component; rows that repeat its doc_id stay together."""
-    gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each component, that of the smallest doc_id; rows that repeat
+    it stay together, rows without a doc_id or without words stay. Columns unchanged, whatever
+    their names."""
+    d, at = plain_names(docs)
+    nodes = near_duplicates(d.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), size, percent)
+    gone = nodes.where(~F.col("kept")).select("doc_id").distinct()
+    return d.join(gone, F.col(at["doc_id"]) == F.col("doc_id"), "left_anti").toDF(*docs.columns)
