@@ -78,6 +78,32 @@ def test_quality_held_out(spark):
     assert held.where("quality = 1 AND predicted = 0").count() <= 2
 
 
+def test_quality_is_the_size_difference(spark):
+    """The query's scores against sizes measured one block at a time, and one curve for all."""
+    import zstandard
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    m = quality_compression.train_compression(docs, spark.read.parquet(f"{d}/labels.parquet"))
+
+    def size(text, dictionary):
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(text[i : i + 512])) for i in range(0, len(text), 512))
+
+    out = {r.doc_id: r.score for r in queries()["op1_quality_classifier"](spark, d).collect()}
+    for r in docs.collect():
+        t = (r.text or "").encode()
+        g, b = size(t, m.good), size(t, m.bad)
+        assert np.isclose(out[r.doc_id], 1 / (1 + np.exp(-(m.curve[0] + m.curve[1] * ((b - g) / (b + g) if t else 0)))))
+
+
+def test_dictionaries_take_texts_in_turn():
+    long, short = b"x" * 50_000, [b"y" * 900, b"z" * 900]
+    parts = quality_compression.pieces([long, *short], 6_000)
+    assert [p[:1] for p in parts[:4]] == [b"x", b"y", b"z", b"x"] and sum(map(len, parts)) >= 6_000
+    assert quality_compression.dictionary([b"few bytes"]) == b"few bytes"
+
+
 def test_language_held_out(spark):
     d = "/root/testdata/sf0.01"
     lang = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").where("lang IS NOT NULL")

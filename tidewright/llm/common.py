@@ -55,8 +55,8 @@ def bounded_sample(df: DataFrame, class_col: str, key_col: str, k: int) -> DataF
     """At most ``k`` rows of each class: those with the smallest hash of the key.
 
     The class sizes (one row a class) decide a hash threshold first, so that the ranking
-    window sees about ``2 k`` rows a class however large the table is. Rows with a null
-    class are left out. Ties on the hash are broken by the key.
+    window sees about ``2 k`` rows a class however large the table is. Repeated rows count once.
+    Rows with a null class are left out. Ties on the hash are broken by the key.
     """
     sizes = df.where(F.col(class_col).isNotNull()).groupBy(class_col).agg(F.count("*").alias("_n"))
     spread = F.pmod(F.xxhash64(F.col(key_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
@@ -64,6 +64,7 @@ def bounded_sample(df: DataFrame, class_col: str, key_col: str, k: int) -> DataF
         df.join(F.broadcast(sizes), class_col)  # a row a class
         .withColumn("_u", spread)
         .where(F.col("_u") * F.col("_n") <= F.lit(2.0 * k + 50))
+        .distinct()
     )
     from pyspark.sql import Window
 

@@ -1,10 +1,9 @@
 """Quality classifier by compression: which dictionary, good or bad, explains a text better.
 
-Two zstandard dictionaries are built from a bounded sample of labelled texts. Every text is
+Two zstandard dictionaries are trained on a bounded sample of labelled texts. Every text is
 compressed with both, in independent blocks so that the dictionary and not the text's own
-history decides; the normalised difference of the two sizes, with the plain compression
-ratio beside it, is turned into a probability by a logistic curve fitted on the other half
-of the sample.
+history decides; the normalised difference of the two sizes is turned into a probability by a
+logistic curve fitted on the other half of the sample. Nothing else enters a score.
 """
 
 from __future__ import annotations
@@ -15,15 +14,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import bounded_sample, id_remainder, text_bytes
 
-#: Labelled rows read for each class, at most; a documented bound of the fit.
+#: Labelled rows read for each class, and bytes of their texts, at most: documented bounds of the
+#: fit. Texts past the bytes, in order of the ids' hashes, are left out whole.
 SAMPLE_ROWS = 1500
-BLOCK = 2048
-DICTIONARY_BYTES = 1 << 16
+SAMPLE_BYTES = 64 << 20
+#: Bytes that are compressed together, and bytes of a dictionary and of the samples it is trained on.
+BLOCK = 512
+DICTIONARY_BYTES = 110 << 10
+PIECE, PIECES_BYTES = 2048, 8 << 20
 LEVEL = 3
 
 
@@ -31,48 +34,34 @@ LEVEL = 3
 class CompressionModel:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
+    curve: tuple[float, float]  # log odds = curve[0] + curve[1] * difference
 
     def scorer(self) -> Scorer:
         return Scorer(self)
 
 
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    given = zstandard.ZstdCompressionDict(dictionary) if dictionary else None  # raw content where it has no dictionary's head
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=given, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
 class Scorer:
-    """Compressors of one task."""
+    """The two compressors of one task."""
 
     def __init__(self, model: CompressionModel):
-        make = lambda d: zstandard.ZstdCompressor(
-            level=LEVEL,
-            dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None,
-            write_content_size=False,
-            write_checksum=False,
-            write_dict_id=False,
-        )
-        self.good, self.bad, self.plain = make(model.good), make(model.bad), make(b"")
-        self.weights = np.array(model.weights) if model.weights else None
-
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        """Normalised size difference (positive: the good dictionary fits better), its share of
-        the plain size, and the plain ratio."""
-        if not text:
-            return 0.0, 0.0, 1.0
+        self.good, self.bad, self.curve = compressor(model.good), compressor(model.bad), model.curve
+
+    def difference(self, text: bytes) -> float:
+        """(size with the bad dictionary - size with the good one) / their sum; 0 for an empty text."""
         g = b = 0
         for i in range(0, len(text), BLOCK):
             part = text[i : i + BLOCK]
             g += len(self.good.compress(part))
             b += len(self.bad.compress(part))
-        plain = sum(len(self.plain.compress(text[i : i + BLOCK])) for i in range(0, len(text), BLOCK))
-        return (b - g) / (b + g), (b - g) / plain, plain / len(text)
+        return (b - g) / (b + g) if text else 0.0
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        return sigmoid(expand(np.array([self.features(x) for x in texts])) @ self.weights)
-
-
-def expand(x: np.ndarray) -> np.ndarray:
-    d, p, r = x.T
-    return np.column_stack([np.ones(len(x)), 10 * d, 10 * p, r, r * r, 10 * d * r])
+        return sigmoid(self.curve[0] + self.curve[1] * np.array([self.difference(x) for x in texts]))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -91,13 +80,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def pieces(texts: list[bytes], size: int = PIECES_BYTES) -> list[bytes]:
+    """Pieces of PIECE bytes, one of each text in turn, up to ``size`` bytes: a long text has no
+    larger part than a short one until the short one ends."""
+    out, at, total = [], 0, 0
+    texts = [t for t in texts if t]
+    while texts and total < size:
+        for t in texts:
+            out.append(t[at : at + PIECE])
+            total += len(out[-1])
+            if total >= size:
+                break
+        at += PIECE
+        texts = [t for t in texts if len(t) > at]
+    return out
+
+
 def dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """Raw dictionary content: an equal slice of blocks of each text, evenly spread."""
-    blocks = [t[i : i + 256] for t in texts for i in range(0, len(t), 256)]
-    if not blocks:
-        return b""
-    take = max(1, size // 256)
-    return b"".join(blocks[int(i)] for i in np.linspace(0, len(blocks) - 1, min(take, len(blocks))))
+    """A dictionary trained on pieces of the texts; of too few or too short ones, their raw bytes."""
+    parts = pieces(texts)
+    try:
+        return zstandard.train_dictionary(size, parts).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(parts)[:size]
 
 
 def fit_compression(rows: list[tuple[int, str, int]]) -> CompressionModel:
@@ -113,18 +118,19 @@ def fit_compression(rows: list[tuple[int, str, int]]) -> CompressionModel:
         seen[y] += 1
     if not seen[0] or not seen[1]:
         share = (seen[1] + 1) / (seen[0] + seen[1] + 2)
-        return CompressionModel(b"", b"", (float(np.log(share / (1 - share))), 0, 0, 0, 0, 0))
-    raw = CompressionModel(dictionary(sides[1]), dictionary(sides[0]), ())
+        return CompressionModel(b"", b"", (float(np.log(share / (1 - share))), 0.0))
+    raw = CompressionModel(dictionary(sides[1]), dictionary(sides[0]), (0.0, 0.0))
     scorer = raw.scorer()
     rest = rest or [(t, y) for y in (0, 1) for t in sides[y]]
-    x = expand(np.array([scorer.features(t) for t, _ in rest]))
-    y = np.array([y for _, y in rest], float)
-    return CompressionModel(raw.good, raw.bad, tuple(logistic(x, y)))
+    x = np.array([[1.0, 20 * scorer.difference(t)] for t, _ in rest])
+    w = logistic(x, np.array([y for _, y in rest], float), 1e-3)
+    return CompressionModel(raw.good, raw.bad, (float(w[0]), float(20 * w[1])))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], per_class: int) -> list:
     """(doc_id, text, label) of at most ``per_class`` labelled documents a class whose crc32
-    remainder is not the held-out one."""
+    remainder is not the held-out one, and at most SAMPLE_BYTES of their texts. Of repeated ids,
+    the smallest label and the smallest text count."""
     modulus, out = held
     marked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), modulus) != out))
@@ -132,8 +138,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: tuple[in
     )
     chosen = bounded_sample(marked, "y", "doc_id", per_class)
     # at most 2 * per_class rows are broadcast
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return [tuple(r) for r in joined.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()]
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    upto = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = joined.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).where(F.col("bytes") <= SAMPLE_BYTES)
+    return [tuple(r) for r in joined.select("doc_id", "text", "y").collect()]
 
 
 def train_compression(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_ROWS, held: tuple[int, int] = (5, 0)) -> CompressionModel:
@@ -143,8 +151,10 @@ def train_compression(docs: DataFrame, labels: DataFrame, per_class: int = SAMPL
 def score_compression(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, held: tuple[int, int] = (5, 0)) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts get the score of an empty text: no size difference, ratio 1.
-    Repeated rows are scored each; other columns are not read.
+    Null and empty texts have no size difference: their score is the curve's at 0. Long texts are
+    compressed whole, block by block. Repeated rows are scored each; null ids are held out by the
+    crc32 of an empty text; an empty table gives an empty one. Other columns are not read, whatever
+    their names. Ties don't arise: a score depends on its own text only.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -163,7 +173,8 @@ def score_compression(docs: DataFrame, model: CompressionModel, threshold: float
 
 
 def keep_good(docs: DataFrame, model: CompressionModel, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects, columns unchanged."""
+    """``docs`` without the rows that the classifier rejects; columns unchanged, whatever their
+    names. Null and empty texts are judged as empty ones, repeated rows each."""
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
