@@ -205,6 +205,25 @@ def test_token_cache_is_used(spark, tmp_path, library):
     assert first == sorted((str(i), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x, _, _ in ODD)
 
 
+def test_second_run_of_the_query_encodes_nothing(spark, library):
+    d = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(tuple, queries()["op10_token_counts"](spark, d).collect()))
+    first = rows()
+    stored = spark.read.parquet(token_cache.cache_of(spark, d))
+    n = stored.count()
+    counter = token_cache.counter
+    try:
+        token_cache.counter = lambda path: lambda x: [1 / 0 for _ in x]  # no text may reach a tokenizer
+        assert rows() == first
+    finally:
+        token_cache.counter = counter
+    assert spark.read.parquet(token_cache.cache_of(spark, d)).count() == n == stored.distinct().count()
+    t = library[token_cache.default_path()]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    want = [(i, len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for i, x in texts.items()]
+    assert first == sorted((i, b, k, k > 2048) for i, b, k in want)
+
+
 def plain_components(rows, size, percent):
     sets = {}
     for i, x in rows:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -20,14 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: the session's ``spark.checkpoint.dir``.
+    Where that is unset, the warehouse serves a local session; a cluster has to name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/tidewright"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see.
+    """A new folder under the shared one. What lies there serves one run; the cluster clears it."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    It lies under the session's ``spark.checkpoint.dir``; only where that is unset (local
-    tests) the warehouse folder is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/tidewright/{name}-{uuid.uuid4().hex}"
+
+def kept_dir(spark: SparkSession, name: str, key: str) -> str:
+    """A lasting folder under the shared one, the same for the same key."""
+    return f"{shared_root(spark)}/{name}-{hashlib.sha256(key.encode()).hexdigest()[:24]}"
 
 
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

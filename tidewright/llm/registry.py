@@ -52,7 +52,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_cache.token_counts(table(spark, sf_dir, "documents"))
+    return token_cache.token_counts(table(spark, sf_dir, "documents"), cache=token_cache.cache_of(spark, sf_dir))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

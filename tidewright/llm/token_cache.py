@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SPACES, shared_dir, small_batches, text_bytes, written
+from tidewright.llm.common import SPACES, kept_dir, shared_dir, small_batches, text_bytes, written
 
 LIMIT = 2048
 #: Words whose counts a task keeps.
@@ -51,6 +51,11 @@ def content_digest(text: Column, by_word: bool = True) -> Column:
     return F.unhex(F.sha2(normal, 256))
 
 
+def cache_of(spark: SparkSession, sf_dir: str) -> str:
+    """The lasting cache of the tables in ``sf_dir``: a later run encodes only what is new there."""
+    return kept_dir(spark, "token-counts", sf_dir)
+
+
 def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
     """Stored (digest, n_tokens) of one tokenizer version; none where the cache is new.
 
@@ -121,11 +126,12 @@ def encoded_counts(texts: DataFrame, path: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str | None = None, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs``.
+    """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs`` (doc_id, text).
 
-    ``cache`` is a folder that all executors share; without one a new cache is used. Null
-    texts are empty; repeated rows share one count; other columns are not read. Rows with a
-    null doc_id are counted as well.
+    ``cache`` is a folder that all executors share; without one a new cache is used. Null and
+    empty texts share the count of an empty one; repeated rows share one count, and rows with a null
+    doc_id are counted as well. Long texts are counted whole. An empty table gives an empty one.
+    Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     path = path or default_path()
