@@ -389,6 +389,79 @@ def test_periodic_texts_keep_all_chunks():
     assert long > 3
 
 
+def spelled(text):
+    """A fingerprint without the operator's code: the rolling hash, boundaries and chunk hashes in
+    whole numbers, from the definition and its fixed random codes."""
+    m64, data = (1 << 64) - 1, text.encode()
+    codes = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64).tolist()
+    rng = np.random.default_rng(20240607)
+    byte_code = [int(x) * 2 + 1 & m64 for x in rng.integers(1, 1 << 63, 256, dtype=np.uint64)]
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & m64
+        return x ^ x >> 31
+
+    if not data:
+        return "3::"
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    roll = [mixed(sum(codes[data[i - k]] << 5 * k for k in range(min(7, i + 1))) & m64) >> 32 for i in range(len(data))]
+    out = [str(block)]
+    for size in (block, 2 * block):
+        letters, chunk = "", []
+        for i, (b, r) in enumerate(zip(data, roll)):
+            chunk.append(b)
+            if r % size == size - 1 or i + 1 == len(data):
+                h = sum(byte_code[c] * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(chunk)) & m64
+                letters += piecewise.ALPHABET[mixed(h) >> 58]
+                chunk = []
+        out.append(letters)
+    return ":".join(out)
+
+
+def plain_alike(a, b):
+    """Likeness by a full table of edit distances and every common run."""
+    (x, a1, a2), (y, b1, b2) = a.split(":"), b.split(":")
+    best = 0.0 if a != b else 1.0
+    for p, q in {1.0: ((a1, b1), (a2, b2)), 2.0: ((a1, b2),), 0.5: ((a2, b1),)}.get(int(x) / int(y), ()):
+        short, long = sorted((p, q), key=len)
+        run = max(1, min(7, len(short) // 3))
+        if short and any(short[i : i + run] in long for i in range(len(short) - run + 1)):
+            best = max(best, 1 - plain_distance(p, q) / len(long))
+    return best
+
+
+def test_fingerprint_columns_against_the_definition(spark):
+    d = "/root/testdata/sf0.001"
+    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect()), reverse=True)
+    out = {r.doc_id: r for r in queries()["op9_fingerprints"](spark, d).collect()}
+    assert len(out) == len(rows)
+    for k in range(0, len(rows), 4):
+        i, t = rows[k]
+        following = rows[(k + 1) % len(rows)][1]
+        if len(t) + len(following) > 12_000:  # the definition in whole numbers is slow
+            continue
+        n = len(t) // 3
+        e, r = t[: len(t) - n] + following[:n], out[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        own, other, ahead = spelled(t), spelled(e), spelled(following)
+        assert (r.fingerprint, r.edited_fingerprint) == (own, other)
+        assert np.isclose(r.near_edited, plain_alike(own, other)) and np.isclose(r.near_next, plain_alike(own, ahead))
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    """One doc_id, or none, on most rows: they spread over partitions, and equal texts agree."""
+    rows = [(5, f"text {i % 40} " * 30) for i in range(400)] + [(None, "no id " * 20)] * 200 + [(i, f"other {i}") for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = piecewise.fingerprints(d, 8)
+    assert out.count() == len(rows)
+    assert out.groupBy("fingerprint").agg(F.countDistinct("n_chars").alias("k")).where("k > 1").count() == 0
+    a = sorted(map(str, out.collect()))
+    assert a == sorted(map(str, piecewise.fingerprints(d.repartition(3), 5).collect()))
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 50])
 def test_fingerprints_follow_descending_ids(spark, partitions):
     rng = random.Random(4)

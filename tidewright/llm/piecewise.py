@@ -137,14 +137,18 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
     One range shuffle puts the rows in order; each partition walks its own. Its first and
     last text are passed on, and the few rows at the joints are finished from those.
-    Null texts are empty. Equal doc_ids follow one another by text; null doc_ids come last. A
-    single row is its own next. Other columns are not read.
+    Null texts are empty. Equal doc_ids follow one another by a hash of the text, then by text;
+    null doc_ids come last. Ranges go by these and the row's place in the input, so that rows
+    which repeat a doc_id, or even a text, don't crowd one task. Long texts are hashed whole. A
+    single row is its own next; an empty table gives an empty one. Other columns are not read,
+    whatever their names.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    ordered = docs.repartitionByRange(n, *order[:1]).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    docs = docs.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash").asc()]
+    ordered = docs.repartitionByRange(n, *order, F.col("place").asc()).sortWithinPartitions(*order, "text", "place").select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # the row before: its next is not known yet
