@@ -1,12 +1,15 @@
 """Quality rules: fixed base rules, then a hashed n-gram logistic regression.
 
-Base counts are exact. The verdict comes from a logistic regression over hashed word and
-character n-grams, trained on a bounded sample of labelled rows, with its probability
-calibrated on rows that the weights have not seen, and compared with a fixed threshold.
+Base counts are exact. The verdict comes from a logistic regression over hashed words, pairs of
+words and n-grams of characters (code points), trained on a bounded sample of labelled rows, with
+its probability calibrated on rows that the weights have not seen, and compared with a fixed
+threshold. Texts are read in pieces that end before a word, so that a long one needs no more
+memory than a short one but for its words' numbers.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import BYTE_CODE, SPACES, by_bytes, mix64, small_batches, span_hashes, text_bytes, words_of
+from tidewright.llm.common import SPACES, mix64, small_batches, span_hashes, words_of
 from tidewright.llm.quality_compression import logistic, sigmoid, training_rows
 
 MIN_WORDS = 50
@@ -27,56 +30,114 @@ BITS = 18
 CHAR_N = (2, 4)
 #: Labelled rows read for each class, at most; a documented bound of the fit.
 SAMPLE_ROWS = 1500
-_BREAK = {ord(c): None for c in SPACES}
+#: Characters of a text, or of several short ones, that are looked at together.
+PIECE = 1 << 18
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
-def base_counts(text: str) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
-    words = text.encode().split()  # bytes.split() breaks at ASCII white space only
-    n = len(words)
+def cuts(text: str, size: int = PIECE) -> list[tuple[int, int]]:
+    """[a, b) pieces of about ``size`` characters; each but the first begins after white space."""
+    out, a = [], 0
+    while len(text) - a > size:
+        gap = _SPACE.search(text, a + size)
+        if not gap or gap.end() == len(text):
+            break
+        out.append((a, gap.end()))
+        a = gap.end()
+    return [*out, (a, len(text))]
+
+
+def base_counts(text: str, size: int = PIECE) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text.
+
+    Words are numbered in order of first sight; a window of three is a pair of numbers, the
+    second that of its first two words. Windows are compared by these numbers, not by hashes.
+    """
+    number: dict[bytes, int] = {}
+    parts = []
+    for a, b in cuts(text, size):
+        words = text[a:b].encode().split()  # bytes.split() breaks at ASCII white space only
+        for w in dict.fromkeys(words):
+            number.setdefault(w, len(number))
+        parts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+    ids = np.concatenate(parts)
     chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
     lines = Counter(x for x in text.split("\n") if x.strip(SPACES))
     dup = sum(lines.values()) - len(lines)
     repeated = 0
-    if n > 3:
-        windows = list(zip(words, words[1:], words[2:], strict=False))
-        counts = Counter(windows)
-        if len(counts) < len(windows):
-            reach = 0
-            for i, w in enumerate(windows):
-                if counts[w] > 1:
-                    repeated += i + 3 - max(i, reach)
-                    reach = i + 3
-    return n, chars, symbols, dup, repeated
-
-
-def hashed_features(texts: list[bytes], bits: int = BITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of documents [a, b) with (document, slot) of every feature occurrence: words, pairs
-    of words, and characters' byte n-grams."""
+    if len(ids) > 3:
+        pair = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
+        _, window, count = np.unique(pair[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
+        twice = count[window] > 1
+        inside = np.zeros(len(ids), bool)
+        for k in range(3):
+            inside[k : k + len(twice)] |= twice
+        repeated = int(inside.sum())
+    return len(ids), chars, symbols, dup, repeated
+
+
+def runs(texts: list[str], size: int = PIECE) -> Iterator[tuple[int, list[tuple[str, int]]]]:
+    """(first document, its and the following ones' (string, end)): short texts together, pieces of
+    a long one alone. Features begin before ``end``; what follows it only completes them."""
+    held: list[tuple[str, int]] = []
+    total = 0
+    for i, t in enumerate(texts):
+        if held and total + len(t) > size:
+            yield i - len(held), held
+            held, total = [], 0
+        if len(t) <= size:
+            held.append((t, len(t)))
+            total += len(t)
+            continue
+        for a, b in cuts(t, size):
+            ahead = _SPACE.search(t, _after_space(t, b))
+            reach = max(b + max(CHAR_N), ahead.start() if ahead else len(t)) if b < len(t) else b
+            yield i, [(t[a:reach], b - a)]
+    if held:
+        yield len(texts) - len(held), held
+
+
+def _after_space(text: str, at: int) -> int:
+    while at < len(text) and text[at] in SPACES:
+        at += 1
+    return at
+
+
+def hashed_features(texts: list[str], bits: int = BITS, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, slot) of every feature occurrence: words, pairs of words, and n-grams of
+    characters. A document may come in several parts, one after another."""
     shift = np.uint64(64 - bits)
-    for a, b in by_bytes(texts):
-        sizes = np.array([len(t) for t in texts[a:b]])
-        data = np.frombuffer(b"\n".join(texts[a:b]), np.uint8)
-        owner = np.repeat(np.arange(b - a), sizes + 1)[: len(data)]
+    for first, run in runs(texts, size):
+        data = np.frombuffer("\n".join(t for t, _ in run).encode(), np.uint8)
+        points = np.frombuffer("\n".join(t for t, _ in run).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        lengths = np.array([len(t) for t, _ in run])
+        begins = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+        owner = np.repeat(np.arange(len(run)), lengths + 1)[: len(points)]
+        ends = (begins + lengths)[owner]
+        counted = np.zeros(len(points), bool)  # characters where a feature may begin
+        for a, (_, end) in zip(begins, run, strict=True):
+            counted[a : a + end] = True
+        starts = np.flatnonzero((data & 0xC0) != 0x80)  # bytes where characters begin
         s, e = words_of(data)
+        at = np.searchsorted(starts, s)
         h = span_hashes(data, s, e)
-        doc, slot = [owner[s]], [h >> shift]
+        doc, slot = [owner[at][counted[at]]], [h[counted[at]] >> shift]
         if len(h) > 1:
             pair = mix64(h[:-1] * np.uint64(3) + h[1:])
-            same = owner[s[:-1]] == owner[s[1:]]
-            doc.append(owner[s[:-1]][same])
-            slot.append(pair[same] >> shift)
-        codes = BYTE_CODE[data]
+            ok = (owner[at[:-1]] == owner[at[1:]]) & counted[at[:-1]]
+            doc.append(owner[at[:-1]][ok])
+            slot.append(pair[ok] >> shift)
+        codes = mix64(points + np.uint64(0x9E3779B97F4A7C15))
         for n in CHAR_N:
-            if len(data) >= n:
-                gram = np.zeros(len(data) - n + 1, np.uint64)
+            if len(points) >= n:
+                gram = np.zeros(len(points) - n + 1, np.uint64)
                 for k in range(n):
-                    gram = gram * np.uint64(0x100000001B3) + codes[k : len(data) - n + 1 + k]
-                same = owner[: len(gram)] == owner[n - 1 :]
-                doc.append(owner[: len(gram)][same])
-                slot.append((gram[same] * np.uint64(0x9E3779B97F4A7C15)) >> shift)
-        yield a, b, np.concatenate(doc), np.concatenate(slot).astype(np.int64)
+                    gram = gram * np.uint64(0x100000001B3) + codes[k : len(points) - n + 1 + k]
+                ok = counted[: len(gram)] & (np.arange(n, len(points) + 1) <= ends[: len(gram)])
+                doc.append(owner[: len(gram)][ok])
+                slot.append((gram[ok] * np.uint64(0x9E3779B97F4A7C15)) >> shift)
+        yield np.concatenate(doc) + first, np.concatenate(slot).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -85,13 +146,13 @@ class NgramModel:
     calibration: tuple[float, float]
 
 
-def margins(weights: np.ndarray, texts: list[bytes]) -> np.ndarray:
+def margins(weights: np.ndarray, texts: list[str], size: int = PIECE) -> np.ndarray:
     """Mean weight of a text's features, 0 without any."""
-    out = np.zeros(len(texts))
-    for a, b, doc, slot in hashed_features(texts):
-        n = np.bincount(doc, minlength=b - a)
-        out[a:b] = np.bincount(doc, weights[slot], minlength=b - a) / np.maximum(n, 1)
-    return out
+    total, n = np.zeros(len(texts)), np.zeros(len(texts))
+    for doc, slot in hashed_features(texts, size=size):
+        total += np.bincount(doc, weights[slot], minlength=len(texts))
+        n += np.bincount(doc, minlength=len(texts))
+    return total / np.maximum(n, 1)
 
 
 def fit_ngram(rows: list[tuple[int, str, int]], passes: int = 60, rate: float = 40.0) -> NgramModel:
@@ -105,19 +166,21 @@ def fit_ngram(rows: list[tuple[int, str, int]], passes: int = 60, rate: float =
     place = np.zeros(len(rows), int)
     for y in (0, 1):
         place[labels == y] = np.arange(int((labels == y).sum()))
-    texts = [(r[1] or "").encode() for r in rows]
+    texts = [r[1] or "" for r in rows]
     docs, slots, values = [], [], []
-    for a, b, doc, slot in hashed_features(texts):
+    n = np.zeros(len(rows))
+    for doc, slot in hashed_features(texts):
         key, count = np.unique(doc * (1 << BITS) + slot, return_counts=True)
-        d = key >> BITS
-        docs.append((d + a).astype(np.int32))
+        docs.append((key >> BITS).astype(np.int32))
         slots.append((key & ((1 << BITS) - 1)).astype(np.int32))
-        values.append(count / np.bincount(doc, minlength=b - a)[d])
+        values.append(count.astype(np.float64))
+        n += np.bincount(doc, minlength=len(rows))
     flat = []
     for parts in (docs, slots, values):
         flat.append(np.concatenate(parts) if parts else np.zeros(0, int))
         parts.clear()  # never all of it twice
     d, s, v = flat
+    v = v / np.maximum(n, 1)[d]
     seen = (place % 3 != 2) | (len(rows) < 12)
     own = np.where(seen, np.where(labels == 1, 1 / max(1, (labels[seen] == 1).sum()), 1 / max(1, (labels[seen] == 0).sum())), 0)
     w, bias = np.zeros(1 << BITS), 0.0
@@ -143,10 +206,12 @@ FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def judge(docs: DataFrame, model: NgramModel, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, the five counts, base_failed, kept and the calibrated score of every row.
+    """doc_id, the five counts, base_failed, kept and the calibrated score of every row of
+    ``docs`` (doc_id, text).
 
-    Null and empty texts have zero counts, so they fail the base rules. Repeated rows are
-    judged each; other columns are not read.
+    Null and empty texts have zero counts, so they fail the base rules. Long texts are read whole,
+    in pieces. Repeated rows are judged each, null ids as any other; an empty table gives an empty
+    one. Other columns are not read, whatever their names.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -156,7 +221,7 @@ def judge(docs: DataFrame, model: NgramModel, threshold: float = THRESHOLD) -> D
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             counts = np.array([base_counts(t) for t in texts], np.int64).reshape(len(texts), 5)
             failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEATED_PERCENT * counts[:, 0])
-            score = sigmoid(m.calibration[0] * margins(m.weights, text_bytes(batch.column(1))) + m.calibration[1])
+            score = sigmoid(m.calibration[0] * margins(m.weights, texts) + m.calibration[1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)],
                 names=["doc_id", *FIELDS, "base_failed", "kept", "score"],
