@@ -111,6 +111,67 @@ def test_language_held_out(spark):
     assert held.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.98
 
 
+def test_pieces_of_a_long_text_add_up():
+    """Reading in pieces changes no code length, no count and no margin."""
+    rng = random.Random(8)
+    model = ppm_language.fit_ppm([(1, "the cat and the hat on the mat " * 20, "en"), (2, "der hund und das haus größer " * 20, "de")], 3, 1)
+    words = ["the", "hund", "größer", "cat", "x", "#$", "日本"]
+    text = "".join(rng.choice(words) + rng.choice((" ", "  ", "\n", " \t")) for _ in range(800)) + "end"
+    for t in (text, "ab" * 700, " " * 900 + "x", "", "a " * 3):
+        whole = ppm_language.code_lengths(model, [t.encode()])
+        assert all(np.allclose(ppm_language.code_lengths(model, [t.encode(), b"hat"], k)[0], whole[0]) for k in (1, 7, 64))
+        assert all(ngram_rules.base_counts(t, k) == ngram_rules.base_counts(t) == plain_base(t) for k in (5, 40))
+        weights = np.random.default_rng(3).normal(size=1 << ngram_rules.BITS)
+        assert all(np.allclose(ngram_rules.margins(weights, ["hat", t, "mat"], k), ngram_rules.margins(weights, ["hat", t, "mat"])) for k in (11, 64, 300))
+
+
+def test_model_size_is_bounded(monkeypatch):
+    rows = [(i, " ".join(random.Random(i).choices(["".join(random.Random(j).choices("abcdefgh", k=4)) for j in range(300)], k=200)), g) for i, g in enumerate("ab" * 4)]
+    full = ppm_language.fit_ppm(rows)
+    monkeypatch.setattr(ppm_language, "LEVEL_BYTES", 20_000)
+    small = ppm_language.fit_ppm(rows)
+    assert max(b.nbytes for b in small.bits[1:]) <= 20_000 < max(b.nbytes for b in full.bits)
+    assert ppm_language.languages_of(small, [rows[0][1].encode()])[0] == ["a"]
+
+
+def test_verdicts_against_a_plain_scorer(spark):
+    """The query's scores and verdicts from features spelled out one by one."""
+    d = "/root/testdata/sf0.001"
+    docs, labels_ = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    m = ngram_rules.train_ngram(docs, labels_)
+    m64 = (1 << 64) - 1
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & m64
+        return x ^ x >> 31
+
+    codes = (np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)).tolist()
+    word = lambda w: mixed(sum((codes[b] * 2 + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(w.encode())) & m64)
+
+    def score(text):
+        h = [word(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        slots = [x >> 46 for x in h] + [mixed(a * 3 + b & m64) >> 46 for a, b in zip(h, h[1:])]
+        points = [mixed(ord(c) + 0x9E3779B97F4A7C15 & m64) for c in text]
+        for n in ngram_rules.CHAR_N:
+            for k in range(len(points) - n + 1):
+                g = 0
+                for p in points[k : k + n]:
+                    g = g * 0x100000001B3 + p & m64
+                slots.append((g * 0x9E3779B97F4A7C15 & m64) >> 46)
+        z = m.calibration[0] * (sum(m.weights[i] for i in slots) / len(slots) if slots else 0.0) + m.calibration[1]
+        return 1 / (1 + np.exp(-z))
+
+    out = {r.doc_id: r for r in queries()["op5_quality_rules"](spark, d).collect()}
+    for r in docs.orderBy("doc_id").collect()[::5]:
+        t, o = r.text or "", out[r.doc_id]
+        base = plain_base(t) if len(t) < 20_000 else ngram_rules.base_counts(t)
+        assert (o.n_words, o.word_chars, o.n_symbols, o.n_dup_lines, o.n_repeat_words) == base
+        assert o.base_failed == (base[0] < 50 or 100 * base[4] > 50 * base[0])
+        s = score(t)
+        assert np.isclose(o.score, s, atol=1e-9) and o.kept == (not o.base_failed and s >= 0.3)
+
+
 def test_letterless_texts_are_unknown(spark):
     model = ppm_language.fit_ppm([(1, "the cat and the hat", "en"), (2, "der hund und das haus", "de")])
     assert ppm_language.languages_of(model, [b"", b"12 \xc2\xb2 _!", b"the hat", "der Hund".encode()])[0] == ["und", "und", "en", "de"]

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import bounded_sample, by_bytes, id_remainder, text_bytes
@@ -29,6 +29,13 @@ ORDER = 3
 SAMPLE_DOCS = 300
 #: A context seen less often than this in the whole sample is not kept.
 LEAST = 4
+#: Bytes of a level's table of code lengths, at most: rarer contexts go until it fits. The model,
+#: which is broadcast, is smaller than ORDER + 1 times this.
+LEVEL_BYTES = 24 << 20
+#: Bytes of the sample's texts for each language, at most; texts past it, in order of hash, stay out.
+SAMPLE_BYTES = 32 << 20
+#: Bytes of a text that are coded together.
+PIECE = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -80,6 +87,9 @@ def fit_ppm(rows: list[tuple[int, str, str]], order: int = ORDER, least: int = L
             seen += np.bincount(c[ok] * width + d[ok], minlength=contexts * width).reshape(contexts, width)
         seen[:, width - 1] = 0
         kept = seen >= least
+        while kept.sum() * width * n_lang * 4 > LEVEL_BYTES:
+            least *= 2
+            kept = seen >= least
         if not kept.any():
             break  # no context of this length was seen often enough
         table = np.full((contexts, width), -1, np.int32)
@@ -94,22 +104,19 @@ def fit_ppm(rows: list[tuple[int, str, str]], order: int = ORDER, least: int = L
     return PpmModel(languages, symbols, tuple(child), tuple(bits))
 
 
-def code_lengths(model: PpmModel, texts: list[bytes]) -> np.ndarray:
-    """Bits of each text under each language, (texts, languages)."""
+def code_lengths(model: PpmModel, texts: list[bytes], piece: int = PIECE) -> np.ndarray:
+    """Bits of each text under each language, (texts, languages). A long text is coded in pieces,
+    each with the few bytes before it as its context."""
     out = np.zeros((len(texts), len(model.languages)))
     order = len(model.child)
-    for a, b in by_bytes(texts, 1 << 18):
-        sizes = np.array([len(t) for t in texts[a:b]])
-        data = model.symbols[np.frombuffer(b"".join(texts[a:b]), np.uint8)].astype(np.int64)
-        if not len(data):
-            continue
-        first = np.zeros(len(data), np.int64)
+    parts = [(i, max(0, a - order), a, min(len(t), a + piece)) for i, t in enumerate(texts) for a in range(0, len(t), piece)]
+    data_of = [texts[i][a:e] for i, a, _, e in parts]
+    for first, last in by_bytes(data_of, piece):
+        sizes = np.array([len(t) for t in data_of[first:last]])
+        data = model.symbols[np.frombuffer(b"".join(data_of[first:last]), np.uint8)].astype(np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        filled = sizes > 0
-        first[starts[filled]] = starts[filled]
-        place = np.arange(len(data)) - np.maximum.accumulate(first)  # bytes since the text's start
+        place = np.arange(len(data)) - np.repeat(starts, sizes)  # bytes since the piece's start
         lengths = model.bits[0][0][data].astype(np.float64)
-        at = np.zeros(len(data), np.int64)  # longest context so far: all its suffixes were found
         alive = np.arange(len(data))
         for k in range(1, order + 1):
             # the context of k bytes before i, walked from its oldest byte
@@ -122,8 +129,8 @@ def code_lengths(model: PpmModel, texts: list[bytes]) -> np.ndarray:
             alive, at = alive[found], at[found]
             lengths[alive] = model.bits[k][at, data[alive]]
         cum = np.vstack((np.zeros(lengths.shape[1]), np.cumsum(lengths, 0)))
-        ends = starts + sizes
-        out[a:b] = cum[ends] - cum[starts]
+        for p, (i, a, begin, _) in enumerate(parts[first:last]):
+            out[i] += cum[starts[p] + sizes[p]] - cum[starts[p] + begin - a]
     return out
 
 
@@ -141,17 +148,25 @@ def languages_of(model: PpmModel, texts: list[bytes]) -> tuple[list[str], np.nda
 
 
 def train_ppm(docs: DataFrame, per_language: int = SAMPLE_DOCS, held: tuple[int, int] = (4, 2)) -> PpmModel:
-    """Reads text and non-null lang of documents outside the held-out remainder only."""
+    """Reads text and non-null lang of documents outside the held-out remainder only; of repeated
+    ids, the smallest text counts."""
     modulus, out = held
     rows = docs.select("doc_id", "text", "lang").where((id_remainder(F.col("doc_id"), modulus) != out) & F.col("text").isNotNull())
     ids = bounded_sample(rows.select("doc_id", "lang").where(F.col("doc_id").isNotNull()), "lang", "doc_id", per_language)
     chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"])  # per_language rows a language
-    return fit_ppm([tuple(r) for r in chosen.select("doc_id", "text", "lang").dropDuplicates(["doc_id", "lang"]).collect()])
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    upto = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = chosen.withColumn("bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("bytes") <= SAMPLE_BYTES)
+    return fit_ppm([tuple(r) for r in chosen.select("doc_id", "text", "lang").collect()])
 
 
 def identify(docs: DataFrame, model: PpmModel, held: tuple[int, int] = (4, 2)) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs``. Null, empty and letterless
-    texts are ``und`` with score 0; repeated rows are scored each; other columns are not read."""
+    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text).
+
+    Null, empty and letterless texts are ``und`` with score 0, and all are where no language was
+    learned. Equal code lengths: the first language by code point. Long texts are coded whole, in
+    pieces. Repeated rows are scored each; null ids are held out by the crc32 of an empty text; an
+    empty table gives an empty one. Other columns are not read, whatever their names."""
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
