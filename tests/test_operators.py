@@ -31,6 +31,20 @@ def test_embedding_is_newest_first(spark):
     assert len(out) == 42 and out[1] == [9, 7, 5, 3, 1] and out[42] == [50, 48, 46, 44, 42]
 
 
+def test_many_delays(spark):
+    """A reach beyond the bucket, in two channels and two series, against slices."""
+    rng = np.random.default_rng(2)
+    x = {k: rng.normal(size=(n, 2)) for k, n in (("a", 700), ("b", 450))}
+    rows = [(k, i + 1, v.tolist()) for k, a in x.items() for i, v in enumerate(a)]
+    d = spark.createDataFrame(rows, "k string, t long, x array<double>").repartition(3)
+    out = {(r.k, r.t): r.s for r in embedding.delay_embed(d, 50, 8, ["k"], "x", bucket=100).collect()}
+    assert len(out) == 700 + 450 - 2 * 392
+    for k, a in x.items():
+        for t in range(1, len(a) - 391):
+            window = a[t - 1 : t + 392][::-1][::8]
+            assert out[(k, t)] == window.T.ravel().tolist()
+
+
 @pytest.mark.parametrize("m,tau", [(4, 3), (40, 1)])
 def test_buckets_change_nothing(spark, m, tau):
     s = series(spark, np.sin(np.arange(300) / 7))
@@ -47,6 +61,16 @@ def test_numbering_over_time_buckets(spark):
     assert sorted((r.k, r.t, r.id) for r in out.collect()) == [("a", i + 1, v) for i, v in enumerate((11, 12, 21, 22, 31, 32))] + [("b", 1, 1)]
 
 
+def test_numbering_of_a_crowded_day(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "BUCKET", 16)
+    rng = np.random.default_rng(1)
+    rows = [("a" if i % 3 else "b", float(t), i) for i, t in enumerate(rng.integers(0, 200_000, 400))]
+    e = spark.createDataFrame(rows, "k string, s double, id int").withColumn("ts", F.timestamp_seconds("s"))
+    out = sorted((r.k, r.t, r.id) for r in embedding.numbered(e, ["k"], "ts", "id").collect())
+    want = [(k, n + 1, r[2]) for k in "ab" for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1:]))]
+    assert out == want
+
+
 def test_standardising(spark):
     x = np.random.default_rng(1).normal(size=(40, 2)) * [5, 1] + [3, -7]
     x[:, 1] = 4
@@ -176,6 +200,26 @@ def test_large_gram_equals_small(spark):
     assert np.allclose(fit.dense(fit.gram(d), (20, 20)), x.T @ x)
 
 
+def test_grouped_fits_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(120, 14)), rng.normal(size=(120, 14))
+    keys = [f"k{i % 3}" for i in range(120)]
+    d = spark.createDataFrame([(k, x.tolist(), y.tolist()) for k, x, y in zip(keys, a, b)], "k string, psi_x array<double>, psi_y array<double>").repartition(4)
+    out = fit.grouped_ridge(d, ["k"], 14, 0.1)
+    for k in set(keys):
+        mine = np.array([x == k for x in keys])
+        want = np.linalg.solve(a[mine].T @ a[mine] + 0.1 * np.eye(14), a[mine].T @ b[mine])
+        assert np.allclose(from_matrix_table(out.where(F.col("k") == k)), want)
+    held = fit.HELD
+    try:
+        fit.HELD = 200  # handed on key by key
+        g = fit.gram(d, ["k"], "psi_x", "psi_y", (14, 14)).where("k = 'k1'")
+        mine = np.array([x == "k1" for x in keys])
+        assert np.allclose(from_matrix_table(g), a[mine].T @ b[mine])
+    finally:
+        fit.HELD = held
+
+
 def test_kernel_fit(spark):
     x, y = linear_pairs(30)
     f = fit.fit_kernel(pairs(spark, x, y), 1.5, 1e-9)
@@ -339,6 +383,38 @@ def test_harmonics():
             spectral.phase_amplitude_modes(bad, 0.1)
 
 
+def test_families_are_whole_and_may_overlap():
+    turn = lambda angles: [np.exp(1j * s * a) for a in angles for s in (1, -1)]
+    v = turn((0.85, 1.5, 0.95, 0.2, 1.8))
+    assert spectral.harmonic_branches(v, 0.1)[2] == [0, 1, 4, 5, 8, 9]
+
+    def plain(v, tol=0.05, growth=1.5, top=5):
+        """From the definition: of the modes left, the slowest one's family, sorted."""
+        def family(j, g):
+            out = {j} | {next((k for k, x in enumerate(v) if abs(x - v[j].conjugate()) < tol), j)}
+            for n in range(2, top + 1):
+                for goal in (v[j] ** n, v[j].conjugate() ** n):
+                    k = min(range(len(v)), key=lambda k: abs(v[k] - goal))
+                    out |= {k} if abs(v[k] - goal) < tol * g ** (n - 1) else set()
+            return sorted(out)
+
+        upper = [k for k, x in enumerate(v) if x.imag > 1e-6 and abs(abs(x) - 1) <= 0.05]
+        first = [k for k in upper if abs(abs(v[k]) - 1) < 1e-3 and v[k].imag > 1e-4]
+        found = []
+        if first:
+            one = family(min(first, key=lambda k: v[k].imag), 1.0)
+            if len(one) < len(v):
+                found.append(one)
+        while left := [k for k in upper if not any(k in f for f in found)]:
+            found.append(family(min(left, key=lambda k: v[k].imag), growth))
+        return {i + 1: f for i, f in enumerate(found)}
+
+    rng = np.random.default_rng(21)
+    for _ in range(60):
+        v = turn(rng.uniform(0.05, 3, rng.integers(1, 7))) + [complex(rng.uniform(0.1, 0.9))]
+        assert spectral.harmonic_branches(v, 0.1) == plain(v)
+
+
 def test_fields(spark):
     d, xi = Fourier.random(2, 60, include_states=False), np.ones((60, 2), complex) * (1 + 2j)
     small = spectral.eigenfunction_slice(spark, xi, d, [[0.0, 1.0]], [2], [0.5]).collect()

@@ -252,5 +252,5 @@ def cluster_centers(df: DataFrame, k: int, value: str = "x", max_points: int | N
     points = df.select(F.col(value).cast("array<double>").alias("x"), *([key] if key else []))
     if max_points:
         points = points.orderBy(F.xxhash64(key or "x", F.lit(seed))).limit(max_points)
-    model = KMeans(k=k, maxIter=200, seed=seed, featuresCol="f").fit(points.select(array_to_vector("x").alias("f")))
+    model = KMeans(k=k, maxIter=2000, seed=seed, featuresCol="f").fit(points.select(array_to_vector("x").alias("f")))
     return [tuple(map(float, c)) for c in model.clusterCenters()]

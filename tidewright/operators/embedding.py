@@ -7,35 +7,49 @@ reach (a halo), so that no window has to hold a whole series. Nothing reaches ac
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.vectors import as_lists
+
 BUCKET = 1 << 16
+#: Up to so many delays a window's columns are lags; beyond it, strides of one array a bucket.
+FEW_DELAYS = 32
+#: Doubles of delay vectors that a task makes at a time.
+HELD = 1 << 20
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: str, tie: str, seconds: int = 86400) -> DataFrame:
     """``df`` with ``t``, the row's 1-based place in its key by (order, tie).
 
-    ``order`` is a timestamp. Rows are counted by time bucket first; a row's place is its
-    place in the bucket plus the counts of earlier buckets, so no task sorts a whole series.
+    ``order`` is a timestamp. Rows are counted by time bucket first, and a bucket of over BUCKET
+    rows is cut into as many equal spans of time as that takes; a row's place is its place in its
+    span plus the counts of earlier ones, so no task sorts a whole series or a crowded day.
     """
-    b = df.withColumn("_b", F.floor(F.unix_micros(F.col(order).cast("timestamp")) / F.lit(seconds * 1_000_000)))
-    counts = b.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    unit = seconds * 1_000_000
+    us = F.unix_micros(F.col(order).cast("timestamp"))
+    b = df.withColumn("_b", F.floor(us / F.lit(unit)))
+    same = lambda cs: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cs]
+    sizes = b.groupBy(*by, "_b").agg(F.ceil(F.count("*") / F.lit(BUCKET)).alias("_spans"))
+    b = b.alias("l").join(sizes.alias("r"), same([*by, "_b"])).select("l.*", "r._spans")
+    b = b.withColumn("_c", F.floor((us - F.col("_b") * unit) * F.col("_spans") / F.lit(unit))).drop("_spans")
+    span = [*by, "_b", "_c"]
+    counts = b.groupBy(*span).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order, tie))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_b"]]
-    joined = b.withColumn("_place", place).alias("l").join(counts.alias("r"), same)
-    return joined.select("l.*", "r._before").withColumn("t", (F.col("_place") + F.col("_before")).cast("long")).drop("_b", "_place", "_before")
+    place = F.row_number().over(Window.partitionBy(*span).orderBy(order, tie))
+    joined = b.withColumn("_place", place).alias("l").join(counts.alias("r"), same(span))
+    return joined.select("l.*", "r._before").withColumn("t", (F.col("_place") + F.col("_before")).cast("long")).drop("_b", "_c", "_place", "_before")
 
 
 def haloed(df: DataFrame, by: Sequence[str], before: int, after: int, bucket: int = BUCKET) -> tuple[DataFrame, list[str], Column]:
     """Rows with ``_bucket``, those near an edge in the neighbouring bucket as well; the keys to
-    window by; and which rows are a bucket's own."""
-    if max(before, after) > bucket:
-        raise ValueError(f"a window of {max(before, after)} rows needs a bucket of as many")
+    window by; and which rows are a bucket's own. Buckets are no shorter than a window's reach."""
+    bucket = max(bucket, before, after)
     own = F.floor((F.col("t") - 1) / F.lit(bucket))
     place = F.pmod(F.col("t") - 1, F.lit(bucket))
     near = [own]
@@ -52,19 +66,17 @@ def delay_embed(df: DataFrame, m: int, tau: int, by: Sequence[str] = ("series_id
     rows without a whole window go. ``value`` may be a number or, for several channels, an
     array: then s is channel after channel.
 
-    One window collects the strided values of short windows; t counts the delay vectors.
+    Few delays are lags in one window; many are strides of one array a bucket, in Arrow batches of
+    about HELD numbers, so that a row's reach is never copied. t counts the delay vectors.
     """
     reach = (m - 1) * tau
     many = dict(df.dtypes)[value].startswith("array")
     rows, keys, own = haloed(df.select(*by, "t", value), by, reach, 0, bucket)
+    if m > FEW_DELAYS:
+        return strided(rows, keys, by, value, m, tau, max(bucket, reach))
     w = Window.partitionBy(*keys).orderBy("t")
-    if m <= 32:
-        lags = [F.lag(value, d * tau).over(w) if d else F.col(value) for d in range(m)]
-        out = rows.withColumn("_s", F.array(*lags)).withColumn("_ok", F.lag("t", reach).over(w).isNotNull() if reach else F.lit(True))
-    else:
-        all_ = F.collect_list(value).over(w.rowsBetween(-reach, 0))
-        out = rows.withColumn("_all", all_).withColumn("_ok", F.size("_all") == reach + 1)
-        out = out.withColumn("_s", F.expr(f"transform(sequence(0, {m - 1}), d -> element_at(_all, {reach + 1} - d * {tau}))"))
+    lags = [F.lag(value, d * tau).over(w) if d else F.col(value) for d in range(m)]
+    out = rows.withColumn("_s", F.array(*lags)).withColumn("_ok", F.lag("t", reach).over(w).isNotNull() if reach else F.lit(True))
     s = F.col("_s")
     if many:
         channels = F.sequence(F.lit(0), F.size(F.get(s, F.lit(0))) - 1)
@@ -72,6 +84,33 @@ def delay_embed(df: DataFrame, m: int, tau: int, by: Sequence[str] = ("series_id
     return out.where(own & F.col("_ok")).select(*by, (F.col("t") - reach).alias("t"), s.alias("s"))
 
 
+def strided(rows: DataFrame, keys: Sequence[str], by: Sequence[str], value: str, m: int, tau: int, bucket: int) -> DataFrame:
+    """``delay_embed`` of haloed rows: a row a bucket with its values in order, 2 ``bucket`` at most."""
+    types, reach = dict(rows.dtypes), (m - 1) * tau
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", value))).alias("_all"))
+    held = held.select(*by, "_bucket", F.col("_all.t").alias("_t"), F.col(f"_all.{value}").alias("_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                t = batch.column(len(by) + 1)[r].values.to_numpy()
+                v = batch.column(len(by) + 2)[r].values
+                v = np.array(v.to_pylist(), float) if pa.types.is_list(v.type) else v.to_numpy(zero_copy_only=False).astype(float)
+                v = v.reshape(len(t), -1)
+                ends = np.flatnonzero((t - 1) // bucket == batch.column(len(by))[r].as_py())
+                ends = ends[ends >= reach]
+                delays = tau * np.arange(m)
+                step = max(1, HELD // (m * v.shape[1]))
+                for a in range(0, len(ends), step):
+                    e = ends[a : a + step]
+                    s = v[e[:, None] - delays].transpose(0, 2, 1).reshape(len(e), -1)  # channel after channel
+                    given = [pa.repeat(batch.column(k)[r], len(e)) for k in range(len(by))]
+                    yield pa.RecordBatch.from_arrays([*given, pa.array(t[e] - reach, pa.int64()), as_lists(s)], names=[*by, "t", "s"])
+
+    ddl = "".join(f"{c} {types[c]}, " for c in by) + "t long, s array<double>"
+    return held.mapInArrow(run, ddl)
+
+
 def snapshot_pairs(df: DataFrame, by: Sequence[str] = ("traj_id",), value: str = "x", bucket: int = BUCKET) -> DataFrame:
     """(keys, t, x, y): each row with its successor; a key's last row has none."""
     rows, keys, own = haloed(df.select(*by, "t", F.col(value).alias("x")), by, 0, 1, bucket)

@@ -25,8 +25,8 @@ AGGREGATE_SIZE = 12
 def gram(df: DataFrame, by: Sequence[str] = (), left: str = "psi", right: str = "psi", size: tuple[int, int] | None = None) -> DataFrame:
     """(keys, i, j, value): the sum over rows of left[i] * right[j], indices from 1.
 
-    Small products are one aggregate with partial sums; large ones become one block a
-    partition by NumPy, summed by (i, j).
+    Small products are one aggregate with partial sums; large ones are summed by NumPy in each
+    task and then row by row.
     """
     if size is None:
         first = df.select(F.size(left), F.size(right)).first()
@@ -37,26 +37,88 @@ def gram(df: DataFrame, by: Sequence[str] = (), left: str = "psi", right: str =
         wide = df.groupBy(*by).agg(*sums)
         cells = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), F.col(f"v{i}_{j}").alias("value")) for i in range(p) for j in range(q)])
         return wide.select(*by, F.explode(cells).alias("c")).select(*by, "c.i", "c.j", "c.value")
-    if by:
-        raise ValueError("grouped sums are for small dictionaries")
+    rows = summed_rows(df, by, left, right, (p, q))
+    cells = rows.select(*by, "i", F.posexplode("row").alias("j", "value"))
+    return cells.select(*by, "i", (F.col("j") + 1).alias("j"), "value")
+
+
+#: Numbers that a task holds of grouped sums before it hands them on.
+HELD = 1 << 22
+
+
+def summed_rows(df: DataFrame, by: Sequence[str], left: str, right: str, size: tuple[int, int]) -> DataFrame:
+    """(keys, i, row): row i of the sum of left * right' of each key. Each task adds up its own rows
+    by NumPy, key by key, and hands on whole rows of the sums, which meet by (key, i)."""
+    p, q = size
+    types = dict(df.dtypes)
+    names = [*by, "i", "row"]
+
+    def pack(totals: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for key, total in totals.items():
+            for a in range(0, p, 256):
+                part = total[a : a + 256]
+                given = [pa.array([k] * len(part), schemas[c]) for c, k in zip(by, key, strict=True)]
+                yield pa.RecordBatch.from_arrays([*given, pa.array(range(a + 1, a + 1 + len(part)), pa.int32()), as_lists(part)], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schemas = {c: to_arrow_type(df.schema[c].dataType) for c in by}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((p, q))
+        totals: dict[tuple, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                x, y = rows_of(b.column(len(by))), rows_of(b.column(len(by) + 1))
+                keys = list(zip(*(b.column(c).to_pylist() for c in range(len(by))), strict=True)) if by else [()] * b.num_rows
+                number = {k: n for n, k in enumerate(dict.fromkeys(keys))}
+                of = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
+                for k, n in number.items():
+                    mine = slice(None) if len(number) == 1 else of == n
+                    add = x[mine].T @ y[mine]
+                    totals[k] = totals[k] + add if k in totals else add
+                if len(totals) > 1 and len(totals) * p * q > HELD:
+                    yield from pack(totals)
+                    totals = {}
+        yield from pack(totals)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                total += rows_of(b.column(0)).T @ rows_of(b.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, p + 1), pa.int32()), as_lists(total)], names=["i", "row"])
-
-    blocks = df.select(left, F.col(right).alias("_right")).mapInArrow(run, "i int, row array<double>")
-    cells = blocks.select("i", F.posexplode("row").alias("j", "value"))
-    return cells.groupBy("i", (F.col("j") + 1).alias("j")).agg(F.sum("value").alias("value"))
+            for key, row in zip(zip(*(b.column(c).to_pylist() for c in range(len(by) + 1)), strict=True), rows_of(b.column(len(by) + 1)), strict=True):
+                if key in held:
+                    held[key] += row
+                else:
+                    held[key] = row.copy()
+        keys = list(held)
+        for a in range(0, len(keys), 256):
+            part = keys[a : a + 256]
+            given = [pa.array([k[c] for k in part], schemas[x]) for c, x in enumerate(by)]
+            yield pa.RecordBatch.from_arrays([*given, pa.array([k[-1] for k in part], pa.int32()), as_lists(np.array([held[k] for k in part]))], names=names)
+
+    ddl = "".join(f"{c} {types[c]}, " for c in by) + "i int, row array<double>"
+    parts = df.select(*by, left, F.col(right).alias("_right")).mapInArrow(run, ddl)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(n, *by, "i").mapInArrow(add_up, ddl)
 
 
 def dense(table: DataFrame, size: tuple[int, int]) -> np.ndarray:
     """A learned matrix on the driver: its size follows the dictionary, not the data."""
     out = np.zeros(size)
-    for i, j, v in table.select("i", "j", "value").collect():
-        out[i - 1, j - 1] = v
+    cells = table.select(F.col("i").cast("int"), F.col("j").cast("int"), F.col("value").cast("double")).toArrow()
+    i, j, v = (cells.column(c).to_numpy() for c in range(3))
+    out[i - 1, j - 1] = v
+    return out
+
+
+def product(df: DataFrame, left: str, right: str, size: tuple[int, int]) -> np.ndarray:
+    """The sum of left * right' on the driver, size[0] x size[1] doubles that arrive as Arrow rows."""
+    if max(size) <= AGGREGATE_SIZE:
+        return dense(gram(df, (), left, right, size), size)
+    rows = summed_rows(df, (), left, right, size).toArrow()
+    out = np.zeros(size)
+    if rows.num_rows:
+        out[rows.column(0).to_numpy() - 1] = rows_of(rows.column(1))
     return out
 
 
@@ -69,7 +131,7 @@ def widths(df: DataFrame, *columns: str) -> list[int]:
 
 def qr_factor(df: DataFrame, columns: Sequence[str], tasks: int = 16) -> np.ndarray:
     """R of the QR factorisation of the rows' concatenated columns: each partition reduces its
-    rows to one triangle, a few tasks reduce these, the driver the last few."""
+    rows to one triangle, a few tasks reduce these, and one task the last few."""
     width = sum(widths(df, *columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +146,9 @@ def qr_factor(df: DataFrame, columns: Sequence[str], tasks: int = 16) -> np.ndar
             yield pa.RecordBatch.from_arrays([as_lists(r)], names=["row"])
 
     rows = df.select(F.concat(*columns).alias("row")).mapInArrow(run, "row array<double>")
-    fewer = rows.repartition(tasks).mapInArrow(run, "row array<double>")  # triangles only; at most tasks * width rows reach the driver
-    return np.linalg.qr(np.array([r[0] for r in fewer.collect()]), mode="r")
+    # triangles only from here on: a few tasks, then one, whose triangle reaches the driver
+    one = rows.repartition(tasks).mapInArrow(run, "row array<double>").repartition(1).mapInArrow(run, "row array<double>")
+    return np.linalg.qr(rows_of(one.toArrow().column(0)).reshape(-1, width), mode="r")
 
 
 def pinv(m: np.ndarray) -> np.ndarray:
@@ -96,7 +159,7 @@ def fit_operator(df: DataFrame, method: str = "ridge", alpha: float = 1e-3, x: s
     """K of (psi_x, psi_y) rows. ``ridge``: (G + alpha I)^-1 A; ``pinv``: least squares."""
     p, q = widths(df, x, y)
     if method == "ridge":
-        g, a = dense(gram(df, (), x, x, (p, p)), (p, p)), dense(gram(df, (), x, y, (p, q)), (p, q))
+        g, a = product(df, x, x, (p, p)), product(df, x, y, (p, q))
         return np.linalg.solve(g + alpha * np.eye(p), a)
     if method == "pinv":
         r = qr_factor(df, [x, y])
@@ -108,7 +171,7 @@ def fit_operator(df: DataFrame, method: str = "ridge", alpha: float = 1e-3, x: s
 def fit_projection(df: DataFrame, x: str = "x", psi: str = "psi_x", alpha: float = 1e-6) -> np.ndarray:
     """B with x ~ B psi: C (G + alpha I)^-1."""
     n, p = widths(df, x, psi)
-    g, c = dense(gram(df, (), psi, psi, (p, p)), (p, p)), dense(gram(df, (), x, psi, (n, p)), (n, p))
+    g, c = product(df, psi, psi, (p, p)), product(df, x, psi, (n, p))
     return np.linalg.solve(g + alpha * np.eye(p), c.T).T
 
 
@@ -120,7 +183,8 @@ def lifted_pairs(pairs: DataFrame, d: Dictionary) -> DataFrame:
 
 
 def grouped_ridge(df: DataFrame, by: Sequence[str], size: int, alpha: float = 1e-3, x: str = "psi_x", y: str = "psi_y") -> DataFrame:
-    """(keys, i, j, value): one ridge operator for each key, solved on the executors."""
+    """(keys, i, j, value): one ridge operator for each key, solved on the executors; of any size
+    that a task can solve."""
     g = gram(df, by, x, x, (size, size)).withColumnRenamed("value", "g")
     a = gram(df, by, x, y, (size, size)).withColumnRenamed("value", "a")
 
@@ -267,7 +331,7 @@ def principal_axes_by_gram(df: DataFrame, value: str = "s") -> tuple[np.ndarray,
     """(U, sigma) from the eigenvectors of the sum of outer products; sigma below about 1e-8 of
     the largest is noise."""
     (n,) = widths(df, value)
-    lam, u = np.linalg.eigh(dense(gram(df, (), value, value, (n, n)), (n, n)))
+    lam, u = np.linalg.eigh(product(df, value, value, (n, n)))
     return signed(u[:, ::-1]), np.sqrt(np.maximum(lam[::-1], 0))
 
 

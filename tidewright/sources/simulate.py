@@ -104,9 +104,11 @@ def euler_maruyama(starts: DataFrame, drift: Parameters | Field, dt: float, m: i
 
 
 def box_starts(spark: SparkSession, n_traj: int, center: Sequence[float], scale: float | Sequence[float] = 1.0, seed: int = 0) -> DataFrame:
-    """(traj_id, x0): uniform in the box center +- scale; traj_id from 1."""
+    """(traj_id, x0): uniform in the box center +- scale, from 48 bits of the md5 of trajectory,
+    seed and coordinate; traj_id from 1."""
     s = [float(scale)] * len(center) if np.isscalar(scale) else list(map(float, scale))
-    u = lambda i: (F.pmod(F.xxhash64("traj_id", F.lit(int(seed)), F.lit(i)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    digest = lambda i: F.md5(F.concat_ws(":", "traj_id", F.lit(int(seed)), F.lit(i)).cast("binary"))
+    u = lambda i: (F.conv(F.substring(digest(i), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     x0 = F.array(*[F.lit(float(c)) + F.lit(w) * (2 * u(i) - 1) for i, (c, w) in enumerate(zip(center, s, strict=True))])
     return spark.range(1, n_traj + 1).select(F.col("id").alias("traj_id")).withColumn("x0", x0)
 
