@@ -472,14 +472,16 @@ def test_matrix_exponential():
     assert np.allclose(fit.expm(a), [[np.cos(2), -np.sin(2)], [np.sin(2), np.cos(2)]])
 
 
-def test_figures(spark):
+def test_figures(spark, tmp_path):
     t = training.edmd_training_data(spark, "lorenz", "chaotic", 5, 2)
     curves = t.select("traj_id", "t", "x")
     c, limits = figures.phase_portrait(curves)
     assert c.count() == 10 and limits.count() == 2 and set(figures.all_views(curves)) == {"xyz", "xy", "xz", "yz"}
     assert figures.clustered(spark, t, [(0, 0, 0)]).count() == 11 and figures.unit_circle(spark, 8).count() == 9
     assert figures.time_series(curves, 0.5).agg(F.max("time")).first()[0] == 2.0
-    assert len(figures.tones("primary")) == 8 and figures.tones("accent")[0] == figures.COLORS["accent"]
+    assert figures.tones("blue", 9)[0] == figures.tones("blue", 9)[8] == "#142850" and figures.tones("blue")[1] == figures.COLORS["primary"] and figures.tones("orange")[2] == figures.COLORS["accent"]
+    path = figures.save(c, str(tmp_path), "portrait")
+    assert figures.save(c, str(tmp_path) + "/", "portrait") == path and spark.read.parquet(path).count() == 10
     s, v = training.hankel_training_data(spark, "rossler", "chaotic", 4, 2, 40)
     assert s.count() == 41 and v.count() == 35
 

@@ -236,6 +236,26 @@ def lift(df: DataFrame, d: Dictionary, value: str = "x", name: str = "psi") -> D
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(DoubleType()))]))
 
 
+def gradients(df: DataFrame, d: Dictionary, keys: Sequence[str], value: str = "x", xi: np.ndarray | None = None) -> DataFrame:
+    """(keys, i, j, value) of every row's Jacobian of the features (coordinate i, feature j, from 1),
+    or, with coefficients ``xi``, (keys, i, value) of the gradient of Re(psi' xi)."""
+    types = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = np.array([d.gradient(x) for x in rows_of(b.column(len(keys)))])
+            g = np.real(g @ xi)[:, :, None] if xi is not None else g
+            n, p, q = g.shape
+            given = [c.take(pa.array(np.repeat(np.arange(n), p * q))) for c in b.columns[: len(keys)]]
+            i, j = (np.tile(v.ravel() + 1, n).astype(np.int32) for v in np.indices((p, q)))
+            yield pa.RecordBatch.from_arrays([*given, pa.array(i), pa.array(j), pa.array(g.ravel())], names=[*keys, "i", "j", "value"])
+
+    out = df.select(*keys, value).mapInArrow(run, "".join(f"{k} {types[k]}, " for k in keys) + "i int, j int, value double")
+    return out.drop("j") if xi is not None else out
+
+
 def lift_state(d: Dictionary, x: Sequence[float]) -> np.ndarray:
     return d.batch(np.asarray(x, float)[None])[0]
 

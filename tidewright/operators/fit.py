@@ -298,13 +298,14 @@ def kernel_sums(pairs: DataFrame, landmarks: np.ndarray, sigma: float, tasks: in
     return np.array([r.row for r in sorted(sums.collect(), key=lambda r: r.i)])
 
 
-def fit_landmarks(pairs: DataFrame, sigma: float, n_landmarks: int, alpha: float = 1e-6, seed: int = 0, keys: Sequence[str] = ("t",)) -> KernelFit:
-    """Kernel fit on all snapshot pairs; ``n_landmarks`` of their x, by smallest hash, are only the
-    features: k(y) ~ K' k(x), x ~ B k(x) in least squares with a ridge. Moves states with time."""
+def fit_landmarks(pairs: DataFrame, sigma: float, n_landmarks: int, alpha: float = 1e-6, seed: int = 0, keys: Sequence[str] = ("t",), landmarks: np.ndarray | None = None) -> KernelFit:
+    """Kernel fit on all snapshot pairs; the given landmarks, or ``n_landmarks`` of the pairs' x by
+    smallest hash, are only the features: k(y) ~ K' k(x), x ~ B k(x) in least squares with a ridge. Moves states with time."""
     if n_landmarks > MAX_LANDMARKS:
         raise ValueError(f"over {MAX_LANDMARKS} landmarks")
-    chosen = pairs.select(*keys, "x").orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n_landmarks).collect()
-    landmarks = np.array([r["x"] for r in sorted(chosen)], float)
+    if landmarks is None:
+        chosen = pairs.select(*keys, "x").orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n_landmarks).collect()
+        landmarks = np.array([r["x"] for r in sorted(chosen)], float)
     m = len(landmarks)
     sums = kernel_sums(pairs, landmarks, sigma)
     xx, xy, xs = sums[:, :m], sums[:, m : 2 * m], sums[:, 2 * m :]

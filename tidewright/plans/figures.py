@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import spectral, stats
 
-# The colours of the figures.
+# The colours of the figures, and the two cycles of tones as red, green, blue.
 COLORS = {"primary": "#2d607e", "accent": "#dc6e00", "secondary": "#8faadc", "background": "#fafafa"}
+TONES = {
+    "blue": [(20, 40, 80), (45, 96, 126), (80, 140, 180), (120, 170, 210), (143, 170, 220), (180, 200, 240), (210, 225, 250), (100, 150, 200)],
+    "orange": [(120, 50, 0), (180, 80, 0), (220, 110, 0), (255, 140, 0), (255, 165, 0), (255, 190, 60), (255, 210, 120), (200, 100, 20)],
+}
 
 
 def tones(name: str, count: int = 8) -> list[str]:
-    """A cycle from a base colour towards white."""
-    base = [int(COLORS[name][i : i + 2], 16) for i in (1, 3, 5)]
-    return ["#" + "".join(f"{round(c + (255 - c) * k / (count + 2)):02x}" for c in base) for k in range(count)]
+    """``count`` colours of a cycle of tones, from its start again after its end."""
+    return ["#%02x%02x%02x" % TONES[name][k % len(TONES[name])] for k in range(count)]
+
+
+def save(figure: DataFrame, save_dir: str, name: str, format: str = "parquet") -> str:
+    """Writes a figure's table to ``save_dir/name``, over an earlier one; the path."""
+    path = f"{save_dir.rstrip('/')}/{name}"
+    figure.write.mode("overwrite").format(format).save(path)
+    return path
 
 
 def projection(trajectories: DataFrame, dims: Sequence[int], key: str = "traj_id", limit: int | None = None) -> DataFrame:

@@ -496,17 +496,6 @@ def fixed_points_all(spark, sf_dir):
     return dynamics.fixed_points_table(spark)
 
 
-@query()
-def euler_maruyama(spark, sf_dir):
-    p = dynamics.parameters("fhn", "stable-node", "additive", 0.05)
-    return simulate.euler_maruyama(simulate.box_starts(spark, 8, [0.0, 0.0], 1.0, 7), p, 0.01, 200, seed=3)
-
-
-@query()
-def limit_cycle(spark, sf_dir):
-    return simulate.detect_limit_cycle(spark, dynamics.parameters("fhn", "stable-limit-cycle"), 0.05, 400, 600, x0=[0.1, 0.0])
-
-
 # --- whole analyses (no SQL) --------------------------------------------------------------
 
 
@@ -559,3 +548,6 @@ def nearest_embeddings(spark, sf_dir):
 @query("""WITH e AS (SELECT ts, event_id, event_type, value FROM events) SELECT event_type, count(*) - 1 AS pairs FROM e GROUP BY event_type""")
 def pair_counts(spark, sf_dir):
     return embedding.snapshot_pairs(events(spark, sf_dir), BY, "value").groupBy("event_type").agg(F.count("*").alias("pairs"))
+
+
+from tidewright import model_queries  # noqa: E402, F401  more of them, registered on import

@@ -75,6 +75,21 @@ def rk4(starts: DataFrame, rhs: Parameters | Field, dt: float, m: int, every: in
     return starts.select(F.col("traj_id").cast("long"), "x0").mapInArrow(run, TRAJECTORY)
 
 
+def evaluated(df: DataFrame, p: Parameters, keys: Sequence[str], value: str = "x") -> DataFrame:
+    """(keys, f, g): drift and diffusion at every row's state, in Arrow batches. For long right-hand
+    sides, whose columns would make a large plan."""
+    types = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = list(rows_of(b.column(len(keys))).T)
+                parts = [as_lists(np.stack(v).T) for v in (p.drift(x), p.diffusion(x))]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *parts], names=[*keys, "f", "g"])
+
+    return df.select(*keys, value).mapInArrow(run, "".join(f"{k} {types[k]}, " for k in keys) + "f array<double>, g array<double>")
+
+
 def normals(seed: int, ids: np.ndarray, step: int, dim: int) -> np.ndarray:
     """Standard normals (dim, trajectories) from a counter: a hash of seed, trajectory, step and
     coordinate gives two uniforms, and these a normal (Box-Muller)."""
