@@ -134,7 +134,8 @@ def test_quality_is_the_size_difference(spark):
     for r in docs.collect():
         t = (r.text or "").encode()
         g, b = size(t, m.good), size(t, m.bad)
-        assert np.isclose(out[r.doc_id], 1 / (1 + np.exp(-(m.curve[0] + m.curve[1] * ((b - g) / (b + g) if t else 0)))))
+        z = m.curve[0] + (g + b) / (g + b + 100) * (m.curve[1] + m.curve[2] * (b - g) / max(1, g + b))
+        assert np.isclose(out[r.doc_id], 1 / (1 + np.exp(-z)))
 
 
 def test_dictionaries_take_texts_in_turn():

@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained on a bounded sample of labelled texts. Every text is
 compressed with both, in independent blocks so that the dictionary and not the text's own
 history decides; the normalised difference of the two sizes is turned into a probability by a
-logistic curve fitted on the other half of the sample. Nothing else enters a score.
+logistic curve fitted on the other half of the sample. The curve shrinks a text of few compressed
+bytes towards the base rate, as its difference says little. Nothing else enters a score.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ BLOCK = 512
 DICTIONARY_BYTES = 110 << 10
 PIECE, PIECES_BYTES = 2048, 8 << 20
 LEVEL = 3
+#: Compressed bytes (both sizes together) at which a text's difference counts half.
+HALF = 100
 
 
 @dataclass(frozen=True)
 class CompressionModel:
     good: bytes
     bad: bytes
-    curve: tuple[float, float]  # log odds = curve[0] + curve[1] * difference
+    curve: tuple[float, float, float]  # log odds = curve[0] + weight * (curve[1] + curve[2] * difference)
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -51,17 +54,23 @@ class Scorer:
     def __init__(self, model: CompressionModel):
         self.good, self.bad, self.curve = compressor(model.good), compressor(model.bad), model.curve
 
-    def difference(self, text: bytes) -> float:
-        """(size with the bad dictionary - size with the good one) / their sum; 0 for an empty text."""
+    def sizes(self, text: bytes) -> tuple[int, int]:
+        """Compressed with the good and with the bad dictionary; an empty text has none."""
         g = b = 0
         for i in range(0, len(text), BLOCK):
             part = text[i : i + BLOCK]
             g += len(self.good.compress(part))
             b += len(self.bad.compress(part))
-        return (b - g) / (b + g) if text else 0.0
+        return g, b
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """1, the weight n / (n + HALF) of n compressed bytes, and (bad - good) / n times it."""
+        g, b = np.array([self.sizes(t) for t in texts], float).reshape(-1, 2).T
+        n = g + b
+        return np.column_stack((np.ones(len(n)), n / (n + HALF), (b - g) / (n + HALF)))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return sigmoid(self.curve[0] + self.curve[1] * np.array([self.difference(x) for x in texts]))
+        return sigmoid(self.features(texts) @ np.array(self.curve))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -118,13 +127,12 @@ def fit_compression(rows: list[tuple[int, str, int]]) -> CompressionModel:
         seen[y] += 1
     if not seen[0] or not seen[1]:
         share = (seen[1] + 1) / (seen[0] + seen[1] + 2)
-        return CompressionModel(b"", b"", (float(np.log(share / (1 - share))), 0.0))
-    raw = CompressionModel(dictionary(sides[1]), dictionary(sides[0]), (0.0, 0.0))
-    scorer = raw.scorer()
+        return CompressionModel(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0))
+    raw = CompressionModel(dictionary(sides[1]), dictionary(sides[0]), (0.0, 0.0, 0.0))
     rest = rest or [(t, y) for y in (0, 1) for t in sides[y]]
-    x = np.array([[1.0, 20 * scorer.difference(t)] for t, _ in rest])
-    w = logistic(x, np.array([y for _, y in rest], float), 1e-3)
-    return CompressionModel(raw.good, raw.bad, (float(w[0]), float(20 * w[1])))
+    scale = np.array([1.0, 1.0, 20.0])  # a difference is some hundredths
+    w = logistic(raw.scorer().features([t for t, _ in rest]) * scale, np.array([y for _, y in rest], float), 1e-3) * scale
+    return CompressionModel(raw.good, raw.bad, tuple(map(float, w)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], per_class: int) -> list:
@@ -151,7 +159,7 @@ def train_compression(docs: DataFrame, labels: DataFrame, per_class: int = SAMPL
 def score_compression(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, held: tuple[int, int] = (5, 0)) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts have no size difference: their score is the curve's at 0. Long texts are
+    Null and empty texts have no bytes: their score is the curve's base rate. Long texts are
     compressed whole, block by block. Repeated rows are scored each; null ids are held out by the
     crc32 of an empty text; an empty table gives an empty one. Other columns are not read, whatever
     their names. Ties don't arise: a score depends on its own text only.

@@ -12,7 +12,7 @@ from tidewright.llm.common import table
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by two trained dictionaries; fitted on labelled rows that aren't
-    held out. Null and empty texts: the curve at no difference. Repeated rows each."""
+    held out. Null and empty texts: the base rate. Repeated rows each."""
     docs = table(spark, sf_dir, "documents")
     model = quality_compression.train_compression(docs, table(spark, sf_dir, "labels"))
     return quality_compression.score_compression(docs, model)
