@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import dynamics
-from tidewright.functions.lifts import Hermite, Radial, gradients, lift, padded
+from tidewright.functions.lifts import Hermite, Radial, cluster_centers, gradients, lift, padded
 from tidewright.functions.vectors import matrix_table, spectrum_table
 from tidewright.operators import diagnostics, embedding, fit, predict, spectral, stats
 from tidewright.plans import config as plans
@@ -411,12 +411,12 @@ def slice_lift(spark, sf_dir):
 
 
 CENTRES = ((0.0, 0.0), (1.5, -0.5), (-1.0, 2.0))
-POINTS = "p AS (SELECT s_suppkey AS id, s_acctbal / 3000e0 AS x, s_nationkey / 10e0 - 1 AS y FROM supplier)"
+POINTS = "p AS (SELECT s_suppkey AS id, s_acctbal / 2911e0 AS x, s_nationkey / 9.7e0 - 1 AS y FROM supplier)"
 
 
 def suppliers(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
-    return s.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 3000.0, F.col("s_nationkey") / 10.0 - 1).alias("x"))
+    return s.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 2911.0, F.col("s_nationkey") / 9.7 - 1).alias("x"))
 
 
 def gradient_sql(kernel: str) -> str:
@@ -461,12 +461,42 @@ def meshgrid(spark, sf_dir):
     return diagnostics.meshgrid(spark, [0.5 * j for j in range(1, 41)], [float(i * i) for i in range(1, 31)])
 
 
-@query("""WITH p AS (SELECT vec_id AS t, embedding::DOUBLE[] AS x FROM embeddings), d AS (SELECT a.t, b.t AS nn, list_distance(a.x, b.x) AS d FROM p a JOIN p b ON a.t <> b.t)
-SELECT t, round(min(d), 6) + 0e0 AS distance FROM d GROUP BY t""")
-def nearest_distances(spark, sf_dir):
-    """The distance of every embedding to its nearest other one."""
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("s"))
-    return diagnostics.nearest_neighbours(e).select("t", rounded("distance").alias("distance"))
+# --- clusters and zero levels -------------------------------------------------------------
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT x + 100 * (id % 3) AS x, y - 50 * (id % 3) AS y, id % 3 AS g FROM p)
+SELECT (row_number() OVER (ORDER BY avg(x)))::INT AS k, {shown(5, c1='avg(x)', c2='avg(y)')} FROM c GROUP BY g""")
+def cluster_means(spark, sf_dir):
+    """Three far groups of the suppliers' points: the centres are the groups' means."""
+    s = suppliers(spark, sf_dir)
+    g = F.col("id") % 3
+    moved = s.select("id", F.array(F.get("x", F.lit(0)) + 100 * g, F.get("x", F.lit(1)) - 50 * g).alias("x"))
+    centres = sorted(cluster_centers(moved, 3, key="id"))
+    out = spark.createDataFrame([(k + 1, *c) for k, c in enumerate(centres)], "k int, c1 double, c2 double")
+    return out.select("k", rounded("c1", 5).alias("c1"), rounded("c2", 5).alias("c2"))
+
+
+@query(f"""WITH RECURSIVE {POINTS}, o AS (SELECT id, y, row_number() OVER (ORDER BY id) AS n FROM p),
+r AS (SELECT 1::BIGINT AS n, [(SELECT y FROM o WHERE n = 1)] AS kept, [(SELECT id FROM o WHERE n = 1)] AS ids
+  UNION ALL SELECT o.n, CASE WHEN len(list_filter(kept, lambda k: abs(k - y) < 0.05e0)) = 0 THEN list_append(kept, y) ELSE kept END,
+  CASE WHEN len(list_filter(kept, lambda k: abs(k - y) < 0.05e0)) = 0 THEN list_append(ids, id) ELSE ids END FROM r JOIN o ON o.n = r.n + 1),
+l AS (SELECT kept, ids FROM r ORDER BY n DESC LIMIT 1)
+SELECT unnest(ids) AS start, 0.25e0 AS x1, round(unnest(kept), 3) + 0e0 AS x2, true AS converged FROM l""")
+def zero_line(spark, sf_dir):
+    """Where the mode x1 - 0.25 vanishes, from every supplier's point: straight down to the line,
+    and of ends within 0.05 the first start's."""
+    xi = np.array([[-0.25], [0.0], [1.0]], complex)
+    s = suppliers(spark, sf_dir)
+    out = diagnostics.zero_level_points(s, Hermite(2, 1), xi, [1], s.count(), 200, key="id")
+    return out.select("start", F.round(F.get("x", F.lit(0)), 3).alias("x1"), rounded(F.get("x", F.lit(1)), 3).alias("x2"), "converged")
+
+
+@query(f"WITH {LIFT}, {ridge_sql('l', 3, '0e0')} " + " UNION ALL ".join(f"SELECT {i + 1}::INT AS i, {j}::INT AS j, round({e} / {DET}, 5) + 0e0 AS value FROM m" for j in (1, 2, 3) for i, e in enumerate(cramer(str(j)))))
+def operator_states(spark, sf_dir):
+    """A fit on snapshot pairs without embedding, by least squares."""
+    s = embedding.delay_embed(one_series(spark, sf_dir), 2, 1, [])
+    c = plans.Config(dict_type="hermite", dict_params={"max_deg": 1}, edmd_method="pinv")
+    return cells(plans.state_analysis(embedding.snapshot_pairs(s, [], "s"), c).operator_table(spark), 5)
 
 
 # --- spectra ------------------------------------------------------------------------------

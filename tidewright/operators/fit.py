@@ -129,10 +129,10 @@ def widths(df: DataFrame, *columns: str) -> list[int]:
     return list(row)
 
 
-def qr_factor(df: DataFrame, columns: Sequence[str], tasks: int = 16) -> np.ndarray:
+def qr_factor(df: DataFrame, columns: Sequence[str], tasks: int = 16, width: int | None = None) -> np.ndarray:
     """R of the QR factorisation of the rows' concatenated columns: each partition reduces its
     rows to one triangle, a few tasks reduce these, and one task the last few."""
-    width = sum(widths(df, *columns))
+    width = width or sum(widths(df, *columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, held = np.zeros((0, width)), []
@@ -155,24 +155,25 @@ def pinv(m: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(m, rcond=EPS * min(m.shape))
 
 
-def fit_operator(df: DataFrame, method: str = "ridge", alpha: float = 1e-3, x: str = "psi_x", y: str = "psi_y") -> np.ndarray:
-    """K of (psi_x, psi_y) rows. ``ridge``: (G + alpha I)^-1 A; ``pinv``: least squares."""
-    p, q = widths(df, x, y)
+def fit_operator(df: DataFrame, method: str = "ridge", alpha: float = 1e-3, x: str = "psi_x", y: str = "psi_y", size: tuple[int, int] | None = None) -> np.ndarray:
+    """K of (psi_x, psi_y) rows. ``ridge``: (G + alpha I)^-1 A, both sums in one pass; ``pinv``: least
+    squares. ``size``, where it is known, saves a look at a row."""
+    p, q = size or widths(df, x, y)
     if method == "ridge":
-        g, a = product(df, x, x, (p, p)), product(df, x, y, (p, q))
-        return np.linalg.solve(g + alpha * np.eye(p), a)
+        both = product(df.select(F.col(x).alias("_x"), F.concat(x, y).alias("_xy")), "_x", "_xy", (p, p + q))
+        return np.linalg.solve(both[:, :p] + alpha * np.eye(p), both[:, p:])
     if method == "pinv":
-        r = qr_factor(df, [x, y])
+        r = qr_factor(df, [x, y], width=p + q)
         r = np.vstack((r, np.zeros((max(0, p + q - len(r)), p + q))))
         return pinv(r[:, :p]) @ r[:, p:]
     raise ValueError(f"unknown method {method!r}")
 
 
-def fit_projection(df: DataFrame, x: str = "x", psi: str = "psi_x", alpha: float = 1e-6) -> np.ndarray:
-    """B with x ~ B psi: C (G + alpha I)^-1."""
-    n, p = widths(df, x, psi)
-    g, c = product(df, psi, psi, (p, p)), product(df, x, psi, (n, p))
-    return np.linalg.solve(g + alpha * np.eye(p), c.T).T
+def fit_projection(df: DataFrame, x: str = "x", psi: str = "psi_x", alpha: float = 1e-6, size: tuple[int, int] | None = None) -> np.ndarray:
+    """B with x ~ B psi: C (G + alpha I)^-1, both sums in one pass."""
+    n, p = size or widths(df, x, psi)
+    both = product(df.select(F.col(psi).alias("_p"), F.concat(psi, x).alias("_px")), "_p", "_px", (p, p + n))
+    return np.linalg.solve(both[:, :p] + alpha * np.eye(p), both[:, p:]).T
 
 
 def lifted_pairs(pairs: DataFrame, d: Dictionary) -> DataFrame:
@@ -321,9 +322,9 @@ def signed(u: np.ndarray) -> np.ndarray:
     return u * np.where(u[np.abs(u).argmax(0), np.arange(u.shape[1])] < 0, -1.0, 1.0)
 
 
-def principal_axes(df: DataFrame, value: str = "s") -> tuple[np.ndarray, np.ndarray]:
+def principal_axes(df: DataFrame, value: str = "s", width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(U, sigma) of the matrix whose columns are the rows' arrays, by QR factors."""
-    r = qr_factor(df, [value])
+    r = qr_factor(df, [value], width=width)
     _, s, vt = np.linalg.svd(r, full_matrices=False)
     return signed(vt.T), s
 

@@ -10,6 +10,7 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tidewright.functions.lifts import Fourier, Hermite, Radial, cluster_centers, lift
 from tidewright.functions.vectors import matrix_table, spectrum_table
@@ -70,6 +71,7 @@ class Analysis:
     kernel: fit.KernelFit | None = None
     forcing: tuple[np.ndarray, np.ndarray] | None = None
     sigma: np.ndarray | None = None
+    held: list[DataFrame] = field(default_factory=list)
 
     @cached_property
     def spectrum(self) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +84,11 @@ class Analysis:
         values, vectors = self.spectrum
         return spectrum_table(spark, values[:howmany], vectors[:, :howmany])
 
+    def release(self) -> None:
+        """Gives back what the fit keeps in the executors' storage."""
+        for kept in self.held:
+            kept.unpersist()
+
     def harmonic_branches(self, **options) -> dict[int, list[int]]:
         return spectral.harmonic_branches(self.spectrum[0], self.config.dt, **options)
 
@@ -130,14 +137,18 @@ def dictionary_for(config: Config, x: DataFrame, dim: int, key: str = "t") -> An
 def fitted(config: Config, pairs: DataFrame, d: Any) -> tuple[np.ndarray, np.ndarray]:
     """(K, B) of snapshot pairs under a dictionary; a polynomial's B is its selector."""
     lifted = fit.lifted_pairs(pairs, d)
-    k = fit.fit_operator(lifted, config.edmd_method, config.edmd_alpha)
-    b = d.projection() if isinstance(d, Hermite) else fit.fit_projection(lifted, "x", "psi_x", config.proj_alpha)
+    k = fit.fit_operator(lifted, config.edmd_method, config.edmd_alpha, size=(d.size, d.size))
+    b = d.projection() if isinstance(d, Hermite) else fit.fit_projection(lifted, "x", "psi_x", config.proj_alpha, size=(d.dim, d.size))
     return k, b
 
 
 def hankel_analysis(series: DataFrame, config: Config) -> Analysis:
-    """Of one series (t, value): t = 1, 2, ..."""
-    return delay_analysis(embed(series, config), config)
+    """Of one series (t, value): t = 1, 2, ... The series, two numbers a row, is kept in storage for
+    the passes over it; its delay vectors are made anew in each. ``release`` gives it back."""
+    series = series.persist(StorageLevel.MEMORY_AND_DISK)
+    out = delay_analysis(embed(series, config), config)
+    out.held.append(series)
+    return out
 
 
 def delay_analysis(states: DataFrame, config: Config) -> Analysis:
@@ -149,14 +160,16 @@ def delay_analysis(states: DataFrame, config: Config) -> Analysis:
     if u is not None:
         r = min(config.r or u.shape[1], u.shape[1])
         u, sigma = u[:, :r], sigma[:r]
-        reduced = fit.projected(states, u)
+        # r numbers a row: kept, so that the fits don't embed and project again
+        reduced = fit.projected(states, u).select("t", "x").persist(StorageLevel.MEMORY_AND_DISK)
     else:
-        reduced = states.withColumn("x", F.col("s"))
-    pairs = snapshot_pairs(reduced.select("t", "x"), [])
+        reduced = states.select("t", F.col("s").alias("x"))
+    held = [reduced] if u is not None else []
+    pairs = snapshot_pairs(reduced, [])
     if kind == "none":
         # y ~ K x on the reduced coordinates, brought back to the delay vectors
         small = fit.fit_operator(pairs, "pinv", x="x", y="y").T
-        return Analysis(config, u @ small @ u.T, u.T, np.eye(len(small)), u, "delays", states, sigma=sigma)
+        return Analysis(config, u @ small @ u.T, u.T, np.eye(len(small)), u, "delays", states, sigma=sigma, held=held)
     if kind == "kernel":
         p = config.dict_params
         alpha, seed = p.get("alpha", 1e-6), p.get("seed", config.seed or 0)
@@ -165,11 +178,11 @@ def delay_analysis(states: DataFrame, config: Config) -> Analysis:
         else:  # the reference's: the pairs, or a sample of them, are the basis
             f = fit.fit_kernel(pairs, p.get("sigma", 1.0), alpha, p.get("n_subsample"), seed)
         axes = u if u is not None else np.eye(f.landmarks.shape[1])
-        return Analysis(config, f.k, axes @ f.b, f.b, axes, "features", states, kernel=f, sigma=sigma)
+        return Analysis(config, f.k, axes @ f.b, f.b, axes, "features", states, kernel=f, sigma=sigma, held=held)
     (dim,) = fit.widths(reduced, "x")
     d = dictionary_for(config, reduced.select("t", "x"), dim)
     k, b = fitted(config, pairs, d)
-    return Analysis(config, k, u @ b if u is not None else b, b, u, "features", states, d, sigma=sigma)
+    return Analysis(config, k, u @ b if u is not None else b, b, u, "features", states, d, sigma=sigma, held=held)
 
 
 def forced_analysis(states: DataFrame, config: Config) -> Analysis:
