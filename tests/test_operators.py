@@ -105,6 +105,17 @@ def test_signed_area(spark):
         assert stats.signed_area(d).first().area == area
 
 
+def test_area_of_a_crowded_polygon(spark):
+    """Many corners of one key over several ranges, beside small ones."""
+    a = np.linspace(0, 2 * np.pi, 900, endpoint=False)
+    rows = [("big", i, float(3 * np.cos(v)), float(2 * np.sin(v))) for i, v in enumerate(a)] + [("line", 0, 0.0, 0.0), ("line", 1, 1.0, 1.0), ("dot", 5, 1.0, 2.0)]
+    d = spark.createDataFrame(rows, "k string, i int, x double, y double").repartition(5)
+    out = {r.k: r.area for r in stats.signed_area(d, ["k"]).collect()}
+    assert abs(out["big"] - 6 * np.pi) < 1e-3 and out["line"] == out["dot"] == 0
+    t = sorted((r.k, r.i, r.t) for r in embedding.ranked(d, ["k"], "i", 7).collect())
+    assert [r[2] for r in t if r[0] == "big"] == list(range(1, 901))
+
+
 def test_ranks():
     s = [10, 5, 2, 1, 0.1, 0.01]
     assert stats.select_rank(s, "energy", 0.5) == 1 and stats.select_rank(s, "energy", 0.999) == 4

@@ -46,6 +46,22 @@ def numbered(df: DataFrame, by: Sequence[str], order: str, tie: str, seconds: in
     return joined.select("l.*", "r._before").withColumn("t", (F.col("_place") + F.col("_before")).cast("long")).drop("_b", "_c", "_place", "_before")
 
 
+def ranked(df: DataFrame, by: Sequence[str], order: str, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``t``, the row's 1-based place in its key by ``order`` (a number, unique in its key).
+
+    Rows are dealt by ranges of (key, order), so that one key may hold most of them; a row's place
+    is its place in its range plus the counts of earlier ranges of its key."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *by, order).withColumn("_r", F.spark_partition_id())
+    counts = r.groupBy(*by, "_r").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = r.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_r").orderBy(order)))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_r"]]
+    out = placed.alias("l").join(counts.alias("r"), same).select("l.*", "r._before")
+    return out.withColumn("t", (F.col("_place") + F.col("_before")).cast("long")).drop("_r", "_place", "_before")
+
+
 def haloed(df: DataFrame, by: Sequence[str], before: int, after: int, bucket: int = BUCKET) -> tuple[DataFrame, list[str], Column]:
     """Rows with ``_bucket``, those near an edge in the neighbouring bucket as well; the keys to
     window by; and which rows are a bucket's own. Buckets are no shorter than a window's reach."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.vectors import EPS, rows_of
-from tidewright.operators.embedding import haloed
+from tidewright.operators.embedding import haloed, ranked
 
 #: Points whose pairwise distances give an automatic width, as in the reference; a documented bound.
 SIGMA_POINTS = 1000
@@ -173,12 +173,18 @@ def find_first_minimum(df: DataFrame, by: Sequence[str] = (), index: str = "i",
 
 
 def signed_area(df: DataFrame, by: Sequence[str] = (), order: str = "i", x: str = "x", y: str = "y") -> DataFrame:
-    """(keys, area) of each polygon by the shoelace sum, the last corner joined to the first."""
-    w = Window.partitionBy(*by).orderBy(order)
-    first = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(first))
-    term = df.select(*by, (F.col(x) * following(y) - following(x) * F.col(y)).alias("_term"))
-    return term.groupBy(*by).agg((F.sum("_term") / 2).alias("area"))
+    """(keys, area) of each polygon by the shoelace sum, the last corner joined to the first.
+
+    Corners are numbered by ranges and meet the next one in buckets; the closing term comes from
+    an aggregate. A polygon may hold most of the rows."""
+    corners = ranked(df.select(*by, F.col(order).alias("_o"), F.col(x).alias("_x"), F.col(y).alias("_y")), by, "_o")
+    rows, keys, own = haloed(corners, by, 0, 1)
+    w = Window.partitionBy(*keys).orderBy("t")
+    step = rows.withColumn("_term", F.col("_x") * F.lead("_y").over(w) - F.lead("_x").over(w) * F.col("_y")).where(own)
+    point = F.struct("_x", "_y")
+    sums = step.groupBy(*by).agg(F.coalesce(F.sum("_term"), F.lit(0.0)).alias("_s"), F.min_by(point, "t").alias("_a"), F.max_by(point, "t").alias("_b"))
+    closing = F.col("_b._x") * F.col("_a._y") - F.col("_a._x") * F.col("_b._y")
+    return sums.select(*by, ((F.col("_s") + closing) / 2).alias("area"))
 
 
 def select_rank(sigma: Sequence[float], method: str = "energy", energy: float = 0.999, aspect: float = 1.0) -> int:
