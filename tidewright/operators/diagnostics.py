@@ -104,12 +104,13 @@ def false_nearest_neighbours(series: DataFrame, m: int, tau: int, rtol: float =
 
     ``series`` is one series (t, value); it keeps t = 1, 2, ...
     """
-    whole = forward_embed(series, m + 1, tau, [], value)
+    whole = forward_embed(series, m + 1, tau, [], value).persist(StorageLevel.MEMORY_AND_DISK)  # read five times
     near = nearest_neighbours(whole.select("t", F.slice("s", 1, m).alias("s")))
     last = whole.select("t", F.get("s", F.lit(m)).alias("_next"))
     both = near.join(last, "t").join(last.select(F.col("t").alias("nn"), F.col("_next").alias("_other")), "nn")
     apart = F.abs(F.col("_next") - F.col("_other")) / F.col("distance") > rtol
     out = both.where(F.col("distance") >= 1e-12).agg(F.avg(F.when(apart, 1.0).otherwise(0.0))).first()[0]
+    whole.unpersist()
     return 1.0 if out is None else float(out)
 
 

@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 from tidewright.functions.vectors import dot, rows_of
 from tidewright.sources.simulate import Field, field_of, rk4_step
 
+#: Bytes of the rows B (K')^k, at most: they are broadcast.
+MAX_POWERS = 1 << 28
 RESULT = "start_idx long, step int, dim int, x_true double, x_pred double"
 
 
 def powers_table(spark, first: np.ndarray, step: np.ndarray, n_pred: int) -> DataFrame:
     """(step, dim, row): rows of first @ step^k, k = 0 .. n_pred."""
     rows, m = [], np.asarray(first, float)
+    if m.size * (n_pred + 1) * 8 > MAX_POWERS:
+        raise ValueError(f"{n_pred} steps of {m.shape} make over {MAX_POWERS} bytes of rows")
     for k in range(n_pred + 1):
         rows += [(k, i + 1, [float(v) for v in r]) for i, r in enumerate(m)]
         m = m @ step
