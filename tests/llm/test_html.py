@@ -46,9 +46,35 @@ P = {
 }
 
 
-@pytest.mark.parametrize("name", P)
+p1 = "The council met on Monday to discuss the future of the old harbour, which has stood empty since the last ferry left twelve years ago."
+p2 = "Residents have asked for a park, while the port authority would prefer to sell the land to a developer who plans to build flats."
+p3 = "A decision is expected in the autumn. Until then the gates remain closed, and the cranes will be kept in working order by volunteers."
+# pages as sites make them
+MORE = {
+    'wp': (f"""<!DOCTYPE html><html><head><title>Harbour</title><link rel=x><meta name=a></head><body class="single post-template sidebar-right">
+<div id="page" class="site"><header id="masthead" class="site-header"><p class="site-title"><a href="/">The Bay Post</a></p><p>News from the bay</p><nav><ul><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li><li><a href="/w">Weather</a></li></ul></nav></header>
+<div id="content"><div id="primary" class="content-area"><main><article class="post hentry category-news"><header class="entry-header"><h1 class="entry-title">Harbour to be decided in autumn</h1></header><div class="entry-content"><p>{p1}</p><p>{p2}</p><p>{p3}</p></div><footer class="entry-footer"><span>Posted in <a href="/c">News</a></span></footer></article>
+<div id="comments" class="comments-area"><h2>2 thoughts on this</h2><ol class="comment-list"><li><article><p>I worked there for twenty years and would be sad to see it go to flats.</p></article></li><li><article><p>Me too.</p></article></li></ol><div id="respond"><h3>Leave a Reply</h3><form><label>Comment</label><textarea></textarea><input type=submit></form></div></div></main></div>
+<aside id="secondary"><h2>Recent Posts</h2><ul><li><a href="/1">A new mayor</a></li><li><a href="/2">Rain again</a></li></ul></aside></div><footer id="colophon"><p>Proudly powered by a press. &copy; 2020 The Bay Post</p></footer></div></body></html>""",f"Harbour to be decided in autumn\n\n{p1}\n\n{p2}\n\n{p3}"),
+    'h2 title': (f"""<body><div class="top"><a href="/">Start</a> <a href="/x">Forum</a> <a href="/y">Shop</a></div><div class="content"><h2>Harbour to be decided</h2><p>{p1}</p><p>{p2}</p><h3>What comes next</h3><p>{p3}</p></div><div class="bottom"><a href="/i">Imprint</a> <a href="/p">Privacy</a></div></body>""",f"Harbour to be decided\n\n{p1}\n\n{p2}\n\nWhat comes next\n\n{p3}"),
+    'cookie modal': (f"""<body><div class="cookie-consent" role="dialog"><p>We value your privacy. We and our partners use cookies to store and access information on a device, such as unique identifiers, to show you personal content and measure it.</p><button>Accept</button></div><main><h1>Harbour</h1><p>{p1}</p><p>{p2}</p></main></body>""",f"Harbour\n\n{p1}\n\n{p2}"),
+    'lists': (f"""<body><nav><a href="/">Home</a> <a href="/r">Recipes</a></nav><article><h1>Bread</h1><p>{p1}</p><h2>Ingredients</h2><ul><li>500 g flour</li><li>350 g water</li><li>10 g salt</li></ul><h2>Method</h2><ol><li>Mix the flour with the water and leave it to rest for an hour.</li><li>Add the salt.</li><li>Bake until it is brown and sounds hollow when you knock on it.</li></ol></article><footer>All about bread</footer></body>""",f"Bread\n\n{p1}\n\nIngredients\n\n500 g flour\n\n350 g water\n\n10 g salt\n\nMethod\n\nMix the flour with the water and leave it to rest for an hour.\n\nAdd the salt.\n\nBake until it is brown and sounds hollow when you knock on it."),
+    'figure': (f"""<body><article><h1>Harbour</h1><figure><img src=a><figcaption>The old cranes at dusk</figcaption></figure><p>{p1}</p><blockquote><p>We want a park.</p></blockquote><p>{p2}</p></article></body>""",f"Harbour\n\nThe old cranes at dusk\n\n{p1}\n\nWe want a park.\n\n{p2}"),
+    'inner links': (f"""<body><div id="bodyContent"><h1>Harbour</h1><p>A <b>harbour</b> is a <a href="/b">body of water</a> where <a href="/s">ships</a>, <a href="/bo">boats</a> and <a href="/ba">barges</a> can be docked, and it may be <a href="/n">natural</a> or artificial, as most in this country are.</p><p>{p2}</p><p>{p3}</p></div><div id="mw-navigation"><ul><li><a href="/m">Main page</a></li><li><a href="/r">Random page</a></li><li><a href="/h">Help</a></li></ul></div></body>""",f"Harbour\n\nA harbour is a body of water where ships, boats and barges can be docked, and it may be natural or artificial, as most in this country are.\n\n{p2}\n\n{p3}"),
+    'section comments': (f"""<body><article><h1>Harbour</h1><p>{p1}</p><p>{p2}</p></article><section class="reader-comments"><h3>Comments (3)</h3><div class="c"><b>Ann</b><p>{p3}</p></div><div class="c"><b>Bob</b><p>No.</p></div></section></body>""",f"Harbour\n\n{p1}\n\n{p2}"),
+    'short article': ("<body><nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul></nav><article><h1>Note</h1><p>Closed on Monday.</p></article><footer>&copy; Shop</footer></body>","Note\n\nClosed on Monday."),
+    'german': ("<body><div class='menu'><a href='/'>Start</a> | <a href='/n'>Neues</a> | <a href='/k'>Kontakt</a></div><div><h1>Der Hafen</h1><p>Der Rat der Stadt hat am Montag über die Zukunft des alten Hafens beraten, der seit zwölf Jahren leer steht und verfällt.</p><p>Die Anwohner wünschen sich einen Park, die Behörde möchte das Land verkaufen, und entschieden wird im Herbst.</p></div><div>Kommentare: <a href='/l'>anmelden</a></div><div>© 2020 Impressum Datenschutz</div></body>","Der Hafen\n\nDer Rat der Stadt hat am Montag über die Zukunft des alten Hafens beraten, der seit zwölf Jahren leer steht und verfällt.\n\nDie Anwohner wünschen sich einen Park, die Behörde möchte das Land verkaufen, und entschieden wird im Herbst."),
+    'br text': (f"<body><div id=nav><a href=/>Home</a></div><div>{p1}<br><br>{p2}<br>{p3}</div></body>",f"{p1} {p2} {p3}"),
+    'related box': (f"<body><article><h1>Harbour</h1><p>{p1}</p><div class='related'><h4>Read also</h4><ul><li><a href='/1'>The ferry that never came</a></li></ul></div><p>{p2}</p><p>{p3}</p></article></body>",f"Harbour\n\n{p1}\n\n{p2}\n\n{p3}"),
+    'newsletter': (f"<body><main><h1>Harbour</h1><p>{p1}</p><p>{p2}</p><form class='newsletter'><p>Subscribe to our newsletter and never miss a story from the bay.</p><input><button>Go</button></form><p>{p3}</p></main></body>",f"Harbour\n\n{p1}\n\n{p2}\n\n{p3}"),
+    'byline': (f"<body><article><h1>Harbour</h1><p class='byline'>By Ann Miller</p><p>{p1}</p><p>{p2}</p></article></body>",f"Harbour\n\nBy Ann Miller\n\n{p1}\n\n{p2}"),
+    'pre': ("<body><article><h1>Code</h1><p>"+p1+"</p><pre><code>for i in range(3):\n    print(i)</code></pre></article></body>",f"Code\n\n{p1}\n\nfor i in range(3): print(i)"),
+}
+
+
+@pytest.mark.parametrize("name", [*P, *MORE])
 def test_pages_give_their_article(name):
-    page, text = P[name]
+    page, text = (P | MORE)[name]
     assert html_blocks.main_text(page, html_blocks.tree()) == text
 
 
