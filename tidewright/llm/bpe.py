@@ -147,13 +147,14 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = False)
     (array of int) and ``decoded``.
 
     A null text is an empty one: no tokens, the digests of nothing. Special tokens' strings in
-    a text become the special ids. Repeated rows are encoded each; other columns are not read.
-    The vocabulary file is read on each executor from ``path``.
+    a text become the special ids. Long texts are encoded whole. Repeated rows are encoded each, null
+    ids stay null; an empty table gives an empty one. Other columns are not read, whatever their
+    names. Each executor finds its own copy of the public vocabulary; a ``path`` has to be one that
+    all of them can open.
     """
-    path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path or default_path())
         for batch in (s for x in batches for s in small_batches(x)):
             n, a, b, kept_ids, kept_text = [], [], [], [], []
             for text in batch.column(1).to_pylist():

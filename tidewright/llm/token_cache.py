@@ -99,16 +99,17 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     return lambda x: [len(e) for e in t.encode_batch_fast(x, add_special_tokens=False)]
 
 
-def encoded_counts(texts: DataFrame, path: str) -> DataFrame:
-    """(digest, n_tokens) of (digest, text) rows by the tokenizer's library.
+def encoded_counts(texts: DataFrame, path: str | None) -> DataFrame:
+    """(digest, n_tokens) of (digest, text) rows by the tokenizer's library. Each executor finds its
+    own copy of the public file; a ``path`` has to be one that all of them can open.
 
     Where words stand alone, each distinct word of a task is encoded once and its count kept
     (up to WORDS of them); else whole texts are.
     """
-    by_word = words_stand_alone(path)
+    by_word = words_stand_alone(path or default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = counter(path)
+        lengths = counter(path or default_path())
         kept: dict[bytes, int] = {}
         for batch in (s for x in batches for s in small_batches(x, 64)):
             if by_word:
@@ -134,11 +135,11 @@ def token_counts(docs: DataFrame, path: str | None = None, cache: str | None = N
     Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
-    path = path or default_path()
+    file = path or default_path()
     cache = cache or shared_dir(spark, "token-counts")
-    version = version_digest(path)
+    version = version_digest(file)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    digest = content_digest(F.col("text"), words_stand_alone(path))
+    digest = content_digest(F.col("text"), words_stand_alone(file))
     keyed = written(rows.select("doc_id", digest.alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
     # copies meet in the map tasks first, then each distinct text is shuffled once
     distinct = rows.select(digest.alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
