@@ -273,6 +273,7 @@ def library():
         out[path] = Tokenizer.from_file(path)
         out[path].no_truncation()
         out[path].no_padding()
+    out["words"] = token_cache.word_counter(token_cache.default_path())
     return out
 
 
@@ -309,6 +310,14 @@ def test_codec_query_is_the_librarys(spark, library):
         assert o.n_tokens == len(ids) and o.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and o.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=8) | st.text(alphabet="aAé\u0301İıß日'’<|>endoftext\u200d\u0327²", max_size=20), max_size=60))
+def test_words_together_count_as_alone(library, words):
+    t = library[token_cache.default_path()]
+    words = list(dict.fromkeys(w.decode() for x in words for w in x.encode("utf-8", "ignore").split()))
+    assert library["words"](words) == [len(t.encode(w, add_special_tokens=False).ids) for w in words]
+
+
 def test_token_cache_is_used(spark, tmp_path, library):
     d = frame(spark, ODD)
     cache = str(tmp_path / "cache")
@@ -326,12 +335,12 @@ def test_second_run_of_the_query_encodes_nothing(spark, library):
     first = rows()
     stored = spark.read.parquet(token_cache.cache_of(spark, d))
     n = stored.count()
-    counter = token_cache.counter
-    try:
-        token_cache.counter = lambda path: lambda x: [1 / 0 for _ in x]  # no text may reach a tokenizer
+    counters = token_cache.counter, token_cache.word_counter
+    try:  # no text may reach a tokenizer
+        token_cache.counter = token_cache.word_counter = lambda path: lambda x: [1 / 0 for _ in x]
         assert rows() == first
     finally:
-        token_cache.counter = counter
+        token_cache.counter, token_cache.word_counter = counters
     assert spark.read.parquet(token_cache.cache_of(spark, d)).count() == n == stored.distinct().count()
     t = library[token_cache.default_path()]
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}

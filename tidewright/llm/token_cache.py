@@ -15,6 +15,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,35 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     return lambda x: [len(e) for e in t.encode_batch_fast(x, add_special_tokens=False)]
 
 
+#: Words that are encoded as one string.
+TOGETHER = 512
+
+
+def word_counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Numbers of tokens of words that stand alone: they are encoded as one string with spaces
+    between, and each token counts for the word that its first character lies in."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+
+    def count(words: list[str]) -> list[int]:
+        out: list[int] = []
+        for i in range(0, len(words), TOGETHER):
+            part = words[i : i + TOGETHER]
+            starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
+            encoded = t.encode(" ".join(part), add_special_tokens=False)
+            at = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded))
+            out += np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(part)).tolist()
+        return out
+
+    return count
+
+
 def encoded_counts(texts: DataFrame, path: str | None) -> DataFrame:
     """(digest, n_tokens) of (digest, text) rows by the tokenizer's library. Each executor finds its
     own copy of the public file; a ``path`` has to be one that all of them can open.
@@ -109,7 +139,7 @@ def encoded_counts(texts: DataFrame, path: str | None) -> DataFrame:
     by_word = words_stand_alone(path or default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = counter(path or default_path())
+        lengths = (word_counter if by_word else counter)(path or default_path())
         kept: dict[bytes, int] = {}
         for batch in (s for x in batches for s in small_batches(x, 64)):
             if by_word:
