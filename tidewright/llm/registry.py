@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, html_blocks, line_spread, ngram_rules, pareto_mix, piecewise, ppm_language, quality_compression, setsketch, token_cache
+from tidewright.llm import bpe, centroids, html_blocks, license_scan, line_spread, ngram_rules, pareto_mix, piecewise, ppm_language, quality_compression, setsketch, token_cache, wavelet_search
 from tidewright.llm.common import table
 
 
@@ -72,6 +72,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.token_counts(table(spark, sf_dir, "documents"), cache=token_cache.cache_of(spark, sf_dir))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every whole finite vector of 64 components. Others: no row; ties: the smaller
+    cluster; rows that repeat an id are vectors each."""
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document. Null text: an empty one, no labels, score 0."""
+    return license_scan.scan(table(spark, sf_dir, "documents"), spans=False)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item. Null texts: never found, and find nothing;
+    ties: the smaller doc_id."""
+    return wavelet_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages over documents; odd rows as each stage says."""
     import corpus_pipeline
@@ -80,9 +97,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_classifier, op2_line_dedup, op3_language_id, op4_source_mix, op5_quality_rules, op6_bpe_codec, op7_near_duplicates, op8_html_text, op9_fingerprints, op10_token_counts, pipeline]
+    own = [op1_quality_classifier, op2_line_dedup, op3_language_id, op4_source_mix, op5_quality_rules, op6_bpe_codec, op7_near_duplicates, op8_html_text, op9_fingerprints, op10_token_counts, op11_centroids, op12_license_scan, op13_ranked_search, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_spread.ORACLE, "op4_source_mix": pareto_mix.ORACLE}
+    return {"op2_line_dedup": line_spread.ORACLE, "op4_source_mix": pareto_mix.ORACLE, "op11_centroids": centroids.ORACLE, "op13_ranked_search": wavelet_search.ORACLE}
