@@ -299,7 +299,7 @@ reserved | 2 | alle rechte vorbehalten | alle rechte vorbehalten
 reserved | 2 | tous droits | tous droits r\S+s
 reserved | 2 | todos los derechos reservados | todos los derechos reservados
 copyright | 1 | copyright | copyright (?:c |\S{1,3} )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?
-clue-license | 1 | licensed under | (?:is |are )?licensed under (?:the |a |an )?
+clue-license | 1 | licensed under | (?:is |are )?licensed under(?: the| a| an)?
 clue-license | 1 | licen | (?:see|read) (?:the )?licen[cs]e (?:file|txt|md)
 clue-license | 1 | licen | (?:released|distributed|published|available) under (?:the |a |an )?(?:terms of (?:the |a )?)?(?:\S+ ){0,4}?licen[cs]e
 clue-license | 1 | terms of use | (?:subject to |under )(?:the |our )?terms of use
