@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import dynamics
 from tidewright.functions.lifts import Hermite, Radial, cluster_centers, gradients, lift, padded
 from tidewright.functions.vectors import matrix_table, spectrum_table
-from tidewright.operators import diagnostics, embedding, fit, predict, spectral, stats
+from tidewright.operators import contour, diagnostics, embedding, fit, predict, sampling, spectral, stats, thinning
 from tidewright.plans import config as plans
 from tidewright.plans import figures
 from tidewright.queries import ONE_SERIES, SERIES, cramer, det3, entries, events, one_series, query, read, rounded
@@ -41,17 +41,25 @@ def analysis(spark, sf_dir, kind, **options):
     return plans.hankel_analysis(one_series(spark, sf_dir), plans.Config(dict_type=kind, **settings))
 
 
+def shown_operator(spark, a: plans.Analysis) -> DataFrame:
+    """The operator's table; what the fit has written is no longer needed."""
+    a.release(spark)
+    return a.operator_table(spark)
+
+
 @query(f"""WITH {NONE} SELECT i::INT AS i, j::INT AS j, round(value, 5) + 0e0 AS value FROM (
   SELECT 1 AS i, 1 AS j, k11 AS value FROM k UNION ALL SELECT 1, 2, k12 FROM k UNION ALL SELECT 2, 1, k21 FROM k UNION ALL SELECT 2, 2, k22 FROM k)""")
 def operator_none(spark, sf_dir):
-    return cells(analysis(spark, sf_dir, "none").operator_table(spark), 5)
+    return cells(shown_operator(spark, analysis(spark, sf_dir, "none")), 5)
 
 
 @query(f"""WITH {NONE}, d AS (SELECT (k11 + k22) / 2 AS h, ((k11 - k22) / 2) ** 2 + k12 * k21 AS q FROM k),
 s AS (SELECT unnest([1, -1]) AS sign, h, q FROM d), c AS (SELECT h + CASE WHEN q > 0 THEN sign * sqrt(q) ELSE 0 END AS re, CASE WHEN q > 0 THEN 0 ELSE sign * sqrt(-q) END AS im FROM s)
 SELECT row_number() OVER (ORDER BY round(sqrt(re * re + im * im), 9) DESC, re DESC, im DESC)::INT AS k, {shown(5, re='re', im='im')} FROM c""")
 def spectrum_none(spark, sf_dir):
-    out = analysis(spark, sf_dir, "none").spectrum_table(spark)
+    a = analysis(spark, sf_dir, "none")
+    out = a.spectrum_table(spark)
+    a.release(spark)
     return out.select("k", rounded("re", 5).alias("re"), rounded("im", 5).alias("im"))
 
 
@@ -76,7 +84,7 @@ def hermite_analysis(spark, sf_dir):
 
 @query(f"WITH {HERMITE} " + " UNION ALL ".join(f"SELECT {i}::INT AS i, {j}::INT AS j, round(k{i}{j}, 5) + 0e0 AS value FROM k" for i in (1, 2, 3) for j in (1, 2, 3)))
 def operator_hermite(spark, sf_dir):
-    return cells(hermite_analysis(spark, sf_dir).operator_table(spark), 5)
+    return cells(shown_operator(spark, hermite_analysis(spark, sf_dir)), 5)
 
 
 STATES = "d AS (SELECT t - 1 AS t, v AS s1, lag(v) OVER (ORDER BY t) AS s2 FROM e)"
@@ -125,7 +133,7 @@ c AS (SELECT (h1 * g22 - h2 * g12) / (g11 * g22 - g12 * g12) AS a, (h2 * g11 - h
 SELECT i::INT AS i, j::INT AS j, round(value, 5) + 0e0 AS value FROM (SELECT 1 AS i, 1 AS j, exp(a * 0.1e0) AS value FROM c
   UNION ALL SELECT 1, 2, b * (exp(a * 0.1e0) - 1) / a FROM c UNION ALL SELECT 2, 1, 0e0 UNION ALL SELECT 2, 2, 1e0)""")
 def operator_havok(spark, sf_dir):
-    return cells(analysis(spark, sf_dir, "havok", dt=0.1).operator_table(spark), 5)
+    return cells(shown_operator(spark, analysis(spark, sf_dir, "havok", dt=0.1)), 5)
 
 
 LANDMARKS = np.array([[0.2, 0.6], [0.9, 0.4]])
@@ -152,8 +160,9 @@ def operator_kernel(spark, sf_dir):
     return cells(parts[0].unionByName(parts[1]), 4).select("block", "i", "j", "value")
 
 
-STARTS = [1, 5, 40, 300]
-FROM = f"{ONE_SERIES}, {STATES}, i AS (SELECT t AS start_idx, s1, s2 FROM d WHERE t IN ({', '.join(map(str, STARTS))}))"
+def from_all(steps: int) -> str:
+    """i(start_idx, s1, s2): every delay vector that has ``steps`` more after it."""
+    return f"{ONE_SERIES}, {STATES}, i AS (SELECT t AS start_idx, s1, s2 FROM d WHERE t BETWEEN 1 AND (SELECT max(t) FROM d) - {steps})"
 
 
 def observed(spark, sf_dir):
@@ -164,35 +173,35 @@ def observable(out: DataFrame) -> DataFrame:
     return out.select("start_idx", "step", "dim", rounded("x_true").alias("x_true"), rounded("x_pred").alias("x_pred"))
 
 
-@query(f"""WITH RECURSIVE {FROM}, {K3_SQL}, r AS (SELECT start_idx, 0 AS step, s1 AS a, s2 AS b FROM i
+@query(f"""WITH RECURSIVE {from_all(20)}, {K3_SQL}, r AS (SELECT start_idx, 0 AS step, s1 AS a, s2 AS b FROM i
   UNION ALL SELECT start_idx, step + 1, k13 + k23 * b + k33 * a, k12 + k22 * b + k32 * a FROM r, k WHERE step < 20)
 SELECT start_idx, step::INT AS step, 1::INT AS dim, {shown(6, x_true='s1', x_pred='a')} FROM r JOIN d ON d.t = start_idx + step""")
 def delay_prediction(spark, sf_dir):
     """Every step lifts the delay vector again."""
     d = Hermite(2, 1)
-    return observable(predict.predict_delay_edmd(observed(spark, sf_dir), K3, d.projection(), np.eye(2), d, STARTS, 20))
+    return observable(predict.predict_delay_edmd(observed(spark, sf_dir), K3, d.projection(), np.eye(2), d, None, 20))
 
 
 KK, KB = np.array([[0.7, 0.2], [0.1, 0.9]]), np.array([[0.3, 0.8], [0.5, 0.4]])
 
 
-@query(f"""WITH RECURSIVE {FROM}, r AS (SELECT start_idx, 0 AS step, s1 AS a, s2 AS b FROM i UNION ALL SELECT start_idx, step + 1,
+@query(f"""WITH RECURSIVE {from_all(12)}, r AS (SELECT start_idx, 0 AS step, s1 AS a, s2 AS b FROM i UNION ALL SELECT start_idx, step + 1,
   0.3e0 * (0.7e0 * f + 0.1e0 * g) + 0.8e0 * (0.2e0 * f + 0.9e0 * g), 0.5e0 * (0.7e0 * f + 0.1e0 * g) + 0.4e0 * (0.2e0 * f + 0.9e0 * g)
   FROM (SELECT *, {kernel_sql('a', 'b', 0)} AS f, {kernel_sql('a', 'b', 1)} AS g FROM r) WHERE step < 12)
 SELECT start_idx, step::INT AS step, 1::INT AS dim, {shown(6, x_true='s1', x_pred='a')} FROM r JOIN d ON d.t = start_idx + step""")
 def kernel_prediction(spark, sf_dir):
     f = fit.KernelFit(KK, KB, LANDMARKS, np.eye(2), np.eye(2), 0.5)
-    return observable(predict.predict_kernel(observed(spark, sf_dir), f, np.eye(2), STARTS, 12))
+    return observable(predict.predict_kernel(observed(spark, sf_dir), f, np.eye(2), None, 12))
 
 
-@query(f"""WITH RECURSIVE {FROM}, f AS (SELECT t, s2 AS f0, lead(s2) OVER (ORDER BY t) AS f1 FROM d WHERE t > 0),
+@query(f"""WITH RECURSIVE {from_all(15)}, f AS (SELECT t, s2 AS f0, lead(s2) OVER (ORDER BY t) AS f1 FROM d WHERE t > 0),
 r AS (SELECT start_idx, 0 AS step, s1 AS v FROM i UNION ALL SELECT start_idx, step + 1, v + 0.1e0 / 6 * (k1 + 2 * k2 + 2 * k3 + k4) FROM (
   SELECT *, -0.4e0 * (v + 0.1e0 * k3) + 0.3e0 * f1 AS k4 FROM (SELECT *, -0.4e0 * (v + 0.05e0 * k2) + 0.3e0 * (f0 + f1) / 2 AS k3 FROM (
   SELECT *, -0.4e0 * (v + 0.05e0 * k1) + 0.3e0 * (f0 + f1) / 2 AS k2 FROM (SELECT r.*, f0, f1, -0.4e0 * v + 0.3e0 * f0 AS k1 FROM r JOIN f ON f.t = start_idx + step WHERE step < 15)))))
 SELECT start_idx, step::INT AS step, 1::INT AS dim, {shown(6, x_true='s1', x_pred='v')} FROM r JOIN d ON d.t = start_idx + step""")
 def forced_prediction(spark, sf_dir):
     """v' = -0.4 v + 0.3 f along the true forcing, here the older of two delays."""
-    return observable(predict.predict_forced(observed(spark, sf_dir), np.array([[-0.4]]), np.array([0.3]), np.eye(2), STARTS, 15, 0.1))
+    return observable(predict.predict_forced(observed(spark, sf_dir), np.array([[-0.4]]), np.array([0.3]), np.eye(2), None, 15, 0.1))
 
 
 # --- simulation ---------------------------------------------------------------------------
@@ -487,7 +496,7 @@ def zero_line(spark, sf_dir):
     and of ends within 0.05 the first start's."""
     xi = np.array([[-0.25], [0.0], [1.0]], complex)
     s = suppliers(spark, sf_dir)
-    out = diagnostics.zero_level_points(s, Hermite(2, 1), xi, [1], s.count(), 200, key="id")
+    out = diagnostics.zero_level_points(s, Hermite(2, 1), xi, [1], None, 200, key="id")
     return out.select("start", F.round(F.get("x", F.lit(0)), 3).alias("x1"), rounded(F.get("x", F.lit(1)), 3).alias("x2"), "converged")
 
 
@@ -641,7 +650,7 @@ def figure_phase(spark, sf_dir):
     return out.select("g1", "g2", rounded("phase", 5).alias("phase"), rounded("log_amplitude", 5).alias("log_amplitude"))
 
 
-ROLLED = """d AS (SELECT t - 1 AS t, v AS s1, lag(v) OVER (ORDER BY t) AS s2 FROM e), r AS (SELECT t AS start_idx, 0 AS step, s1, s2 FROM d WHERE t IN (1, 7) UNION ALL SELECT start_idx, step + 1, 0.9e0 * s1 + 0.2e0 * s2, -0.1e0 * s1 + 0.8e0 * s2 FROM r WHERE step < 10),
+ROLLED = """d AS (SELECT t - 1 AS t, v AS s1, lag(v) OVER (ORDER BY t) AS s2 FROM e), r AS (SELECT t AS start_idx, 0 AS step, s1, s2 FROM d WHERE t BETWEEN 1 AND (SELECT max(t) FROM d) - 10 UNION ALL SELECT start_idx, step + 1, 0.9e0 * s1 + 0.2e0 * s2, -0.1e0 * s1 + 0.8e0 * s2 FROM r WHERE step < 10),
 o AS (SELECT r.start_idx, r.step, d.s1 AS x_true, r.s1 AS x_pred FROM r JOIN d ON d.t = r.start_idx + r.step)"""
 
 
@@ -649,7 +658,7 @@ o AS (SELECT r.start_idx, r.step, d.s1 AS x_true, r.s1 AS x_pred FROM r JOIN d O
 UNION ALL SELECT 'error', 0, step::INT, 0, 0, round(avg(abs(x_pred - x_true)), 6) + 0e0 FROM o GROUP BY step""")
 def figure_prediction(spark, sf_dir):
     s = embedding.delay_embed(one_series(spark, sf_dir), 2, 1, [])
-    lines, errors = figures.prediction(predict.predict_delay_space(s, np.array([[0.9, 0.2], [-0.1, 0.8]]), [1, 7], 10))
+    lines, errors = figures.prediction(predict.predict_delay_space(s, np.array([[0.9, 0.2], [-0.1, 0.8]]), None, 10))
     a = lines.select(F.lit("curve").alias("kind"), "start_idx", "step", rounded("x_true").alias("x_true"), rounded("x_pred").alias("x_pred"), F.lit(0.0).alias("error"))
     b = errors.select(F.lit("error").alias("kind"), F.lit(0).cast("long").alias("start_idx"), "step", F.lit(0.0).alias("x_true"), F.lit(0.0).alias("x_pred"), rounded("error").alias("error"))
     return a.unionByName(b)
@@ -686,3 +695,72 @@ def long_gram(spark, sf_dir):
     s = embedding.delay_embed(one_series(spark, sf_dir), 200, 1, [])
     g = fit.gram(s, (), "s", "s", (200, 200)).where("i IN (1, 7, 50, 200) AND j IN (1, 7, 50, 200)")
     return cells(g.select("i", F.col("j").cast("int").alias("j"), "value"), 3)
+
+
+# --- level lines of a fitted field, thinning, draws ---------------------------------------
+
+AXIS = [round(-0.6 + 0.13 * k, 2) for k in range(25)]
+LEVELS = [0.0, -0.2]
+AXIS_SQL = "(SELECT unnest([" + ", ".join(f"{v}::DOUBLE" for v in AXIS) + f"]) AS {{0}}, unnest(range(1, {len(AXIS) + 1})) AS {{1}})"
+#: The second principal axis of the kernel features of all pairs, and its field on the grid.
+FIELD = f"""{KERNEL.rsplit(', m AS (', 1)[0]}, s AS (SELECT sum(a1 * a1) AS a, sum(a1 * a2) AS b, sum(a2 * a2) AS c FROM l),
+w AS (SELECT *, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2 FROM s), n AS (SELECT b / sqrt(b * b + (l2 - a) ** 2) AS q1, (l2 - a) / sqrt(b * b + (l2 - a) ** 2) AS q2 FROM w),
+u AS (SELECT q1 * sign(CASE WHEN abs(q1) >= abs(q2) THEN q1 ELSE q2 END) AS q1, q2 * sign(CASE WHEN abs(q1) >= abs(q2) THEN q1 ELSE q2 END) AS q2 FROM n),
+g AS MATERIALIZED (SELECT i, j, x, y, q1 * {kernel_sql('x', 'y', 0)} + q2 * {kernel_sql('x', 'y', 1)} AS v FROM {AXIS_SQL.format('x', 'j')}, {AXIS_SQL.format('y', 'i')}, u)"""
+
+#: Which edges (0 below, 1 right, 2 above, 3 left) a line joins, by the corners that are high (1, 2, 4, 8
+#: in turn) and, where both diagonals differ, by the middle (1 high, 0 low, -1 either).
+SQUARES = """q(code, middle, s, e) AS (VALUES (1, -1, 0, 3), (2, -1, 1, 0), (3, -1, 1, 3), (4, -1, 2, 1), (6, -1, 2, 0), (7, -1, 2, 3), (8, -1, 3, 2), (9, -1, 0, 2), (11, -1, 1, 2), (12, -1, 3, 1),
+  (13, -1, 0, 1), (14, -1, 3, 0), (5, 0, 0, 3), (5, 0, 2, 1), (5, 1, 0, 1), (5, 1, 2, 3), (10, 0, 1, 0), (10, 0, 3, 2), (10, 1, 1, 2), (10, 1, 3, 0))"""
+LINES = f"""WITH RECURSIVE {FIELD}, lv AS (SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in LEVELS)}]) AS level),
+k AS (SELECT level, a.i, a.j, a.x AS x0, b.x AS x1, a.y AS y0, d.y AS y1, a.v AS v0, b.v AS v1, c.v AS v2, d.v AS v3,
+  (a.v >= level)::INT + 2 * (b.v >= level)::INT + 4 * (c.v >= level)::INT + 8 * (d.v >= level)::INT AS code, ((a.v + b.v + c.v + d.v) / 4 >= level)::INT AS middle
+  FROM g a JOIN g b ON b.i = a.i AND b.j = a.j + 1 JOIN g c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN g d ON d.i = a.i + 1 AND d.j = a.j, lv),
+pc AS (SELECT *, [(i * 2147483648 + j * 2), (i * 2147483648 + (j + 1) * 2 + 1), ((i + 1) * 2147483648 + j * 2), (i * 2147483648 + j * 2 + 1)] AS ids,
+  [x0 + (level - v0) / (v1 - v0) * (x1 - x0), x1, x0 + (level - v3) / (v2 - v3) * (x1 - x0), x0] AS xs, [y0, y0 + (level - v1) / (v2 - v1) * (y1 - y0), y1, y0 + (level - v0) / (v3 - v0) * (y1 - y0)] AS ys FROM k),
+{SQUARES}, t AS MATERIALIZED (SELECT level, ids[s + 1] AS a, xs[s + 1] AS xa, ys[s + 1] AS ya, ids[e + 1] AS b, xs[e + 1] AS xb, ys[e + 1] AS yb FROM pc JOIN q ON pc.code = q.code AND (q.middle = -1 OR q.middle = pc.middle)),
+o AS (SELECT DISTINCT level, a AS p, xa AS x, ya AS y FROM t UNION SELECT DISTINCT level, b, xb, yb FROM t),
+h AS (SELECT level, p AS start, p, 1 AS place FROM o UNION ALL SELECT h.level, start, b, place + 1 FROM h JOIN t ON t.level = h.level AND t.a = h.p WHERE t.b <> start),
+f AS (SELECT level, start, min(p) AS least, max(place) AS last FROM h GROUP BY level, start),
+r AS (SELECT f.level, start, least, EXISTS (SELECT 1 FROM h JOIN t ON t.level = h.level AND t.a = h.p WHERE h.level = f.level AND h.start = f.start AND h.place = f.last AND t.b = f.start) AS closed FROM f),
+z AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY least) AS line FROM r WHERE CASE WHEN closed THEN start = least ELSE NOT EXISTS (SELECT 1 FROM t WHERE t.level = r.level AND t.b = r.start) END)
+SELECT z.level, line::INT AS line, closed, place::INT AS place, round(x, 5) + 0e0 AS x, round(y, 5) + 0e0 AS y FROM z JOIN h ON h.level = z.level AND h.start = z.start JOIN o ON o.level = h.level AND o.p = h.p"""
+
+
+@query(LINES)
+def zero_contour(spark, sf_dir):
+    """Level lines of a principal axis of kernel features, fitted on all pairs: one runs through
+    the grid, the other closes."""
+    pairs = embedding.snapshot_pairs(embedding.delay_embed(one_series(spark, sf_dir), 2, 1, []), [], "s")
+    u, _ = fit.principal_axes_by_gram(fit.kernel_rows(pairs.select("x"), LANDMARKS, 0.5).select("k"), "k")
+    d = Radial(tuple(map(tuple, LANDMARKS.tolist())), "gaussian", 0.5, include_states=False)
+    on_grid = contour.field_grid(spark, u[:, 1:].astype(complex), d, AXIS, AXIS)
+    out = None
+    for level in LEVELS:
+        one = contour.segments(on_grid, level).withColumn("level", F.lit(level))
+        out = one if out is None else out.unionByName(one)
+    lines = contour.polylines(out, ["level"])
+    return lines.select("level", "line", "closed", "place", rounded("x", 5).alias("x"), rounded("y", 5).alias("y"))
+
+
+RADIUS = 0.4
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_custkey AS k, c_acctbal / 1e3 AS x, (c_custkey % 97) / 10e0 AS y FROM customer),
+r AS (SELECT 0::BIGINT AS n, []::STRUCT(k BIGINT, x DOUBLE, y DOUBLE)[] AS kept
+  UNION ALL SELECT p.n, CASE WHEN len(list_filter(kept, lambda q: sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) < {RADIUS}::DOUBLE)) = 0 THEN list_append(kept, {{'k': p.k, 'x': p.x, 'y': p.y}}) ELSE kept END FROM r JOIN p ON p.n = r.n + 1),
+f AS (SELECT unnest(kept) AS q FROM r WHERE n = (SELECT max(n) FROM p)) SELECT q.k AS start, {shown(6, x1='q.x', x2='q.y')} FROM f""")
+def thinned_customers(spark, sf_dir):
+    """Of all customers' points, in the order of their keys, those that no earlier one is near to."""
+    p = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("start"), F.array(F.col("c_acctbal").cast("double") / 1e3, (F.col("c_custkey") % 97) / 10.0).alias("x"))
+    out = thinning.thinned(p, RADIUS)
+    return out.select("start", *entries(out, "x", 2, name="x"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS t FROM orders), n AS (SELECT count(*) AS n FROM orders),
+d AS (SELECT k AS draw, least(floor(((('0x' || substr(md5(k || ':7:draw'), 1, 12))::BIGINT::DOUBLE + 0.5e0) / 281474976710656e0) * n) + 1, n)::BIGINT AS t FROM n, (SELECT unnest(range(1, n + 1)) AS k FROM n))
+SELECT draw, o_orderkey, o_totalprice FROM d JOIN o ON o.t = d.t""")
+def drawn_orders(spark, sf_dir):
+    """As many draws with replacement as there are orders: a bootstrap sample."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return sampling.sampled_with_replacement(o, o.count(), "o_orderkey", 7).select("draw", "o_orderkey", "o_totalprice")

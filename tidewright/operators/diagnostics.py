@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tidewright.functions.lifts import Dictionary
 from tidewright.functions.vectors import as_lists, rows_of
 from tidewright.operators.embedding import forward_embed
+from tidewright.operators.sampling import sampled_with_replacement
+from tidewright.operators.thinning import thinned
+from tidewright.shared import written
 
 #: Points that are compared with as many others at a time.
 BLOCK = 512
@@ -77,7 +79,8 @@ def nearest_neighbours(points: DataFrame, key: str = "t", value: str = "s") -> D
                     names=["key", "x", "slab", "part", "nn", "distance", "low", "high"],
                 )
 
-    found = blocks.mapInArrow(inside, "key long, x array<double>, slab int, part int, nn long, distance double, low int, high int").persist(StorageLevel.MEMORY_AND_DISK)
+    found = blocks.mapInArrow(inside, "key long, x array<double>, slab int, part int, nn long, distance double, low int, high int")
+    found = written(found, "neighbours")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +107,12 @@ def false_nearest_neighbours(series: DataFrame, m: int, tau: int, rtol: float =
 
     ``series`` is one series (t, value); it keeps t = 1, 2, ...
     """
-    whole = forward_embed(series, m + 1, tau, [], value).persist(StorageLevel.MEMORY_AND_DISK)  # read five times
+    whole = written(forward_embed(series, m + 1, tau, [], value), "embedded")  # read five times
     near = nearest_neighbours(whole.select("t", F.slice("s", 1, m).alias("s")))
     last = whole.select("t", F.get("s", F.lit(m)).alias("_next"))
     both = near.join(last, "t").join(last.select(F.col("t").alias("nn"), F.col("_next").alias("_other")), "nn")
     apart = F.abs(F.col("_next") - F.col("_other")) / F.col("distance") > rtol
     out = both.where(F.col("distance") >= 1e-12).agg(F.avg(F.when(apart, 1.0).otherwise(0.0))).first()[0]
-    whole.unpersist()
     return 1.0 if out is None else float(out)
 
 
@@ -151,55 +153,63 @@ def grad_phi(d: Dictionary, x: Sequence[float], xi: np.ndarray) -> np.ndarray:
     return np.real(d.gradient(np.asarray(x, float)) @ xi)
 
 
-def zero_level_points(points: DataFrame, d: Dictionary, vectors: np.ndarray, modes: Sequence[int], n_starts: int = 500, n_iter: int = 200, rate: float = 0.1, tol: float = 1e-8, seed: int = 0, key: str = "t", value: str = "x", apart: float = 0.05) -> DataFrame:
+def zero_level_points(points: DataFrame, d: Dictionary, vectors: np.ndarray, modes: Sequence[int], n_starts: int | None = 500, n_iter: int = 200, rate: float = 0.1, tol: float = 1e-8, seed: int = 0, key: str = "t", value: str = "x", apart: float = 0.05) -> DataFrame:
     """(start, x, objective, converged): points where the real parts of the chosen modes (from 1)
-    vanish, by gradient descent with Armijo steps from ``n_starts`` rows of smallest hash.
+    vanish, by gradient descent with Armijo steps from ``n_starts`` rows drawn with replacement, in
+    the order of ``key`` (a number, unique); start is the draw's number. None starts from every row
+    once, and start is its key.
 
-    Each start is its own; those that converge within ``apart`` of an earlier one go.
+    Each start is its own; those that converge within ``apart`` of an earlier one that stays go.
     """
     xi = vectors[:, [m - 1 for m in modes]]
-    starts = points.select(F.col(key).cast("long").alias("start"), F.col(value).cast("array<double>").alias("x")).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n_starts)
-    some = np.array([r["x"] for r in starts.limit(200).collect()], float)
+    states = points.select(F.col(key).cast("long").alias("start"), F.col(value).cast("array<double>").alias("x"))
+    starts = states if n_starts is None else sampled_with_replacement(states, n_starts, "start", seed).select(F.col("draw").alias("start"), "x")
+    some = np.array([r["x"] for r in starts.orderBy("start").limit(200).collect()], float)
+    ddl = "start long, x array<double>, objective double, converged boolean"
     if not len(some):
-        return points.sparkSession.createDataFrame([], "start long, x array<double>, objective double, converged boolean")
+        return points.sparkSession.createDataFrame([], ddl)
     scale = float(((d.batch(some) @ xi).real ** 2).sum(1).mean()) + 1e-12
 
-    def value_at(x: np.ndarray) -> tuple[float, np.ndarray]:
-        phi = (d.batch(x[None])[0] @ xi).real
-        return float(phi @ phi), 2 * np.real(d.gradient(x) @ xi) @ phi
+    def values(x: np.ndarray) -> np.ndarray:
+        return ((d.batch(x) @ xi).real ** 2).sum(1)
 
-    def descend(x: np.ndarray) -> tuple[np.ndarray, float]:
-        f, g = value_at(x)
+    def slopes(x: np.ndarray) -> np.ndarray:
+        phi = (d.batch(x) @ xi).real
+        return np.array([2 * np.real(d.gradient(row) @ xi) @ p for row, p in zip(x, phi, strict=True)])
+
+    def descend(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A batch of starts moves together; each has a step of its own."""
+        x, f = x.copy(), values(x)
+        moving = np.arange(len(x))
         for _ in range(n_iter):
-            size = np.linalg.norm(g)
-            if size < tol or f < 1e-12 * scale:
+            g = slopes(x[moving]) if len(moving) else np.zeros((0, x.shape[1]))
+            size = np.linalg.norm(g, axis=1)
+            on = ~((size < tol) | (f[moving] < 1e-12 * scale))
+            moving, g, size = moving[on], g[on], size[on]
+            if not len(moving):
                 break
-            a = max(rate, 1 / size)
+            step, left = np.maximum(rate, 1 / size), np.arange(len(moving))
+            new, at = x[moving] - (0.01 / size)[:, None] * g, None
             for _ in range(30):
-                y = x - a * g
-                fy, gy = value_at(y)
-                if fy <= f - 1e-4 * a * size * size:
+                trial = x[moving[left]] - step[left, None] * g[left]
+                at = values(trial)
+                fits = at <= f[moving[left]] - 1e-4 * step[left] * size[left] ** 2
+                new[left[fits]] = trial[fits]
+                left = left[~fits]
+                if not len(left):
                     break
-                a /= 2
-            else:
-                y = x - 0.01 / size * g
-                fy, gy = value_at(y)
-            x, f, g = y, fy, gy
+                step[left] /= 2
+            x[moving], f[moving] = new, values(new)
         return x, f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, xs = batch.column(0).to_pylist(), rows_of(batch.column(1))
-            ends = [descend(x) for x in xs]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([e[0].tolist() for e in ends], pa.list_(pa.float64())), pa.array([e[1] for e in ends], pa.float64()), pa.array([e[1] < 1e-6 * scale for e in ends], pa.bool_())],
-                names=["start", "x", "objective", "converged"],
-            )
-
-    spark = points.sparkSession
-    found = starts.repartition(max(1, min(n_starts, spark.sparkContext.defaultParallelism))).mapInArrow(run, "start long, x array<double>, objective double, converged boolean")
-    kept: list = []  # n_starts rows at most; which go depends on the order of starts
-    for r in sorted(found.where("converged").collect(), key=lambda r: r["start"]):
-        if all(np.linalg.norm(np.array(r["x"]) - np.array(k["x"])) >= apart for k in kept):
-            kept.append(r)
-    return spark.createDataFrame(kept, found.schema)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                b = whole.slice(a, 1024)
+                x, f = descend(rows_of(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), as_lists(x), pa.array(f), pa.array(f < 1e-6 * scale)], names=["start", "x", "objective", "converged"])
+
+    # a descent is long and a row short
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = written(starts.repartition(tasks, "start").mapInArrow(run, ddl), "descended").where("converged")
+    return thinned(found, apart, "start", "x")

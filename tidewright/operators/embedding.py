@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.vectors import as_lists
+from tidewright.shared import written
 
 BUCKET = 1 << 16
 #: Up to so many delays a window's columns are lags; beyond it, strides of one array a bucket.
@@ -50,9 +51,10 @@ def ranked(df: DataFrame, by: Sequence[str], order: str, partitions: int | None
     """``df`` with ``t``, the row's 1-based place in its key by ``order`` (a number, unique in its key).
 
     Rows are dealt by ranges of (key, order), so that one key may hold most of them; a row's place
-    is its place in its range plus the counts of earlier ranges of its key."""
+    is its place in its range plus the counts of earlier ranges of its key. Ranges come from a
+    sample and are other ones each time they are evaluated: the dealt rows are written, once."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *by, order).withColumn("_r", F.spark_partition_id())
+    r = written(df.repartitionByRange(n, *by, order).withColumn("_r", F.spark_partition_id()), "ranges")
     counts = r.groupBy(*by, "_r").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

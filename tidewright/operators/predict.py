@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.vectors import dot, rows_of
+from tidewright.operators.embedding import haloed
 from tidewright.sources.simulate import Field, field_of, rk4_step
 
 #: Bytes of the rows B (K')^k, at most: they are broadcast.
@@ -106,26 +107,73 @@ def predict_states(starts: DataFrame, rhs, k: np.ndarray, d, b: np.ndarray, dt:
     return relifted(starts, lambda x: d.batch(x) @ k @ b.T, lambda x: x, n_pred, truth)
 
 
-def aligned(pred: DataFrame, states: DataFrame) -> DataFrame:
-    """Predictions of the observable with their truth s[0] at t = start + step."""
-    true = states.select((F.col("t")).alias("_t"), F.get("s", F.lit(0)).alias("_true"))
-    out = pred.join(true, F.col("start_idx") + F.col("step") == F.col("_t"))
-    return out.select("start_idx", "step", "dim", F.col("_true").alias("x_true"), "x_pred")
+#: Numbers of states that a bucket of roll-outs holds; starts that move together.
+HELD, TOGETHER = 1 << 20, 1024
 
 
-def _chosen(states: DataFrame, starts: Sequence[int], n_pred: int) -> DataFrame:
+def rolled_out(states: DataFrame, starts: Sequence[int] | None, n_pred: int, path: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]], bucket: int | None = None) -> DataFrame:
+    """Predictions of the observable s[0] of states (t, s), t = 1, 2, .., from each start, or None
+    from every row that has ``n_pred`` rows after it; a start too near the end is refused.
+
+    Rows are dealt into buckets with a halo of ``n_pred`` rows after them, so that truth and forcing
+    are where the prediction is made. ``path`` gets a bucket's states and the places of some starts in
+    them and yields their predictions at step 1, 2, ..; step 0 is the truth."""
+    spark = states.sparkSession
     last = states.agg(F.max("t")).first()[0] or 0
-    if starts and max(starts) + n_pred > last:
+    if starts is not None and len(starts) and max(starts) + n_pred > last:
         raise ValueError("a start is too near the end")
-    return states.where(F.col("t").isin(list(map(int, starts)))).select(F.col("t").alias("start_idx"), F.col("s").alias("x"))
+    rows = states.select("t", "s")
+    asked = None
+    if starts is not None:
+        asked = np.unique(np.asarray(starts, np.int64))
+        needed = spark.createDataFrame([(int(t),) for t in asked], "_t long").select(F.explode(F.sequence(F.col("_t"), F.col("_t") + n_pred)).alias("t")).distinct()
+        rows = rows.join(needed, "t", "left_semi")
+    if bucket is None:
+        first = states.select(F.size("s")).first()
+        bucket = max(1, HELD // max(1, first[0] if first else 1))
+    bucket = max(bucket, n_pred)
+    rows, keys, _ = haloed(rows, [], 0, n_pred, bucket)
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "s"))).alias("_all"))
 
-
-def predict_delay_edmd(states: DataFrame, k: np.ndarray, b_full: np.ndarray, u: np.ndarray, d, starts: Sequence[int], n_pred: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, ts, ss in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                t, s = ts.values.to_numpy(), rows_of(ss.values)
+                mine = ((t - 1) // bucket == b) & (t <= last - n_pred)
+                if asked is not None:
+                    mine &= np.isin(t, asked)
+                places = np.flatnonzero(mine)
+                for a in range(0, len(places), TOGETHER):
+                    at = places[a : a + TOGETHER]
+                    moving = path(s, at)
+                    for k in range(n_pred + 1):
+                        true = s[at + k, 0]
+                        seen = true if k == 0 else next(moving)
+                        n = len(at)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(t[at]), pa.array(np.full(n, k, np.int32)), pa.array(np.ones(n, np.int32)), pa.array(true), pa.array(np.ascontiguousarray(seen))],
+                            names=["start_idx", "step", "dim", "x_true", "x_pred"],
+                        )
+
+    return held.select("_bucket", F.col("_all.t").alias("t"), F.col("_all.s").alias("s")).mapInArrow(run, RESULT)
+
+
+def moved_by(move: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]:
+    def path(s: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        x = s[at]
+        while True:
+            x = move(x)
+            yield x[:, 0]
+
+    return path
+
+
+def predict_delay_edmd(states: DataFrame, k: np.ndarray, b_full: np.ndarray, u: np.ndarray, d, starts: Sequence[int] | None, n_pred: int) -> DataFrame:
     """s -> U's -> lift -> K' -> B, every step; step 0 is the truth."""
-    return aligned(relifted(_chosen(states, starts, n_pred), lambda s: d.batch(s @ u) @ k @ b_full.T, lambda s: s[:, :1], n_pred), states)
+    return rolled_out(states, starts, n_pred, moved_by(lambda s: d.batch(s @ u) @ k @ b_full.T))
 
 
-def predict_kernel(states: DataFrame, fit, u: np.ndarray, starts: Sequence[int], n_pred: int) -> DataFrame:
+def predict_kernel(states: DataFrame, fit, u: np.ndarray, starts: Sequence[int] | None, n_pred: int) -> DataFrame:
     """The same with the kernel vector as features; ``fit`` is a KernelFit on U's. Its operator is
     (K_xx + alpha I)^-1 K_xy and acts transposed, as every other fit's does; with these Gram
     matrices that moves a state against time."""
@@ -135,42 +183,28 @@ def predict_kernel(states: DataFrame, fit, u: np.ndarray, starts: Sequence[int],
         d2 = np.maximum((x * x).sum(1)[:, None] - 2 * x @ fit.landmarks.T + (fit.landmarks**2).sum(1)[None], 0)
         return np.exp(-d2 / (2 * fit.sigma**2)) @ fit.k @ fit.b.T @ u.T
 
-    return aligned(relifted(_chosen(states, starts, n_pred), move, lambda s: s[:, :1], n_pred), states)
+    return rolled_out(states, starts, n_pred, moved_by(move))
 
 
-def predict_forced(states: DataFrame, a: np.ndarray, b: np.ndarray, u: np.ndarray, starts: Sequence[int], n_pred: int, dt: float, use_true_forcing: bool = True) -> DataFrame:
+def predict_forced(states: DataFrame, a: np.ndarray, b: np.ndarray, u: np.ndarray, starts: Sequence[int] | None, n_pred: int, dt: float, use_true_forcing: bool = True) -> DataFrame:
     """v' = A v + B f by Runge-Kutta in the coordinates U's; the forcing f is the true last
     coordinate (its mean at midpoints), or that of the start held still."""
     r = a.shape[0]
-    span = states.select("t", "s")
-    starts_df = span.where(F.col("t").isin(list(map(int, starts)))).select(F.col("t").alias("start_idx"), F.col("s").alias("x"))
-    last = states.agg(F.max("t")).first()[0] or 0
-    if starts and max(starts) + n_pred > last:
-        raise ValueError("a start is too near the end")
-    ahead = starts_df.select("start_idx", "x").withColumn("t", F.explode(F.sequence(F.col("start_idx"), F.col("start_idx") + n_pred)))
-    paths = ahead.join(span.withColumnRenamed("s", "_s"), "t").groupBy("start_idx").agg(
-        F.first("x").alias("x"), F.sort_array(F.collect_list(F.struct("t", "_s"))).alias("path")  # n_pred + 1 rows
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for start, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = np.array(path, float)
-                w = s @ u
-                v, f = w[0, :r], w[:, r] if use_true_forcing else np.full(len(s), w[0, r])
-                rows.append((start, 0, 1, float(s[0, 0]), float(s[0, 0])))
-                for k in range(n_pred):
-                    f0, f1 = f[k], f[k + 1]
-                    mid = (f0 + f1) / 2
-                    rate = lambda y, g: a @ y + b * g
-                    k1 = rate(v, f0)
-                    k2 = rate(v + dt / 2 * k1, mid)
-                    k3 = rate(v + dt / 2 * k2, mid)
-                    k4 = rate(v + dt * k3, f1)
-                    v = v + dt / 6 * (k1 + 2 * k2 + 2 * k3 + k4)
-                    rows.append((start, k + 1, 1, float(s[k + 1, 0]), float(u[0] @ np.append(v, f1))))
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(types)], names=["start_idx", "step", "dim", "x_true", "x_pred"])
-
-    return paths.select("start_idx", F.transform("path", lambda p: p["_s"]).alias("path")).mapInArrow(run, RESULT)
+    def path(s: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        low, high = at.min(), at.max() + n_pred + 1
+        w = s[low:high] @ u
+        at = at - low
+        v, forcing = w[at, :r], w[:, r]
+        rate = lambda y, g: y @ a.T + g[:, None] * b
+        for k in range(n_pred):
+            f0, f1 = (forcing[at + k + e] if use_true_forcing else forcing[at] for e in (0, 1))
+            mid = (f0 + f1) / 2
+            k1 = rate(v, f0)
+            k2 = rate(v + dt / 2 * k1, mid)
+            k3 = rate(v + dt / 2 * k2, mid)
+            k4 = rate(v + dt * k3, f1)
+            v = v + dt / 6 * (k1 + 2 * k2 + 2 * k3 + k4)
+            yield v @ u[0, :r] + f1 * u[0, r]
+
+    return rolled_out(states, starts, n_pred, path)

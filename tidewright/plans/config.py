@@ -10,12 +10,13 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tidewright.functions.lifts import Fourier, Hermite, Radial, cluster_centers, lift
 from tidewright.functions.vectors import matrix_table, spectrum_table
 from tidewright.operators import fit, predict, spectral, stats
 from tidewright.operators.embedding import central_difference, delay_embed, snapshot_pairs
+from tidewright.operators.hankel_gram import hankel_axes
+from tidewright.shared import remove, write_once
 
 KINDS = ("hermite", "rbf", "rff", "none", "kernel", "havok")
 
@@ -38,6 +39,9 @@ class Config:
     verbose: bool = True
     parallel: bool = True
     seed: int | None = None
+    #: How the leading axes are found: ``qr``, or ``gram``, the structured sums of a series, which
+    #: suit thousands of delays and lose axes below about 1e-8 of the first.
+    axes: str = "qr"
 
     def __post_init__(self):
         object.__setattr__(self, "dict_type", str(self.dict_type).lower())
@@ -48,7 +52,7 @@ class Config:
         for name, ok in (
             ("m_embed", self.m_embed > 0), ("tau_delay", self.tau_delay > 0), ("dt", self.dt > 0), ("edmd_alpha", self.edmd_alpha >= 0),
             ("proj_alpha", self.proj_alpha >= 0), ("r", self.r is None or self.r > 0), ("dict_type", self.dict_type in KINDS),
-            ("edmd_method", self.edmd_method in ("pinv", "ridge")),
+            ("edmd_method", self.edmd_method in ("pinv", "ridge")), ("axes", self.axes in ("qr", "gram")),
         ):
             if not ok:
                 raise ValueError(f"{name} can't be {getattr(self, name)!r}")
@@ -71,7 +75,8 @@ class Analysis:
     kernel: fit.KernelFit | None = None
     forcing: tuple[np.ndarray, np.ndarray] | None = None
     sigma: np.ndarray | None = None
-    held: list[DataFrame] = field(default_factory=list)
+    #: Shared folders of what the fit has written.
+    held: list[str] = field(default_factory=list)
 
     @cached_property
     def spectrum(self) -> tuple[np.ndarray, np.ndarray]:
@@ -84,17 +89,19 @@ class Analysis:
         values, vectors = self.spectrum
         return spectrum_table(spark, values[:howmany], vectors[:, :howmany])
 
-    def release(self) -> None:
-        """Gives back what the fit keeps in the executors' storage."""
-        for kept in self.held:
-            kept.unpersist()
+    def release(self, spark) -> None:
+        """Removes what the fit has written: the series and the reduced states. Frames that read
+        them can't be evaluated any more."""
+        for path in self.held:
+            remove(spark, path)
+        self.held.clear()
 
     def harmonic_branches(self, **options) -> dict[int, list[int]]:
         return spectral.harmonic_branches(self.spectrum[0], self.config.dt, **options)
 
     def predict(self, starts: Sequence[int] | None, n_pred: int) -> DataFrame:
-        """(start_idx, step, dim, x_true, x_pred) of the observable s[0]; None starts from every
-        row, where the recursion is linear."""
+        """(start_idx, step, dim, x_true, x_pred) of the observable s[0]; None starts from every row
+        that has ``n_pred`` rows after it."""
         if self.states is None:
             raise ValueError("a fit on states has no delay vectors: use operators.predict")
         if self.kernel is not None:
@@ -143,28 +150,32 @@ def fitted(config: Config, pairs: DataFrame, d: Any) -> tuple[np.ndarray, np.nda
 
 
 def hankel_analysis(series: DataFrame, config: Config) -> Analysis:
-    """Of one series (t, value): t = 1, 2, ... The series, two numbers a row, is kept in storage for
-    the passes over it; its delay vectors are made anew in each. ``release`` gives it back."""
-    series = series.persist(StorageLevel.MEMORY_AND_DISK)
-    out = delay_analysis(embed(series, config), config)
-    out.held.append(series)
+    """Of one series (t, value): t = 1, 2, ... The series, two numbers a row, is written once for the
+    passes over it; its delay vectors are made anew in each. ``release`` removes it."""
+    series, path = write_once(series.select("t", "value"), "series")
+    axes = None
+    if config.dict_type == "havok" or (config.axes == "gram" and (config.use_svd or config.dict_type == "none")):
+        axes = hankel_axes(series, config.m_embed, config.tau_delay)
+    out = delay_analysis(embed(series, config), config, axes)
+    out.held.append(path)
     return out
 
 
-def delay_analysis(states: DataFrame, config: Config) -> Analysis:
-    """Of delay vectors (t, s)."""
+def delay_analysis(states: DataFrame, config: Config, axes: tuple[np.ndarray, np.ndarray, int] | None = None) -> Analysis:
+    """Of delay vectors (t, s). ``axes``: their principal axes, singular values and number, if known."""
     kind = config.dict_type
     if kind == "havok":
-        return forced_analysis(states, config)
-    u, sigma = fit.principal_axes(states) if config.use_svd or kind == "none" else (None, None)
+        return forced_analysis(states, config, axes)
+    u, sigma = (axes[:2] if axes else fit.principal_axes(states)) if config.use_svd or kind == "none" else (None, None)
+    held = []
     if u is not None:
         r = min(config.r or u.shape[1], u.shape[1])
         u, sigma = u[:, :r], sigma[:r]
-        # r numbers a row: kept, so that the fits don't embed and project again
-        reduced = fit.projected(states, u).select("t", "x").persist(StorageLevel.MEMORY_AND_DISK)
+        # r numbers a row: written, so that the fits don't embed and project again
+        reduced, path = write_once(fit.projected(states, u).select("t", "x"), "reduced")
+        held.append(path)
     else:
         reduced = states.select("t", F.col("s").alias("x"))
-    held = [reduced] if u is not None else []
     pairs = snapshot_pairs(reduced, [])
     if kind == "none":
         # y ~ K x on the reduced coordinates, brought back to the delay vectors
@@ -185,11 +196,10 @@ def delay_analysis(states: DataFrame, config: Config) -> Analysis:
     return Analysis(config, k, u @ b if u is not None else b, b, u, "features", states, d, sigma=sigma, held=held)
 
 
-def forced_analysis(states: DataFrame, config: Config) -> Analysis:
+def forced_analysis(states: DataFrame, config: Config, axes: tuple[np.ndarray, np.ndarray, int] | None = None) -> Analysis:
     """Linear dynamics of the leading coordinates, forced by the last one."""
     p = config.dict_params
-    u, sigma = fit.principal_axes_by_gram(states)
-    n = states.count()
+    u, sigma, n = axes or (*fit.principal_axes_by_gram(states), states.count())
     method = p.get("rank_method", "energy")
     aspect = len(u) / n
     r = stats.select_rank(sigma, method, p.get("energy", 0.999), aspect) if config.r is None else min(config.r, len(sigma))
@@ -197,7 +207,7 @@ def forced_analysis(states: DataFrame, config: Config) -> Analysis:
     if r < 2:
         raise ValueError("a forced fit needs rank 2 or more")
     u = u[:, :r]
-    v = fit.projected(states, u)
+    v, path = write_once(fit.projected(states, u).select("t", "x"), "reduced")
     lead = v.select("t", F.slice("x", 1, r - 1).alias("lead"))
     rates = central_difference(lead, config.dt, [], "lead").withColumnRenamed("derivative", "rate")
     rows = v.select("t", "x").join(rates, "t").select("x", "rate")
@@ -206,7 +216,7 @@ def forced_analysis(states: DataFrame, config: Config) -> Analysis:
     a, b = ab[:, : r - 1], ab[:, r - 1]
     whole = np.zeros((r, r))
     whole[: r - 1] = ab
-    return Analysis(config, fit.expm(whole * config.dt), u, None, u, "delays", states, forcing=(a, b), sigma=sigma)
+    return Analysis(config, fit.expm(whole * config.dt), u, None, u, "delays", states, forcing=(a, b), sigma=sigma, held=[path])
 
 
 def state_analysis(pairs: DataFrame, config: Config, key: str = "t") -> Analysis:

@@ -15,6 +15,7 @@ from tidewright.functions import dynamics
 from tidewright.functions.lifts import Fourier, Hermite, Radial, lift
 from tidewright.functions.vectors import gaussian, spectrum_table
 from tidewright.operators import diagnostics, embedding, fit, predict, spectral, stats
+from tidewright.operators import hankel_gram as hankel_grams
 from tidewright.plans import config as plans
 from tidewright.sources import simulate, training
 
@@ -77,6 +78,21 @@ def hankel_embed(spark, sf_dir):
     return s.select("event_type", "t", *entries(s, "s", 3))
 
 
+GRAM_DELAYS = 1000
+
+
+@query(f"""WITH {ONE_SERIES}, c AS (SELECT i, j FROM (SELECT unnest([1, 250, 500, 750, 1000]) AS i), (SELECT unnest([1, 250, 500, 750, 1000]) AS j)),
+n AS (SELECT max(t) - {GRAM_DELAYS - 1} AS n FROM e)
+SELECT i::INT AS i, j::INT AS j, round(sum(a.v * b.v), 4) + 0.0::DOUBLE AS value FROM c, n, e a, e b
+WHERE a.t BETWEEN 1 + {GRAM_DELAYS} - i AND n + {GRAM_DELAYS} - i AND b.t = a.t + i - j GROUP BY i, j""")
+def hankel_gram(spark, sf_dir):
+    """Entries of the Gram matrix of a thousand delays of all events."""
+    g, _ = hankel_grams.hankel_gram(one_series(spark, sf_dir), GRAM_DELAYS, 1)
+    at = [0, 249, 499, 749, 999]
+    rows = [(i + 1, j + 1, float(g[i, j])) for i in at for j in at]
+    return spark.createDataFrame(rows, "i int, j int, value double").withColumn("value", rounded("value", 4))
+
+
 @query(f"""WITH {SERIES}, l AS (SELECT event_type, t - 1 AS t, value AS v1, lag(value) OVER w AS v2, user_id AS v3, lag(user_id) OVER w AS v4 FROM s
   WINDOW w AS (PARTITION BY event_type ORDER BY t))
 SELECT event_type, t, round(v1, 6) + 0.0::DOUBLE AS v1, round(v2, 6) + 0.0::DOUBLE AS v2, v3, v4 FROM l WHERE t > 0""")
@@ -503,7 +519,9 @@ def analysed(kind: str, **options) -> Query:
     def run(spark, sf_dir):
         c = plans.Config(**{"m_embed": 6, "tau_delay": 1, "r": 3, "dict_type": kind, "seed": 1} | options)
         a = plans.hankel_analysis(one_series(spark, sf_dir), c)
-        return a.spectrum_table(spark, len(a.k))
+        out = a.spectrum_table(spark, len(a.k))
+        a.release(spark)  # the spectrum is at hand
+        return out
 
     return run
 
