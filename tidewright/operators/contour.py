@@ -50,18 +50,19 @@ def segments(points: DataFrame, level: float = 0.0, by: Sequence[str] = (), valu
 
     def crossing(k: int) -> Column:
         s, e, ei, ej, upright = edges[k]
-        share = (F.lit(float(level)) - F.col(f"{s}.v")) / (F.col(f"{e}.v") - F.col(f"{s}.v"))
+        share = F.try_divide(F.lit(float(level)) - F.col(f"{s}.v"), F.col(f"{e}.v") - F.col(f"{s}.v"))
         at = [(F.col(f"{s}.{c}") + share * (F.col(f"{e}.{c}") - F.col(f"{s}.{c}"))).alias(c) for c in "xy"]
         return F.struct(edge_number(ei, ej, upright).alias("id"), *at)
 
+    cells = cells.where(~one_sided).withColumns({f"e{k}": crossing(k) for k in range(4)})
     found = []
     for k in range(4):  # from where the turn leaves the higher side, to where it comes back
         for step in (1, 2, 3):
             back = (k + step) % 4
             fits = high[k] & ~high[(k + 1) % 4] & ~high[back] & high[(back + 1) % 4]
             joined = ~saddle if step == 2 else ~saddle | (middle if step == 1 else ~middle)
-            found.append(F.when(fits & joined, F.struct(crossing(k).alias("a"), crossing(back).alias("b"))))
-    out = cells.where(~one_sided).select(*by, "i", "j", F.explode(F.array_compact(F.array(*found))).alias("s"))
+            found.append(F.when(fits & joined, F.struct(F.col(f"e{k}").alias("a"), F.col(f"e{back}").alias("b"))))
+    out = cells.select(*by, "i", "j", F.explode(F.array_compact(F.array(*found))).alias("s"))
     return out.select(*by, "i", "j", F.col("s.a.id").alias("a"), F.col("s.a.x").alias("xa"), F.col("s.a.y").alias("ya"), F.col("s.b.id").alias("b"), F.col("s.b.x").alias("xb"), F.col("s.b.y").alias("yb"))
 
 
@@ -70,10 +71,13 @@ def _rounds(links: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     line, or a later point where the line is closed, the steps to it, the least point up to it."""
     same = [*by, "p"]
     out = links.select(*same, "next", F.when(F.col("next") == F.col("p"), 0).otherwise(1).cast("long").alias("steps"), F.col("p").alias("low"), (F.col("next") == F.col("p")).alias("ended"))
-    for _ in range(max(1, n.bit_length())):
+    rounds = max(1, n.bit_length())
+    for k in range(rounds):
         ahead = out.select(*by, F.col("p").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"), F.col("low").alias("_low"), F.col("ended").alias("_ended"))
         met = out.join(ahead, [*by, "next"])
-        out = written(met.select(*same, F.col("_next").alias("next"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("low", "_low").alias("low"), F.col("_ended").alias("ended")), "lines")
+        out = met.select(*same, F.col("_next").alias("next"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("low", "_low").alias("low"), F.col("_ended").alias("ended"))
+        if k % 2 or k == rounds - 1:
+            out = written(out, "lines")
     return out
 
 
@@ -82,8 +86,8 @@ def polylines(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     of each line in order, lines numbered from 1 in each key by their least crossing. A closed line
     begins there and names it once; open lines begin where nothing leads to them.
 
-    Pointers double from round to round, so that a line of n points takes log2(n) joins; each round
-    is written. No line is held by one task."""
+    Pointers double from round to round, so that a line of n points takes log2(n) joins; every second
+    round is written. No line is held by one task."""
     by = list(by)
     parts = written(parts, "segments")
     first = parts.select(*by, F.col("a").alias("p"), F.col("b").alias("next"), F.col("xa").alias("x"), F.col("ya").alias("y"))
