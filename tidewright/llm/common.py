@@ -64,17 +64,35 @@ def id_remainder(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Code points that a labelled text gives to a fit, at most, and the parts that a longer one gives them in.
+SAMPLE_TEXT, SAMPLE_PARTS = 1 << 16, 16
+
+
+def sample_text(text: Column, most: int = SAMPLE_TEXT, parts: int = SAMPLE_PARTS) -> Column:
+    """``text`` for a fit: whole up to ``most`` code points; of a longer one as many in ``parts`` pieces,
+    one a line, spread evenly from its start to its end. A text never costs another its place."""
+    size = max(1, most // parts)
+    start = lambda k: (F.floor((F.length(text) - size) * k / max(1, parts - 1)) + 1).cast("int")
+    return F.when(F.length(text) <= most, text).when(text.isNotNull(), F.concat_ws("\n", *[F.substring(text, start(k), F.lit(size)) for k in range(parts)]))
+
+
+#: Classes whose sizes are broadcast, at most; more meet their rows by a shuffled join.
+FEW_CLASSES = 1 << 14
+
+
 def bounded_sample(df: DataFrame, class_col: str, key_col: str, k: int) -> DataFrame:
     """At most ``k`` rows of each class: those with the smallest hash of the key.
 
     The class sizes (one row a class) decide a hash threshold first, so that the ranking
     window sees about ``2 k`` rows a class however large the table is. Repeated rows count once.
-    Rows with a null class are left out. Ties on the hash are broken by the key.
+    Rows with a null class are left out. Ties on the hash are broken by the key. Sizes are broadcast
+    up to FEW_CLASSES classes.
     """
     sizes = df.where(F.col(class_col).isNotNull()).groupBy(class_col).agg(F.count("*").alias("_n"))
     spread = F.pmod(F.xxhash64(F.col(key_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    few = sizes.limit(FEW_CLASSES + 1).count() <= FEW_CLASSES
     near = (
-        df.join(F.broadcast(sizes), class_col)  # a row a class
+        df.join(F.broadcast(sizes) if few else sizes, class_col)  # a row a class
         .withColumn("_u", spread)
         .where(F.col("_u") * F.col("_n") <= F.lit(2.0 * k + 50))
         .distinct()

@@ -15,15 +15,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_sample, id_remainder, text_bytes
+from tidewright.llm.common import bounded_sample, id_remainder, sample_text, text_bytes
 
-#: Labelled rows read for each class, and bytes of their texts, at most: documented bounds of the
-#: fit. Texts past the bytes, in order of the ids' hashes, are left out whole.
+#: Labelled rows read for each class, at most: a documented bound of the fit. A text of over
+#: SAMPLE_TEXT code points (llm/common.py) gives as many of them, in parts from all over it.
 SAMPLE_ROWS = 1500
-SAMPLE_BYTES = 64 << 20
 #: Bytes that are compressed together, and bytes of a dictionary and of the samples it is trained on.
 BLOCK = 512
 DICTIONARY_BYTES = 110 << 10
@@ -137,8 +136,8 @@ def fit_compression(rows: list[tuple[int, str, int]]) -> CompressionModel:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], per_class: int) -> list:
     """(doc_id, text, label) of at most ``per_class`` labelled documents a class whose crc32
-    remainder is not the held-out one, and at most SAMPLE_BYTES of their texts. Of repeated ids,
-    the smallest label and the smallest text count."""
+    remainder is not the held-out one; of a long text, parts. Of repeated ids, the smallest label
+    and the smallest text count."""
     modulus, out = held
     marked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), modulus) != out))
@@ -147,9 +146,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: tuple[in
     chosen = bounded_sample(marked, "y", "doc_id", per_class)
     # at most 2 * per_class rows are broadcast
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    upto = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    joined = joined.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).where(F.col("bytes") <= SAMPLE_BYTES)
-    return [tuple(r) for r in joined.select("doc_id", "text", "y").collect()]
+    return [tuple(r) for r in joined.select("doc_id", sample_text(F.col("text")).alias("text"), "y").collect()]
 
 
 def train_compression(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_ROWS, held: tuple[int, int] = (5, 0)) -> CompressionModel:
