@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, line_spread, ngram_rules, oracle_sql, pareto_mix, piecewise, ppm_language, quality_compression, queries, setsketch, token_cache
+from tidewright.llm import bpe, common, line_spread, ngram_rules, oracle_sql, pareto_mix, piecewise, ppm_language, quality_compression, queries, setsketch, token_cache
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, size long, h long, bin int, digest string"
 LONG = "word another thing " * 30_000
@@ -155,7 +156,7 @@ def test_language_held_out(spark):
 def test_pieces_of_a_long_text_add_up():
     """Reading in pieces changes no code length, no count and no margin."""
     rng = random.Random(8)
-    model = ppm_language.fit_ppm([(1, "the cat and the hat on the mat " * 20, "en"), (2, "der hund und das haus größer " * 20, "de")], 3, 1)
+    model = ppm_language.fit_ppm([(1, "the cat and the hat on the mat " * 20, "en"), (2, "der hund und das haus größer " * 20, "de")], 3)
     words = ["the", "hund", "größer", "cat", "x", "#$", "日本"]
     text = "".join(rng.choice(words) + rng.choice((" ", "  ", "\n", " \t")) for _ in range(800)) + "end"
     for t in (text, "ab" * 700, " " * 900 + "x", "", "a " * 3):
@@ -166,13 +167,35 @@ def test_pieces_of_a_long_text_add_up():
         assert all(np.allclose(ngram_rules.margins(weights, ["hat", t, "mat"], k), ngram_rules.margins(weights, ["hat", t, "mat"])) for k in (11, 64, 300))
 
 
-def test_model_size_is_bounded(monkeypatch):
-    rows = [(i, " ".join(random.Random(i).choices(["".join(random.Random(j).choices("abcdefgh", k=4)) for j in range(300)], k=200)), g) for i, g in enumerate("ab" * 4)]
-    full = ppm_language.fit_ppm(rows)
-    monkeypatch.setattr(ppm_language, "LEVEL_BYTES", 20_000)
-    small = ppm_language.fit_ppm(rows)
-    assert max(b.nbytes for b in small.bits[1:]) <= 20_000 < max(b.nbytes for b in full.bits)
-    assert ppm_language.languages_of(small, [rows[0][1].encode()])[0] == ["a"]
+def test_the_trees_drop_nothing():
+    """Every run of bytes of the sample has its own code length, however rare and however many languages."""
+    rows = [(i, " ".join(random.Random(i).choices(["".join(random.Random(j).choices("abcdefgh", k=4)) for j in range(300)], k=200)), f"l{i}") for i in range(40)]
+    model = ppm_language.fit_ppm(rows)
+    grams = {t[i : i + 4] for _, t, _ in rows for i in range(len(t) - 3)}
+    assert len(model.grams[3]) == len(grams) and model.bits[3].shape == (len(grams), 40)
+    assert ppm_language.languages_of(model, [rows[7][1].encode(), rows[31][1].encode()])[0] == ["l7", "l31"]
+
+
+def test_a_long_labelled_text_costs_no_other_its_place(spark):
+    """The text of the smallest hash is far over the bound; all other rows and languages are learned."""
+    words = {"en": "the cat and the hat on a mat", "de": "der hund und das haus im wald"}
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, (words[g] + " ") * (40_000 if n < 4 else 3), g, "s") for n, i in enumerate(ids) for g in [("en", "de")[n % 2]]]
+    d = frame(spark, rows)
+    marks = spark.createDataFrame([(i, n % 2, 0) for n, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    got = quality_compression.training_rows(d, marks, "quality", (5, 0), 1000)
+    assert sorted((r[0], r[2]) for r in got) == sorted((i, n % 2) for n, i in enumerate(ids))
+    long = [r[1] for r in got if len(r[1]) > 1000]
+    assert len(long) == 4 and all(60_000 < len(t) <= 70_000 for t in long)
+    assert ppm_language.train_ppm(d).languages == ("de", "en")
+
+
+def test_parts_of_a_long_text_come_from_all_over_it(spark):
+    text = "".join(chr(97 + k // 100 % 26) for k in range(2600)) + "é"
+    d = spark.createDataFrame([(text,), ("short",), (None,), ("",)], "text string")
+    got = [r[0] for r in d.select(common.sample_text(F.col("text"), 160, 16)).collect()]
+    lines = got[0].split("\n")
+    assert len(lines) == 16 and all(len(x) == 10 for x in lines) and lines[0] == "a" * 10 and lines[-1].endswith("é") and got[1:] == ["short", None, ""]
 
 
 def test_verdicts_against_a_plain_scorer(spark):
@@ -221,7 +244,7 @@ def test_letterless_texts_are_unknown(spark):
 def test_code_lengths_are_those_of_the_context_tree():
     """Against a plain walk from the longest context down."""
     rows = [(i, "abracadabra " * 3 + "alakazam ", g) for i, g in enumerate(("x", "y"))] + [(9, "banana bandana ", "y")]
-    model = ppm_language.fit_ppm(rows, 2, 1)
+    model = ppm_language.fit_ppm(rows, 2)
     train = {g: b"\n".join(t.encode() for _, t, h in rows if h == g) for g in ("x", "y")}
 
     def bits_of(g, text):

@@ -6,9 +6,10 @@ longest context that the tree has, count / (total + distinct) if the byte follow
 the escape distinct / (total + distinct) and the next shorter context; below order 0 all
 256 bytes are equal. A text's language is the one whose tree codes it shortest.
 
-As the statistics are frozen, the code length depends on the last ORDER + 1 bytes only. All
-such lengths are tabulated once: a context is a number, found by walking dense child
-tables, and each context that any language has seen keeps a row of code lengths.
+As the statistics are frozen, the code length of a byte depends on the last ORDER + 1 bytes only. The
+trees are kept sparse, as sorted tables of what followed a context in any language, with a code length
+a language, and of the contexts with their escapes: nothing that the sample holds is dropped, and the
+model grows with the sample alone. A batch looks up each different run of ORDER + 1 bytes once.
 """
 
 from __future__ import annotations
@@ -19,115 +20,118 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_sample, by_bytes, id_remainder, text_bytes
+from tidewright.llm.common import SAMPLE_TEXT, bounded_sample, by_bytes, id_remainder, sample_text, text_bytes
 
 ORDER = 3
 #: Labelled documents read for each language, at most; a documented bound of the fit.
 SAMPLE_DOCS = 300
-#: A context seen less often than this in the whole sample is not kept.
-LEAST = 4
-#: Bytes of a level's table of code lengths, at most: rarer contexts go until it fits. The model,
-#: which is broadcast, is smaller than ORDER + 1 times this.
-LEVEL_BYTES = 24 << 20
-#: Bytes of the sample's texts for each language, at most; texts past it, in order of hash, stay out.
-SAMPLE_BYTES = 32 << 20
+#: Code points of the whole sample, at most: with many languages each text gives fewer of them, in
+#: parts from all over it (SAMPLE_TEXT at most, SAMPLE_LEAST at least).
+SAMPLE_CHARS, SAMPLE_LEAST = 1 << 27, 256
 #: Bytes of a text that are coded together.
 PIECE = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+#: Code length of a byte in no context at all.
+PLAIN = 8.0
 
 
 @dataclass(frozen=True)
 class PpmModel:
+    """Level k: ``grams[k]`` are the runs of k + 1 bytes in the sample as ascending numbers and
+    ``bits[k]`` the code lengths (run, language) of their last byte after the others; ``contexts[k]``
+    the runs of k bytes that something followed and ``escapes[k]`` what leaving them costs."""
+
     languages: tuple[str, ...]
-    symbols: np.ndarray  # 256 -> symbol; bytes never seen share the last one
-    child: tuple[np.ndarray, ...]  # level k: context of k bytes, next symbol -> context of k + 1 bytes or -1
-    bits: tuple[np.ndarray, ...]  # level k: (context, symbol, language) -> code length in bits
+    grams: tuple[np.ndarray, ...]
+    bits: tuple[np.ndarray, ...]
+    contexts: tuple[np.ndarray, ...]
+    escapes: tuple[np.ndarray, ...]
+
+    @property
+    def order(self) -> int:
+        return len(self.grams) - 1
+
+
+def runs(data: np.ndarray, k: int) -> np.ndarray:
+    """The runs of k bytes that start at each place, the first byte highest."""
+    n = len(data) - k + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for i in range(k if n > 0 else 0):
+        out = out << np.uint64(8) | data[i : i + n].astype(np.uint64)
+    return out
+
+
+def found_in(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where keys stand in a sorted table, whether they do)."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def gram_costs(model: PpmModel, grams: np.ndarray, k: int) -> np.ndarray:
+    """(run, language): the code lengths of the last bytes of runs of k + 1 bytes."""
+    out = np.zeros((len(grams), len(model.languages)))
+    open_, keys = np.arange(len(grams)), grams
+    for level in range(k, -1, -1):
+        if not len(open_):
+            return out
+        at, hit = found_in(model.grams[level], keys)
+        out[open_[hit]] += model.bits[level][at[hit]]
+        open_, keys = open_[~hit], keys[~hit]
+        at, known = found_in(model.contexts[level], keys >> np.uint64(8))
+        out[open_[known]] += model.escapes[level][at[known]]
+        keys = keys & np.uint64((1 << 8 * level) - 1)
+    out[open_] += PLAIN
+    return out
 
 
-def fit_ppm(rows: list[tuple[int, str, str]], order: int = ORDER, least: int = LEAST) -> PpmModel:
+def fit_ppm(rows: list[tuple[int, str, str]], order: int = ORDER) -> PpmModel:
     """rows: (doc_id, text, lang). Frozen trees of all languages."""
     languages = tuple(sorted({r[2] for r in rows}))
-    texts = {x: b"\n".join((t or "").encode() for _, t, g in sorted(rows, key=lambda r: r[0]) if g == x) for x in languages}
-    used = sorted({b for t in texts.values() for b in t})
-    symbols = np.full(256, len(used), np.uint8 if len(used) < 255 else np.int64)
-    symbols[used] = np.arange(len(used))
-    width = len(used) + 1
-    data = [symbols[np.frombuffer(texts[x], np.uint8)].astype(np.int64) for x in languages]
-    n_lang = len(languages)
-
-    # order 0 over the bytes that any sample has; the rest share one symbol
-    child: list[np.ndarray] = []
-    bits: list[np.ndarray] = []
-    ctx = [np.zeros(len(d), np.int64) for d in data]  # context number of each position at this level
-    contexts = 1
-    shorter = np.full((1, width, n_lang), 8.0)
-    parent = np.zeros(1, np.int64)  # context at this level -> its suffix, one level down
+    texts = {x: np.frombuffer(b"\n".join((t or "").encode() for _, t, g in sorted(rows, key=lambda r: r[0]) if g == x), np.uint8) for x in languages}
+    model = PpmModel(languages, (), (), (), ())
     for k in range(order + 1):
-        counts = np.zeros((contexts, width, n_lang), np.float32)
-        for j, (d, c) in enumerate(zip(data, ctx, strict=True)):
-            ok = c >= 0
-            counts[:, :, j] = np.bincount(c[ok] * width + d[ok], minlength=contexts * width).reshape(contexts, width)
-        total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + distinct, 1)
-        with np.errstate(divide="ignore"):
-            hit = -np.log2(counts / whole)
-            escape = np.where(total > 0, -np.log2(np.where(total > 0, distinct, 1) / whole), 0)
-        level = np.where(counts > 0, hit, escape + shorter[parent]).astype(np.float32)
-        bits.append(level)
-        if k == order:
-            break
-        # contexts one byte longer: symbols at i-k .. i, for position i + 1
-        seen = np.zeros((contexts, width), np.int64)
-        for d, c in zip(data, ctx, strict=True):
-            ok = c >= 0
-            seen += np.bincount(c[ok] * width + d[ok], minlength=contexts * width).reshape(contexts, width)
-        seen[:, width - 1] = 0
-        kept = seen >= least
-        while kept.sum() * width * n_lang * 4 > LEVEL_BYTES:
-            least *= 2
-            kept = seen >= least
-        if not kept.any():
-            break  # no context of this length was seen often enough
-        table = np.full((contexts, width), -1, np.int32)
-        table[kept] = np.arange(int(kept.sum()))
-        child.append(table)
-        # context (c, s) has the suffix (suffix of c, s): known one level down, since it is as frequent
-        c_of, s_of = np.nonzero(kept)
-        parent_next = np.zeros(len(c_of), np.int64) if k == 0 else child[k - 1][parent[c_of], s_of].astype(np.int64)
-        shorter = level
-        ctx = [np.concatenate(([-1] * min(1, len(d)), np.where(c[:-1] >= 0, table[c[:-1], d[:-1]], -1))).astype(np.int64) for d, c in zip(data, ctx, strict=True)]
-        parent, contexts = parent_next, len(c_of)
-    return PpmModel(languages, symbols, tuple(child), tuple(bits))
+        seen = [np.unique(runs(texts[x], k + 1), return_counts=True) for x in languages]
+        grams = np.unique(np.concatenate([g for g, _ in seen])) if seen else np.zeros(0, np.uint64)
+        contexts, of = np.unique(grams >> np.uint64(8), return_inverse=True)
+        # what a language has not seen is coded by leaving the context, if it has seen that
+        shorter = gram_costs(model, grams & np.uint64((1 << 8 * k) - 1), k - 1) if k else np.full((len(grams), len(languages)), PLAIN)
+        bits, escapes = np.zeros((len(grams), len(languages)), np.float32), np.zeros((len(contexts), len(languages)), np.float32)
+        for j, (own, n) in enumerate(seen):
+            count = np.zeros(len(grams))
+            count[np.searchsorted(grams, own)] = n
+            total, distinct = np.bincount(of, count, len(contexts)), np.bincount(of, count > 0, len(contexts))
+            whole = np.maximum(total + distinct, 1)
+            escapes[:, j] = np.where(total > 0, -np.log2(np.where(total > 0, distinct, 1) / whole), 0)
+            with np.errstate(divide="ignore"):
+                bits[:, j] = np.where(count > 0, -np.log2(count / whole[of]), escapes[of, j] + shorter[:, j])
+        model = PpmModel(languages, (*model.grams, grams), (*model.bits, bits), (*model.contexts, contexts), (*model.escapes, escapes))
+    return model
 
 
 def code_lengths(model: PpmModel, texts: list[bytes], piece: int = PIECE) -> np.ndarray:
     """Bits of each text under each language, (texts, languages). A long text is coded in pieces,
     each with the few bytes before it as its context."""
     out = np.zeros((len(texts), len(model.languages)))
-    order = len(model.child)
+    order = model.order
     parts = [(i, max(0, a - order), a, min(len(t), a + piece)) for i, t in enumerate(texts) for a in range(0, len(t), piece)]
     data_of = [texts[i][a:e] for i, a, _, e in parts]
     for first, last in by_bytes(data_of, piece):
         sizes = np.array([len(t) for t in data_of[first:last]])
-        data = model.symbols[np.frombuffer(b"".join(data_of[first:last]), np.uint8)].astype(np.int64)
+        data = np.frombuffer(b"".join(data_of[first:last]), np.uint8)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         place = np.arange(len(data)) - np.repeat(starts, sizes)  # bytes since the piece's start
-        lengths = model.bits[0][0][data].astype(np.float64)
-        alive = np.arange(len(data))
-        for k in range(1, order + 1):
-            # the context of k bytes before i, walked from its oldest byte
-            alive = alive[place[alive] >= k]
-            at = np.zeros(len(alive), np.int64)
-            for j in range(k):
-                step = model.child[j][np.maximum(at, 0), data[alive - k + j]]
-                at = np.where(at >= 0, step, -1)
-            found = at >= 0
-            alive, at = alive[found], at[found]
-            lengths[alive] = model.bits[k][at, data[alive]]
+        lengths = np.zeros((len(data), len(model.languages)))
+        for k in range(order + 1):  # bytes with k bytes before them, or more at the last
+            at = np.flatnonzero(place == k if k < order else place >= k)
+            if len(at):
+                grams, where = np.unique(runs(data, k + 1)[at - k], return_inverse=True)
+                lengths[at] = gram_costs(model, grams, k)[where]
         cum = np.vstack((np.zeros(lengths.shape[1]), np.cumsum(lengths, 0)))
         for p, (i, a, begin, _) in enumerate(parts[first:last]):
             out[i] += cum[starts[p] + sizes[p]] - cum[starts[p] + begin - a]
@@ -155,9 +159,9 @@ def train_ppm(docs: DataFrame, per_language: int = SAMPLE_DOCS, held: tuple[int,
     ids = bounded_sample(rows.select("doc_id", "lang").where(F.col("doc_id").isNotNull()), "lang", "doc_id", per_language)
     chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"])  # per_language rows a language
     chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    upto = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = chosen.withColumn("bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("bytes") <= SAMPLE_BYTES)
-    return fit_ppm([tuple(r) for r in chosen.select("doc_id", "text", "lang").collect()])
+    languages = ids.select("lang").distinct().count()
+    most = max(SAMPLE_LEAST, min(SAMPLE_TEXT, SAMPLE_CHARS // max(1, languages * per_language)))
+    return fit_ppm([tuple(r) for r in chosen.select("doc_id", sample_text(F.col("text"), most).alias("text"), "lang").collect()])
 
 
 def identify(docs: DataFrame, model: PpmModel, held: tuple[int, int] = (4, 2)) -> DataFrame:
