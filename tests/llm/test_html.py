@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -123,3 +124,51 @@ def test_cut_pages():
     page = page_table.Maker(3).page()
     for i in range(0, len(page), 7):
         html_blocks.main_text(page[:i], html_blocks.tree())
+
+
+def test_attributes_as_a_browser_reads_them():
+    tree = html_blocks.tree()
+    assert html_blocks.main_text(f"<article><p data-x=it's>{p1}</p><p>It's {p2}</p></article><footer>Copyright 2020 Example</footer>", tree) == f"{p1}\n\nIt's {p2}"
+    for broken in ('class="a""', "class='a' '", 'x="1"y=\'2\'', "= a", "a = 'b > c'", "/ a/b", 'title="it\'s"'):
+        assert html_blocks.main_text(f"<article><h1>T</h1><p {broken}>{p1}</p><p>{p2}</p></article>", tree) == f"T\n\n{p1}\n\n{p2}"
+    assert html_blocks.main_text(f'<article><p>{p1}</p><p>{p2}</p><p title="no end>{p3}</p></article>', tree) == f"{p1}\n\n{p2}"
+
+
+def test_what_the_page_is_about_is_no_cue():
+    page = f"<body><nav><a href='/'>Home</a></nav><article><h1>How to bake cookies</h1><p>Cookies are small, and every child likes to share them.</p><p>Buy butter, click the oven on, and let the cookies rest.</p><p>{p1}</p></article></body>"
+    parts = ["How to bake cookies", "Cookies are small, and every child likes to share them.", "Buy butter, click the oven on, and let the cookies rest.", p1]
+    assert html_blocks.main_text(page, html_blocks.tree()) == "\n\n".join(parts)
+
+
+def test_a_long_link_between_paragraphs_stays():
+    tree = html_blocks.tree()
+    assert html_blocks.main_text(f"<article><h1>T</h1><p>{p1}</p><p><a href=/x>{p2}</a></p><p>{p3}</p></article>", tree) == f"T\n\n{p1}\n\n{p2}\n\n{p3}"
+    assert p2 not in html_blocks.main_text(f"<article><h1>T</h1><p>{p1}</p><div class=related><p><a href=/x>{p2}</a></p></div><p>{p3}</p></article>", tree)
+
+
+def test_the_tree_is_the_grown_one():
+    assert html_blocks.plain(html_blocks.grown()) == html_blocks.plain(html_blocks.tree())
+
+
+ODD_PAGES = {
+    "links": '<a href="x ' * 90_000, "nested": "<div>" * 200_000 + "x", "texts": "<div>x y z " * 60_000, "closed": "<div>" * 50_000 + "</p>" * 150_000, "svg": "<svg " * 200_000,
+    "script": "<script " * 120_000, "quotes": "<p a='" * 150_000, "less": "< " * 400_000, "comments": "<!-- " * 200_000, "equals": "<a " + "= " * 400_000, "spaces": "<a" + " " * 900_000, "lists": "<ul><li>a" * 60_000,
+}
+
+
+@pytest.mark.parametrize("name", ODD_PAGES)
+def test_malformed_pages_take_linear_time(name):
+    """Twice the page, about twice the time; a page of about 1 MB is read in seconds."""
+    def took(page):
+        at = time.process_time()
+        html_blocks.main_text(page, html_blocks.tree())
+        return time.process_time() - at
+
+    page = ODD_PAGES[name]
+    half, whole = took(page[: len(page) // 2]), took(page)
+    assert whole < 8 and whole < 3.5 * half + 0.5
+
+
+def test_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "u", f"<p>{W}</p>")], "page_id long, url string, html string").selectExpr("*", "'a' AS text", "5 AS n_chars", "'b' AS words")
+    assert html_blocks.extract(d).collect()[0].text == W

@@ -3,18 +3,20 @@
 A page is cut into flat blocks of text at block-level tags. A block is described by its own
 word count and link density, those of the blocks before and after it, how much of the page's
 plain text its container holds, and a few weak signs: a menu-like element, a heading, a telling
-name, words that adverts and notices use. A decision tree keeps or drops each block. It is grown
-once, on the driver, on a small labelled table: the blocks of PAGES invented pages whose parts
-are known (``llm.page_table``).
+name, words that adverts and notices use and the page's own subject doesn't. A decision tree keeps or
+drops each block. It was grown on a small labelled table, the blocks of PAGES invented pages whose parts
+are known (``llm.page_table``), and lies beside this module as ``html_tree.json``.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,27 +47,50 @@ CUES = frozenset(
     "comment comments kommentar kommentare commentaires comentarios reply replies antworten répondre login register imprint impressum privacy datenschutz "
     "buy discount offer shipping click abonnieren related © newsletters advertise".split()
 )
-_RAW = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/])[^>]*/>|<(" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I
+#: A tag as a browser reads it: a quote counts only where a value begins; a tag that the page doesn't
+#: end goes on to the page's end.
+_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+)(>|\Z)"
 )
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.S)
-_CUT = re.compile(r"<[/!?a-zA-Z][^<]*\Z")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW_TAGS}
+_COMMENT_END = re.compile(r"--!?>")
 _NAME = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Plain words from which a text says what its page is about.
+LONG_TEXT = 30
+#: Words of a link that may be a paragraph of its own.
+LONG_LINK = 8
 _HREF = re.compile(r"(?:^|\s)href\b", re.I)
 _PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+|©")
 _MARK = re.compile(r"data-keep=\"(\w)\"")
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Element:
-    """An open or closed block-level element and the plain (unlinked) words inside it."""
+    """A block-level element. What holds for all that is inside it is known from its parent on; words
+    are added to the innermost element and summed upwards once."""
 
     tag: str
     named: bool
     mark: str
-    plain: int = 0
+    parent: Element | None = None
+    plain: int = 0  # plain (unlinked) words inside
     titled: bool = False  # holds the page's first h1, main or article
+    region: bool = False
+    header: bool = False
+    heading: str = ""
+    holder: Element | None = None  # the nearest element that isn't one of a few short texts
+    apart: float = 0.0
+    held: int = 0  # plain words inside that aren't in a part apart
+    article: int = 0  # those of the largest article or main around
+
+    def __post_init__(self) -> None:
+        p = self.parent
+        self.mark = self.mark or (p.mark if p else "")
+        self.region = self.tag in REGION_TAGS or bool(p and p.region)
+        self.header = self.tag == "header" or bool(p and p.header)
+        self.heading = self.tag if self.tag in HEADINGS else p.heading if p else ""
+        self.holder = self if self.tag not in TEXT_TAGS and self.tag not in INNER_TAGS else p.holder if p else None
 
 
 @dataclass
@@ -73,12 +98,12 @@ class Block:
     text: str
     words: int
     link_words: int
-    path: tuple[Element, ...]
+    inside: Element | None
     before_title: bool = False
 
     @property
     def mark(self) -> str:
-        return next((e.mark for e in reversed(self.path) if e.mark), "")
+        return self.inside.mark if self.inside else ""
 
 
 def telling(attributes: str) -> bool:
@@ -96,7 +121,9 @@ class Cutter:
     """Cuts one page into its non-empty text blocks, in order."""
 
     out: list[Block] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
     stack: list[Element] = field(default_factory=list)
+    open_at: dict[str, list[int]] = field(default_factory=dict)  # of each tag, where it stands in the stack
     texts: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
     link_depth: int = -1  # number of open elements where a link began; -1 outside of links
@@ -107,9 +134,10 @@ class Cutter:
         if text:
             words = len(text.split())
             linked = min(words, len(html.unescape(" ".join(self.links)).split()))
-            for e in self.stack:
-                e.plain += words - linked
-            self.out.append(Block(text, words, linked, tuple(self.stack), "h1" not in self.seen))
+            inside = self.stack[-1] if self.stack else None
+            if inside:
+                inside.plain += words - linked
+            self.out.append(Block(text, words, linked, inside, "h1" not in self.seen))
         self.texts.clear()
         self.links.clear()
 
@@ -119,6 +147,8 @@ class Cutter:
             self.links.append(piece)
 
     def cut_to(self, depth: int) -> None:
+        for e in self.stack[depth:]:
+            self.open_at[e.tag].pop()
         del self.stack[depth:]
         if self.link_depth > depth:
             self.link_depth = -1
@@ -131,37 +161,82 @@ class Cutter:
         elif tag in BLOCK_TAGS:
             self.close()
             if closing:
-                depth = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag), None)
-                if depth is not None:
-                    self.cut_to(depth)
+                if self.open_at.get(tag):
+                    self.cut_to(self.open_at[tag][-1])
             elif tag not in VOID_TAGS and not attributes.endswith("/"):
                 last = self.stack[-1].tag if self.stack else ""
                 if last == "p" or (last == tag and tag in ("li", "dt", "dd", "option")):  # these end where the next begins
                     self.cut_to(len(self.stack) - 1)
-                mark = _MARK.search(attributes)
-                self.stack.append(Element(tag, tag not in ("html", "body") and telling(attributes), mark[1] if mark else ""))
+                mark = _MARK.search(attributes) if attributes else None
+                says = bool(attributes) and tag not in ("html", "body") and telling(attributes)
+                self.open_at.setdefault(tag, []).append(len(self.stack))
+                self.stack.append(Element(tag, says, mark[1] if mark else "", self.stack[-1] if self.stack else None))
+                self.elements.append(self.stack[-1])
                 if tag in ("h1", "main", "article") and tag not in self.seen:
                     self.seen.add(tag)
                     for e in self.stack:
                         e.titled = True
 
 
-def blocks_of(page: str) -> list[Block]:
-    page = _RAW.sub(" ", page)
-    c, at = Cutter(), 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            c.take(page[at : m.start()])
-        at = m.end()
-        if m[2]:
-            c.tag(bool(m[1]), m[2].lower(), m[3])
-    if at < len(page):  # a page may be cut off within a tag
-        c.take(_CUT.sub("", page[at:]))
+def after_raw(page: str, tag: str, at: int) -> int:
+    """Where a raw element's content and end tag are over."""
+    m = _RAW_END[tag].search(page, at)
+    return m.end() if m else len(page)
+
+
+def after_declaration(page: str, at: int) -> int:
+    """Where what begins with ``<!`` or ``<?``, or with ``</`` and no name, is over: a comment at its
+    own end, anything else at the next ``>``; the page's end where there is none."""
+    if page.startswith("<!--", at):
+        if page.startswith(("<!-->", "<!--->"), at):
+            return page.index(">", at) + 1
+        m = _COMMENT_END.search(page, at + 4)
+        return m.end() if m else len(page)
+    mark = "]]>" if page.startswith("<![CDATA[", at) else ">"
+    end = page.find(mark, at)
+    return len(page) if end < 0 else end + len(mark)
+
+
+def cut(page: str) -> Cutter:
+    """One pass over the page."""
+    c, at, n = Cutter(), 0, len(page)
+    while at < n:
+        begin = page.find("<", at)
+        if begin < 0:
+            c.take(page[at:])
+            break
+        if begin > at:
+            c.take(page[at:begin])
+        m = _TAG.match(page, begin)
+        if m:
+            at, tag = m.end(), m[2].lower()
+            if not m[4]:
+                break  # a page may be cut off within a tag
+            if tag in RAW_TAGS:
+                if not m[1] and not (tag == "svg" and m[3].endswith("/")):
+                    at = after_raw(page, tag, at)
+                c.take(" ")
+            else:
+                c.tag(bool(m[1]), tag, m[3])
+        elif page.startswith(("<!", "<?", "</"), begin):
+            at = after_declaration(page, begin)
+            if page.startswith(("<!--", "<![CDATA["), begin):
+                c.take(" ")
+        else:
+            c.take("<")
+            at = begin + 1
     c.close()
     if "h1" not in c.seen:  # nothing comes before a title that isn't there
         for b in c.out:
             b.before_title = False
-    return c.out
+    for e in reversed(c.elements):  # an element is made after the one around it
+        if e.parent:
+            e.parent.plain += e.plain
+    return c
+
+
+def blocks_of(page: str) -> list[Block]:
+    return cut(page).out
 
 
 FEATURES = (
@@ -172,50 +247,71 @@ FEATURES = (
 COUNTS = 7
 
 
-def named(b: Block, page_words: int) -> float:
-    """1 inside of a part with a telling name, 0.5 where only the block's own element has one. What
-    holds the page's title and a fifth of its text is no part apart, whatever its name."""
-    out = 0.0
-    for e in b.path:
+def set_apart(elements: list[Element], page_words: int) -> None:
+    """``apart`` of each element: 1 inside of a part with a telling name, 0.5 where only a text's own
+    element has one. What holds the page's title and a fifth of its text is no part apart, whatever
+    its name."""
+    for e in elements:
         whole = e.titled and (e.tag in ("main", "article", "h1") or 5 * e.plain > page_words) or 10 * e.plain > 9 * page_words and e.tag not in TEXT_TAGS
-        if e.named and not whole:
-            out = max(out, 0.5 if e.tag in TEXT_TAGS else 1.0)
+        own = 0.0 if not e.named or whole else 0.5 if e.tag in TEXT_TAGS else 1.0
+        e.apart = max(own, e.parent.apart if e.parent else 0.0)
+
+
+def cue_shares(blocks: list[Block]) -> list[float]:
+    """The share of each block's words that are cues. A word that the page's title or one of its long
+    texts uses is what the page is about, and no cue; nor are one or two among many other words."""
+    words = [_WORD.findall(b.text.lower()) for b in blocks]
+    topic = {w for b, ws in zip(blocks, words, strict=True) if (b.inside and b.inside.heading == "h1") or b.words - b.link_words >= LONG_TEXT for w in ws if w in CUES}
+    out = []
+    for b, ws in zip(blocks, words, strict=True):
+        found = [w for w in ws if w in CUES and w not in topic]
+        few = len(set(found)) < 3 and 5 * len(found) < b.words
+        out.append(0.0 if few or (b.inside and b.inside.heading == "h1") else len(found) / b.words)
     return out
 
 
-def featured(blocks: list[Block]) -> np.ndarray:
+def featured(page: Cutter) -> np.ndarray:
     """A row of FEATURES for each block. Shares are of the plain words outside of menu-like
-    elements and parts with telling names, whose own share is 0."""
+    elements and parts with telling names, whose own share is 0. Linear in the page."""
+    blocks = page.out
     n = len(blocks)
     own = np.array([[b.words, b.link_words / b.words] for b in blocks], float).reshape(n, 2)
     edge = np.zeros((2, 2))
     before, after, later = np.vstack((edge[:1], own[:-1])), np.vstack((own[1:], edge[:1])), np.vstack((own[2:], edge))[:n]
-    page_words = sum(b.words - b.link_words for b in blocks)
-    tags = [[e.tag for e in b.path] for b in blocks]
-    region = np.array([not REGION_TAGS.isdisjoint(t) for t in tags], bool)
-    name = np.array([named(b, page_words) for b in blocks])
+    set_apart(page.elements, sum(b.words - b.link_words for b in blocks))
+    inside = [b.inside for b in blocks]
+    region = np.array([bool(e and e.region) for e in inside], bool)
+    name = np.array([e.apart if e else 0.0 for e in inside])
     apart = region | (name == 1)
-    held: dict[int, int] = {}  # of each element, plain words that aren't in a part apart
+    for e in page.elements:
+        e.held = e.article = 0
+    rest = 0
     for b, off in zip(blocks, apart, strict=True):
-        for e in () if off else b.path:
-            held[id(e)] = held.get(id(e), 0) + b.words - b.link_words
-    rest = max(1, sum(b.words - b.link_words for b, off in zip(blocks, apart, strict=True) if not off))
-    share, article, heading, cues, under = (np.zeros(n) for _ in range(5))
+        if not off:
+            rest += b.words - b.link_words
+            if b.inside:
+                b.inside.held += b.words - b.link_words
+    for e in reversed(page.elements):
+        if e.parent:
+            e.parent.held += e.held
+    for e in page.elements:
+        e.article = max(e.held if e.tag in ("article", "main") else 0, e.parent.article if e.parent else 0)
+    rest = max(1, rest)
+    share, article, heading, under = (np.zeros(n) for _ in range(4))
+    cues = np.array(cue_shares(blocks)) if n else np.zeros(0)
     current = 0.0
-    for i, (b, off) in enumerate(zip(blocks, apart, strict=True)):
+    for i, (b, e, off) in enumerate(zip(blocks, inside, apart, strict=True)):
         if not off:
-            holder = next((e for e in reversed(b.path) if e.tag not in TEXT_TAGS and e.tag not in INNER_TAGS), None)
-            share[i] = held[id(holder)] / rest if holder else 1.0
-            article[i] = max((held[id(e)] for e in b.path if e.tag in ("article", "main")), default=0) / rest
-        level = next((t for t in reversed(tags[i]) if t in HEADINGS), "")
+            share[i] = e.holder.held / rest if e and e.holder else 1.0
+            article[i] = (e.article if e else 0) / rest
+        level = e.heading if e else ""
         heading[i] = 1.0 if level == "h1" else 0.5 if level else 0.0
-        cues[i] = sum(w in CUES for w in _WORD.findall(b.text.lower())) / b.words
         if level and (level == "h1" or b.words <= 6):  # a heading below the title names what follows
             current = float(level != "h1" and cues[i] > 0)
         under[i] = current
     best = np.full(n, article.max() if n else 0.0)
     rank = article / np.maximum(best, 1e-12)  # 1 in the page's largest article, less in teasers, 0 outside of any
-    header, early = np.array(["header" in t for t in tags], float), np.array([b.before_title for b in blocks], float)
+    header, early = np.array([bool(e and e.header) for e in inside], float), np.array([b.before_title for b in blocks], float)
     return np.column_stack((own, before, after, later[:, 0], share, rank, best, region, header, heading, name, cues, under, early))
 
 
@@ -265,19 +361,36 @@ def labelled(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels (kept: 1) of the blocks of marked pages."""
     x, y = [], []
     for page in pages:
-        blocks = blocks_of(page)
-        x.append(featured(blocks))
-        y += [int(b.mark == "1") for b in blocks]
+        c = cut(page)
+        x.append(featured(c))
+        y += [int(b.mark == "1") for b in c.out]
     return np.vstack(x), np.array(y)
 
 
-@lru_cache(maxsize=1)
-def tree() -> Node:
+def grown() -> Node:
     from tidewright.llm.page_table import pages
 
     return grow(*labelled(pages()))
 
 
+#: The grown tree: ``python -m tidewright.llm.html_blocks`` writes it anew.
+TREE = Path(__file__).with_name("html_tree.json")
+
+
+def plain(node: Node) -> list:
+    """A tree as nested lists."""
+    return [node.share] if node.feature < 0 else [node.share, node.feature, node.split, plain(node.low), plain(node.high)]
+
+
+def planted(rows: list) -> Node:
+    return Node(*rows) if len(rows) == 1 else Node(*rows[:3], planted(rows[3]), planted(rows[4]))
+
+
+@lru_cache(maxsize=1)
+def tree() -> Node:
+    return planted(json.loads(TREE.read_text()))
+
+
 def path_of(node: Node, row: np.ndarray) -> tuple[float, list[int]]:
     """The share of kept blocks at a row's leaf, and the features asked on the way."""
     asked = []
@@ -287,12 +400,25 @@ def path_of(node: Node, row: np.ndarray) -> tuple[float, list[int]]:
     return node.share, asked
 
 
+def kept(page: Cutter, model: Node) -> np.ndarray:
+    """Which blocks belong to the article. A paragraph that is one long link stays between two that do."""
+    x = featured(page)
+    keep = np.array([path_of(model, row)[0] >= 0.5 for row in x], bool)
+    around = lambda e: e.parent if e and e.tag in TEXT_TAGS else None
+    for i in np.flatnonzero(~keep[1:-1] & keep[:-2] & keep[2:]) + 1:
+        b, row = page.out[i], dict(zip(FEATURES, x[i], strict=True))
+        beside = {id(around(page.out[k].inside)) for k in (i - 1, i, i + 1)}
+        if len(beside) == 1 and around(b.inside) and b.words >= LONG_LINK and b.link_words == b.words and not row["region"] and not row["named"] and not row["cue words"] and not row["under a cue"]:
+            keep[i] = True
+    return keep
+
+
 def main_text(page: str | None, model: Node) -> str:
     """The kept blocks, joined by an empty line; empty for a null, empty or textless page."""
-    blocks = blocks_of(page or "")
-    if not blocks:
+    c = cut(page or "")
+    if not c.out:
         return ""
-    return "\n\n".join(b.text for b, row in zip(blocks, featured(blocks), strict=True) if path_of(model, row)[0] >= 0.5)
+    return "\n\n".join(b.text for b, stays in zip(c.out, kept(c, model), strict=True) if stays)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -302,7 +428,7 @@ def extract(pages: DataFrame) -> DataFrame:
     are extracted each; a very long page is read whole, by one task; an empty table gives an empty
     one. Other columns are not read, whatever their names.
     """
-    model = tree()  # grown once, on the driver; a few hundred nodes travel with the tasks
+    model = tree()  # a few hundred nodes, which travel with the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for x in batches for s in small_batches(x)):
@@ -313,3 +439,7 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    TREE.write_text(json.dumps(plain(grown())) + "\n")
