@@ -56,28 +56,29 @@ def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = M
     wide = written(spread.where(F.col("sites") >= low), "spread")
     near = wide.where(F.col("sites") <= high).select("h")
     exact = (
-        lines.join(near, "h", "left_semi").select("h", "site").distinct()
+        met(lines, near, "site").select("h", "site").distinct()
         .groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h")
     )
     clear = wide.where(F.col("sites") > high).select("h", "keeper")
     return clear.unionByName(wide.join(exact, "h", "left_semi").select("h", "keeper"))
 
 
-def removed_lines(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, gone): for each document the hashes of the lines that it loses.
+def met(lines: DataFrame, shared: DataFrame, spread: str) -> DataFrame:
+    """``lines`` (h, ..) with the rows of ``shared`` (h, ..) that have their hash. A shared line is a hot
+    key by nature: where the shared lines are few, by count, they are broadcast; else the key is
+    salted by the column ``spread`` of the lines."""
+    if shared.limit(FEW + 1).count() <= FEW:
+        return lines.join(F.broadcast(shared), "h")  # FEW rows at most
+    salt = F.pmod(F.xxhash64(spread, "h"), F.lit(SALTS)).cast("int")
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", salt).join(salted, ["h", "salt"])
 
-    A shared line is a hot key by nature. Where the shared lines are few, by count, they are
-    broadcast; else their key is salted by the document.
-    """
+
+def removed_lines(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, gone): for each document the hashes of the lines that it loses."""
     own = docs.select("doc_id", F.explode(split_lines(F.col("text"))).alias("line")).select("doc_id", line_hash(F.col("line")).alias("h"))
     shared = written(shared, "shared-lines")
-    if shared.limit(FEW + 1).count() <= FEW:
-        met = own.join(F.broadcast(shared), "h")  # FEW rows at most
-    else:
-        salt = F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)).cast("int")
-        spread = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = own.withColumn("salt", salt).join(spread, ["h", "salt"])
-    hits = met.where(F.col("doc_id") != F.col("keeper"))
+    hits = met(own, shared, "doc_id").where(F.col("doc_id") != F.col("keeper"))
     # a document's own distinct shared lines: bounded by its length
     return hits.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
 
