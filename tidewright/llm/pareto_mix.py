@@ -8,8 +8,14 @@ are what is left. Classes whose p would pass 1 are certain and get one more whol
 others are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and the
 smallest ratios are taken up to the size.
 
+The smallest ratios are taken as long as they fit into the size; a document that doesn't is passed
+over and the next ones are tried for the room that is left (first fit in the order of ratios). At the
+end the smallest document left out is taken if that brings the sum nearer to the size. So a source
+misses its target by half of the smallest document that it left out, at most.
+
 The order within a source is never built in one task: ratios fall into equal bins of r / (1 + r),
-the bins' sums are cumulated, and only the one bin where a source reaches its size is ordered.
+the bins' sums are cumulated, and only the one bin where a source runs out of room is ordered, once for
+each document that blocks it; room falls below that document's size each time.
 Rows that repeat a source, doc_id and size are told apart by a number j, each with a u of its own.
 """
 
@@ -119,29 +125,59 @@ def mix(docs: DataFrame) -> DataFrame:
     known = rows.alias("r").join(plan.alias("q"), same("r", "q", "source", "class")).select("r.source", "doc_id", "size", "j", "u", "source_size", "target", "whole", "p", "left")
     ranked = known.where((F.col("size") > 0) & (p > 0) & (p < 1)).withColumn("ratio", F.col("u") / (1 - F.col("u")) / (p / (1 - p)))
     ranked = ranked.withColumn("bin", F.floor(F.col("ratio") / (1 + F.col("ratio")) * BINS).cast("int"))
-    # (source, bin) rows: at most BINS + 1 a source
-    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    state = F.when(F.col("below") + F.col("words") <= F.col("left"), 1).when(F.col("below") >= F.col("left"), 0).otherwise(2)
-    cut = written(bins.select("source", "bin", "below", state.alias("state")), "mix-bins")
-    met = ranked.alias("r").join(cut.alias("b"), same("r", "b", "source") & (F.col("r.bin") == F.col("b.bin"))).select("r.*", "below", "state")
-    order = Window.partitionBy("source").orderBy("ratio", "doc_id", "size", "j")
-    reach = F.col("below") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # a document is taken if that brings the sum nearer to the size than leaving it
-    edge = met.where("state = 2").withColumn("extra", (reach - F.col("size") / 2.0 <= F.col("left")).cast("int"))
+    # whole words: what follows is exact
+    room = F.greatest(F.lit(0), F.floor(F.col("left") + 1e-6)).cast("long")
+    ranked = written(ranked.withColumn("left", room).withColumn("key", F.struct("ratio", "doc_id", "size", "j")), "mix-ranked")
+    chosen = first_fit(ranked)
     out = ["doc_id", "source", "size", "j", "source_size", "target", "whole", "extra"]
-    parts = [
-        known.where((F.col("size") == 0) | (p <= 0) | (p >= 1)).withColumn("extra", (p >= 1).cast("int")).select(*out),
-        met.where("state <> 2").withColumn("extra", F.col("state")).select(*out),
-        edge.select(*out),
-    ]
-    dealt = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rest = known.where((F.col("size") == 0) | (p <= 0) | (p >= 1)).withColumn("extra", (p >= 1).cast("int"))
+    dealt = rest.select(*out).unionByName(chosen.select(*out))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.col("extra")).cast("int")
     dealt = dealt.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
     return dealt.select("doc_id", "source", "size", "j", "source_size", "target", "copies", "taken")
 
 
+def first_fit(ranked: DataFrame) -> DataFrame:
+    """Rows (source, key, bin, size, left, ..) with ``extra``: 1 for those that are taken in the order
+    of ``key``, each if it fits into what the source has left, and for the smallest one left out if
+    half of it fits.
+
+    A round takes, for each source, all that fits up to the first document that doesn't, and says so
+    in one row: documents between two keys of at most the room's size. Rounds end where nothing blocks."""
+    state = ranked.groupBy("source").agg(F.first("left").alias("room")).withColumn("low", F.lit(None).cast(ranked.schema["key"].dataType))
+    spans = []
+    while True:
+        state = written(state, "mix-room")
+        open_ = ranked.alias("r").join(state.alias("s"), same("r", "s", "source")).where("r.size <= s.room AND (s.low IS NULL OR r.key > s.low)").select("r.source", "key", "bin", "size", "room")
+        # (source, bin) rows: at most BINS + 1 a source
+        bins = open_.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("room").alias("room"))
+        before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        cut = bins.where(F.col("below") + F.col("words") > F.col("room")).groupBy("source").agg(F.min(F.struct("bin", "below")).alias("at"))
+        edge = open_.alias("o").join(cut.alias("c"), same("o", "c", "source") & (F.col("o.bin") == F.col("c.at.bin"))).select("o.*", "c.at.below")
+        reach = F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+        blocked = edge.withColumn("reach", reach).where(F.col("reach") > F.col("room")).groupBy("source").agg(F.min(F.struct(F.col("key"), (F.col("reach") - F.col("size")).alias("used"))).alias("b"))
+        met = state.alias("s").join(blocked.alias("b"), same("s", "b", "source"), "left")
+        span = written(met.select("s.source", "low", F.col("b.b.key").alias("high"), "room", (F.col("room") - F.col("b.b.used")).alias("next")), "mix-span")
+        spans.append(span.select("source", "low", "high", "room"))
+        going = span.where("high IS NOT NULL")
+        if not going.limit(1).count():
+            break
+        state = going.select("source", F.col("next").alias("room"), F.col("high").alias("low"))
+    every = spans[0]
+    for s in spans[1:]:
+        every = every.unionByName(s)
+    # a row a source and round; a document lies in one span at most
+    every = every.withColumnRenamed("source", "s_source")
+    held = F.col("source").eqNullSafe(F.col("s_source")) & F.expr("(low IS NULL OR key > low) AND (high IS NULL OR key < high)")
+    placed = ranked.join(every, held, "left").withColumn("extra", F.coalesce((F.col("size") <= F.col("room")).cast("int"), F.lit(0))).select(*ranked.columns, "extra")
+    placed = written(placed, "mix-placed")
+    sums = placed.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("used"), F.first("left").alias("all"), F.min(F.when(F.col("extra") == 0, F.struct("size", "key"))).alias("least"))
+    last = sums.where(F.col("least.size") < 2 * (F.col("all") - F.col("used"))).select(F.col("source").alias("l_source"), F.col("least.key").alias("l_key"))
+    joined = placed.join(last, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("key") == F.col("l_key")), "left")
+    return joined.withColumn("extra", F.when(F.col("l_key").isNotNull(), 1).otherwise(F.col("extra"))).drop("l_source", "l_key")
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns unchanged, whatever their names.
 
@@ -173,7 +209,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
 ), n AS (
   SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) AS j, length(bin(size)) AS c FROM d
@@ -214,9 +250,16 @@ WITH d AS (
          CASE WHEN size > 0 AND z.p > 0 AND z.p < 1 THEN u / (1 - u) / (z.p / (1 - z.p)) END AS ratio
   FROM w JOIN z ON w.source IS NOT DISTINCT FROM z.source AND w.c = z.c JOIN r ON w.source IS NOT DISTINCT FROM r.source
 ), o AS (
-  SELECT *, sum(CASE WHEN ratio IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY ratio NULLS LAST, doc_id NULLS FIRST, size, j ROWS UNBOUNDED PRECEDING) AS reach FROM x
+  SELECT *, greatest(0, floor(rest - certain + 1e-6::DOUBLE))::BIGINT AS room, row_number() OVER (PARTITION BY source ORDER BY ratio NULLS LAST, doc_id NULLS FIRST, size, j) AS i FROM x
+), walk AS (
+  SELECT DISTINCT source, 0::BIGINT AS i, room AS left_, 0 AS extra, NULL::BIGINT AS size FROM o
+  UNION ALL
+  SELECT o.source, o.i, CASE WHEN o.size <= left_ THEN left_ - o.size ELSE left_ END, (o.size <= left_)::INT, o.size
+  FROM walk g JOIN o ON g.source IS NOT DISTINCT FROM o.source AND o.i = g.i + 1 AND o.ratio IS NOT NULL
+), y AS (
+  SELECT source, min(left_) AS left_, arg_min(i, (size, i)) FILTER (extra = 0 AND i > 0) AS least, min(size) FILTER (extra = 0 AND i > 0) AS smallest FROM walk GROUP BY source
 )
-SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-       (size * (whole + CASE WHEN p >= 1 THEN 1 WHEN ratio IS NOT NULL AND reach - size / 2.0::DOUBLE <= rest - certain THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM o
+SELECT doc_id, o.size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+       (o.size * (whole + CASE WHEN p >= 1 THEN 1 WHEN ratio IS NOT NULL AND (g.extra = 1 OR (o.i = y.least AND y.smallest < 2 * y.left_)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o LEFT JOIN walk g ON o.source IS NOT DISTINCT FROM g.source AND o.i = g.i AND o.ratio IS NOT NULL LEFT JOIN y ON o.source IS NOT DISTINCT FROM y.source
 """
