@@ -137,7 +137,7 @@ def test_median_distance_takes_all_pairs(spark):
     keys = [i // 2 for i in range(90)]  # two rows a key: these don't meet
     for n in (90, 89, 4, 2):
         d = [np.linalg.norm(x[i] - x[j]) for i in range(n) for j in range(i) if keys[i] != keys[j]]
-        out = stats.median_distance(spark.createDataFrame([(k, [float(c) for c in v]) for k, v in zip(keys[:n], x)], "key long, x array<double>"), 7)
+        out = stats.median_distance(spark.createDataFrame([(k, [float(c) for c in v]) for k, v in zip(keys[:n], x)], "key long, x array<double>"))
         assert out == pytest.approx(np.median(d)) if d else out is None
 
 

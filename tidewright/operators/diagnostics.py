@@ -12,95 +12,11 @@ from pyspark.sql import functions as F
 from tidewright.functions.lifts import Dictionary
 from tidewright.functions.vectors import as_lists, rows_of
 from tidewright.operators.embedding import forward_embed
+from tidewright.operators.neighbours import nearest_neighbours
 from tidewright.operators.sampling import sampled_with_replacement
 from tidewright.operators.thinning import thinned
 from tidewright.shared import written
 
-#: Points that are compared with as many others at a time.
-BLOCK = 512
-
-
-def nearest_neighbours(points: DataFrame, key: str = "t", value: str = "s") -> DataFrame:
-    """(key, nn, distance): the nearest other row, the lowest key of equals.
-
-    Points are cut into slabs of about BLOCK rows along the first coordinate; the cuts travel as
-    one array and are searched by halving. Each point finds its nearest one in its own slab first,
-    which bounds how far along that coordinate anything nearer can be; then it meets only the
-    slabs within its own reach. Equal first coordinates can crowd a slab: it is dealt into parts.
-    """
-    spark = points.sparkSession
-    slim = points.select(F.col(key).cast("long").alias("key"), F.col(value).cast("array<double>").alias("x"))
-    n = slim.count()
-    slabs = max(1, -(-n // BLOCK))
-    first = slim.select(F.get("x", F.lit(0)).alias("c"))
-    cuts = np.unique(first.approxQuantile("c", [i / slabs for i in range(1, slabs)], 0.1 / slabs)) if slabs > 1 else np.zeros(0)
-    given = spark.sparkContext.broadcast(cuts)
-    tasks = max(1, min(2000, slabs // 4))  # a number that is given isn't coalesced: blocks are small to read and long to compare
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                at = np.searchsorted(given.value, rows_of(b.column(1))[:, 0], "left")
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=["key", "x", "slab"])
-
-    sized = slim.mapInArrow(placed, "key long, x array<double>, slab int")
-    parts = sized.groupBy("slab").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
-    dealt = sized.join(parts, "slab").select("key", "x", "slab", F.pmod(F.hash("key"), F.col("parts")).alias("part"))
-    row = F.struct("key", "x")
-    blocks = dealt.repartition(tasks, "slab", "part").groupBy("slab", "part").agg(F.collect_list(row).alias("other"))
-
-    def nearest(own: pa.StructArray, other: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        a, b = rows_of(own.field("x")), rows_of(other.field("x"))
-        i, j = own.field("key").to_numpy(), other.field("key").to_numpy()
-        order = np.argsort(j, kind="stable")
-        j, b = j[order], b[order]
-        d = np.zeros((len(a), len(b)))
-        for u, v in zip(a.T, b.T, strict=True):
-            e = u[:, None] - v[None]
-            e *= e
-            d += e
-        d[i[:, None] == j[None]] = np.inf
-        best = d.argmin(1)
-        return i, j[best], np.sqrt(d[np.arange(len(a)), best]), a
-
-    ddl = "key long, nn long, distance double"
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each point's nearest in its own block, and the slabs that anything nearer may be in."""
-        for batch in batches:
-            for slab, part, other in zip(*batch.columns, strict=True):
-                i, j, d, x = nearest(other.values, other.values)
-                # what rounds off in a distance must not hide an equal one
-                reach = d * (1 + 1e-9) + np.abs(x[:, 0]) * 1e-12
-                low, high = (np.searchsorted(given.value, x[:, 0] + s * reach, "left") for s in (-1, 1))
-                given_ = [pa.repeat(c, len(i)) for c in (slab, part)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(i), as_lists(x), *given_, pa.array(j), pa.array(d), pa.array(low, pa.int32()), pa.array(high, pa.int32())],
-                    names=["key", "x", "slab", "part", "nn", "distance", "low", "high"],
-                )
-
-    found = blocks.mapInArrow(inside, "key long, x array<double>, slab int, part int, nn long, distance double, low int, high int")
-    found = written(found, "neighbours")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, q in zip(batch.column(0), batch.column(1), strict=True):
-                i, j, d, _ = nearest(p.values, q.values)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(d)], names=["key", "nn", "distance"])
-
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    asked = found.select("key", "x", F.col("slab").alias("own"), F.col("part").alias("own_part"), F.explode(F.sequence("low", "high")).alias("slab"))
-    asked = asked.join(parts, "slab").withColumn("part", every).where((F.col("slab") != F.col("own")) | (F.col("part") != F.col("own_part")))
-    # a block that many points reach is asked by about BLOCK of them at a time
-    load = asked.groupBy("slab", "part").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("turns"))
-    turn = F.pmod(F.hash("key"), F.col("turns")).alias("turn")
-    asked = asked.join(load, ["slab", "part"]).select("slab", "part", turn, "key", "x").groupBy("slab", "part", "turn").agg(F.collect_list(row).alias("rows"))
-    met = asked.repartition(tasks, "slab", "part", "turn").join(blocks, ["slab", "part"]).select("rows", "other").mapInArrow(across, ddl)
-    all_ = found.select("key", "nn", "distance").unionByName(met).where("distance < double('inf')")
-    best = all_.groupBy("key").agg(F.min(F.struct("distance", "nn")).alias("b"))
-    return best.select(F.col("key").alias(key), "b.nn", "b.distance")
-
-
 def false_nearest_neighbours(series: DataFrame, m: int, tau: int, rtol: float = 10.0, atol: float = 2.0, value: str = "value") -> float:
     """Share of nearest neighbours in m dimensions that the next one drives apart. ``atol`` is
     taken and not used. 1.0 for series without rows or valid neighbours.

@@ -6,12 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.vectors import EPS, rows_of
+from tidewright.functions.vectors import EPS
 from tidewright.operators.embedding import haloed, ranked
+from tidewright.operators.neighbours import median_distance
 
 #: Points whose pairwise distances give an automatic width, as in the reference; a documented bound.
 SIGMA_POINTS = 1000
@@ -71,64 +71,6 @@ def median_sigma(df: DataFrame, value: str = "x", key: str = "t", n_sample: int
     return 1.0 if out is None else out
 
 
-def median_distance(points: DataFrame, block: int = 4096) -> float | None:
-    """Median of the distances of all pairs of rows (key, x) with different keys; None without a pair.
-
-    Groups of about ``block`` rows meet in cells, every pair in one. Squared distances order
-    as the bits of their doubles, so four passes find the two middle ones 16 bits at a time: each
-    counts, cell by cell, the pairs that share the bits known so far. The sums run over the
-    coordinates in order, the same in each pass. Work is all pairs; each row is sent to
-    rows / ``block`` cells, 8 at least.
-    """
-    points = points.where("key IS NOT NULL AND x IS NOT NULL")
-    groups = max(8, -(-points.count() // block))
-    rows = points.withColumn("g", F.pmod(F.xxhash64("key", "x"), F.lit(groups))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    rows = rows.select(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), "g", "key", "x")
-    # a number that is given isn't coalesced: the cells are small to read and long to count
-    cells = rows.repartition(min(2000, groups * (groups + 1) // 2), "a", "b").groupBy("a", "b")
-
-    def counted(known: Sequence[int], shift: int) -> DataFrame:
-        def count(cell: pa.Table) -> pa.Table:
-            a, b, g = (cell.column(c).to_numpy() for c in ("a", "b", "g"))
-            keys, x = cell.column("key").to_numpy(), rows_of(cell.column("x"))
-            same = a[0] == b[0]
-            left = np.argsort(keys, kind="stable") if same else np.flatnonzero(g == a)
-            right = left if same else np.flatnonzero(g == b)
-            found = {p: np.zeros(1 << 16, np.int64) for p in known}
-            for i in range(0, len(left), 512):
-                for j in range(i if same else 0, len(right), 512):
-                    r, c = left[i : i + 512], right[j : j + 512]
-                    d2 = np.zeros((len(r), len(c)))
-                    for u, v in zip(x[r].T, x[c].T, strict=True):
-                        d = u[:, None] - v[None]
-                        d *= d
-                        d2 += d
-                    apart = keys[r][:, None] < keys[c][None] if same else keys[r][:, None] != keys[c][None]
-                    top = d2[apart].view(np.uint64) >> np.uint64(shift)
-                    for p, n in found.items():
-                        n += np.bincount((top[top >> np.uint64(16) == p] & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
-            out = [(p << 16 | int(k), int(n[k])) for p, n in found.items() for k in np.flatnonzero(n)]
-            # decimals: the bits of a NaN with its sign set pass a long
-            return pa.table({"top": pa.array([str(t) for t, _ in out], pa.string()), "n": pa.array([n for _, n in out], pa.int64())})
-
-        # 2^17 rows at most
-        return cells.applyInArrow(count, "top string, n long").groupBy("top").agg(F.sum("n").alias("n"))
-
-    known, before, middle = [0], 0, None
-    for shift in (48, 32, 16, 0):
-        table = sorted((int(r["top"]), r["n"]) for r in counted(known, shift).collect())
-        if not table:
-            return None
-        ends = before + np.cumsum([n for _, n in table])
-        if middle is None:
-            middle = [(int(ends[-1]) - 1) // 2, int(ends[-1]) // 2]
-        at = [int(np.searchsorted(ends, m, side="right")) for m in middle]
-        before = int(ends[at[0]]) - table[at[0]][1]
-        known = sorted({table[k][0] for k in at})
-    low, high = np.sqrt(np.array([known[0], known[-1]], np.uint64).view(np.float64))
-    return float(low + (high - low) / 2)
-
-
 def mutual_information(df: DataFrame, lags: Sequence[int], by: Sequence[str] = ("series_id",), value: str = "value", n_bins: int = 50) -> DataFrame:
     """(keys, lag, mi) in nats between a series and itself ``lag`` rows later.
 
