@@ -87,14 +87,37 @@ class Balls:
         return np.split(numbers, np.cumsum(np.bincount(i[pair], minlength=len(x)))[:-1])
 
 
+#: Rows of the sample of pivots for each of them, and numbers of the sample, at most (a row a pivot at least).
+SAMPLED, SAMPLE_CELLS = 8, 1 << 22
+
+
+def pivots_of(sample: np.ndarray, count: int) -> np.ndarray:
+    """At most ``count`` different rows: the first half as they come, so that dense places have many,
+    then the row that is farthest from all of them, so that no group far off has none."""
+    sample = np.unique(sample, axis=0)
+    sample = sample[np.random.default_rng(5).permutation(len(sample))]
+    chosen = list(range(min(len(sample), -(-count // 2))))
+    if not chosen:
+        return sample
+    away = product_squares(sample, sample[chosen])[0].min(1)
+    while len(chosen) < min(count, len(sample)):
+        far = int(away.argmax())
+        if away[far] <= 0:
+            break
+        chosen.append(far)
+        away = np.minimum(away, ((sample - sample[far]) ** 2).sum(1))
+    return sample[sorted(set(chosen))]
+
+
 def balls_of(points: DataFrame, n: int, rows: int = BLOCK) -> tuple[DataFrame, Balls]:
-    """(key, x, ball, ring) of rows (key, x), written, and the balls. Pivots are rows of smallest hash,
-    one for about ``rows`` rows; the driver gets them and RINGS numbers of each."""
+    """(key, x, ball, ring) of rows (key, x), written, and the balls. Pivots, one for about ``rows``
+    rows, are rows of a sample; the driver gets the sample and RINGS numbers of each pivot."""
     spark = points.sparkSession
     count = max(1, min(MAX_PIVOTS, -(-n // rows)))
-    chosen = points.orderBy(F.xxhash64("key", F.lit(11)), "key").limit(count).collect()
-    dim = len(chosen[0]["x"]) if chosen else 1
-    pivots = np.unique(np.array([r["x"] for r in chosen], float).reshape(-1, dim), axis=0)
+    first = points.select(F.size("x")).first()
+    dim = max(1, first[0] if first else 1)
+    some = points.orderBy(F.xxhash64("key", F.lit(11)), "key").limit(max(count, min(SAMPLED * count, SAMPLE_CELLS // dim)))
+    pivots = pivots_of(np.array([r["x"] for r in some.collect()], float).reshape(-1, dim), count)
     given = spark.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
