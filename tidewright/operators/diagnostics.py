@@ -64,6 +64,26 @@ def jacobian(f: Callable[[np.ndarray], Sequence[float]], x: Sequence[float], h:
     return np.array(columns).T
 
 
+def jacobians(points: DataFrame, f: Callable[[np.ndarray], np.ndarray], keys: Sequence[str], value: str = "x", h: float = 1e-6) -> DataFrame:
+    """(keys, i, j, value) of every row's Jacobian by central differences (output i, input j, from 1);
+    ``f`` takes a batch of states, a row each."""
+    types, keys = dict(points.dtypes), list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4096):
+                b = whole.slice(a, 4096)
+                x = rows_of(b.column(len(keys)))
+                n, dim = x.shape
+                steps = h * np.eye(dim)
+                d = np.stack([(f(x + e) - f(x - e)) / (2 * h) for e in steps], 2)
+                given = [c.take(pa.array(np.repeat(np.arange(n), d[0].size))) for c in b.columns[: len(keys)]]
+                i, j = (np.tile(v.ravel() + 1, n).astype(np.int32) for v in np.indices(d.shape[1:]))
+                yield pa.RecordBatch.from_arrays([*given, pa.array(i), pa.array(j), pa.array(d.ravel())], names=[*keys, "i", "j", "value"])
+
+    return points.select(*keys, value).mapInArrow(run, "".join(f"{k} {types[k]}, " for k in keys) + "i int, j int, value double")
+
+
 def grad_phi(d: Dictionary, x: Sequence[float], xi: np.ndarray) -> np.ndarray:
     """Gradient of Re(psi' xi) at one state, by the dictionary's own derivative."""
     return np.real(d.gradient(np.asarray(x, float)) @ xi)

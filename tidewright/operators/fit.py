@@ -185,16 +185,15 @@ def lifted_pairs(pairs: DataFrame, d: Dictionary) -> DataFrame:
 
 def grouped_ridge(df: DataFrame, by: Sequence[str], size: int, alpha: float = 1e-3, x: str = "psi_x", y: str = "psi_y") -> DataFrame:
     """(keys, i, j, value): one ridge operator for each key, solved on the executors; of any size
-    that a task can solve."""
-    g = gram(df, by, x, x, (size, size)).withColumnRenamed("value", "g")
-    a = gram(df, by, x, y, (size, size)).withColumnRenamed("value", "a")
+    that a task can solve. Both sums are one aggregate."""
+    both = gram(df.select(*by, F.col(x).alias("_x"), F.concat(x, y).alias("_xy")), by, "_x", "_xy", (size, 2 * size))
 
     def solve(pdf):
         import pandas as pd
 
-        # size^2 rows a key
-        m = {c: pdf.pivot(index="i", columns="j", values=c).to_numpy() for c in ("g", "a")}
-        k = np.linalg.solve(m["g"] + alpha * np.eye(size), m["a"])
+        # 2 size^2 rows a key
+        m = pdf.pivot(index="i", columns="j", values="value").to_numpy()
+        k = np.linalg.solve(m[:, :size] + alpha * np.eye(size), m[:, size:])
         i, j = np.indices(k.shape)
         out = pd.DataFrame({"i": i.ravel() + 1, "j": j.ravel() + 1, "value": k.ravel()})
         for c in by:
@@ -203,7 +202,7 @@ def grouped_ridge(df: DataFrame, by: Sequence[str], size: int, alpha: float = 1e
 
     types = dict(df.dtypes)
     ddl = ", ".join(f"{c} {types[c]}" for c in by) + ", i int, j int, value double"
-    return g.join(a, [*by, "i", "j"]).groupBy(*by).applyInPandas(solve, ddl)
+    return both.groupBy(*by).applyInPandas(solve, ddl)
 
 
 # --- kernels ------------------------------------------------------------------------------

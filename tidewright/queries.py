@@ -310,9 +310,9 @@ def sums_sql(n: int, alpha: str) -> str:
 SELECT event_type, block, i::INT AS i, j::INT AS j, round(v, 3) + 0.0::DOUBLE AS value FROM c""")
 def gram_blocks(spark, sf_dir):
     p = lifted_events(spark, sf_dir)
-    g = fit.gram(p, BY, "psi_x", "psi_x", (3, 3)).withColumn("block", F.lit("G"))
-    a = fit.gram(p, BY, "psi_x", "psi_y", (3, 3)).withColumn("block", F.lit("A"))
-    return g.unionByName(a).select("event_type", "block", "i", "j", rounded("value", 3).alias("value"))
+    both = fit.gram(p.select("event_type", "psi_x", F.concat("psi_x", "psi_y").alias("xy")), BY, "psi_x", "xy", (3, 6))
+    both = both.withColumn("block", F.when(F.col("j") <= 3, "G").otherwise("A")).withColumn("j", F.when(F.col("j") <= 3, F.col("j")).otherwise(F.col("j") - 3))
+    return both.select("event_type", "block", "i", "j", rounded("value", 3).alias("value"))
 
 
 @query(f"""WITH {LIFTED}, {sums_sql(2, '0.001::DOUBLE')}, d AS (SELECT *, g11 * g22 - g12 * g21 AS det FROM m)
@@ -569,4 +569,4 @@ def pair_counts(spark, sf_dir):
     return embedding.snapshot_pairs(events(spark, sf_dir), BY, "value").groupBy("event_type").agg(F.count("*").alias("pairs"))
 
 
-from tidewright import model_queries  # noqa: E402, F401  more of them, registered on import
+from tidewright import model_queries, table_queries  # noqa: E402, F401  more of them, registered on import
