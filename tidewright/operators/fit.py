@@ -248,7 +248,7 @@ def fit_kernel(pairs: DataFrame, sigma: float, alpha: float = 1e-6, n_landmarks:
     chosen = pairs.select(*keys, "x", "y").orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(bound + (n_landmarks is None))
     rows = sorted(tuple(r) for r in chosen.collect())
     if len(rows) > bound:
-        raise ValueError(f"over {bound} pairs: give n_landmarks")
+        raise ValueError(f"over {bound} pairs: give n_landmarks, or solve over all pairs by operators.kernel_cg")
     x, y = (np.array([r[len(keys) + c] for r in rows], float) for c in (0, 1))
     spark = pairs.sparkSession
     table = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(len(rows))], "i long, x array<double>, y array<double>")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.lifts import Hermite
 from tidewright.model_queries import shown
-from tidewright.operators import diagnostics, fit, spectral, spectral_keys, stats
-from tidewright.queries import BY, LIFTED, lifted_events, query, read, rounded, sums_sql
+from tidewright.operators import diagnostics, embedding, fit, kernel_cg, spectral, spectral_keys, stats
+from tidewright.queries import BY, LIFTED, lifted_events, one_series, query, read, rounded, sums_sql
 
 # Numbers like 1e0 are DOUBLE in the SQL.
 
@@ -138,3 +138,12 @@ def jacobians_of_lineitems(spark, sf_dir):
     p = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_quantity") / 10.0, F.col("l_discount")).alias("x"))
     out = diagnostics.jacobians(p, lambda x: np.stack((x[:, 0] ** 2 + x[:, 1], x[:, 0] * x[:, 1]), 1), ["l_orderkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", "i", "j", rounded("value", 5).alias("value"))
+
+
+@query()
+def kernel_all_pairs(spark, sf_dir):
+    """One step ahead of every pair of events, by a kernel fit whose basis is all of them."""
+    pairs = embedding.snapshot_pairs(embedding.delay_embed(one_series(spark, sf_dir), 2, 1, []), [], "s")
+    found = kernel_cg.solve_kernel(pairs, 0.3, 1e-2, landmarks=200, tol=1e-6)
+    out = found.evaluate(pairs.select("t", "x"))
+    return out.select("t", F.get("y", F.lit(0)).alias("y1"), F.get("y", F.lit(1)).alias("y2"))
