@@ -144,6 +144,6 @@ def jacobians_of_lineitems(spark, sf_dir):
 def kernel_all_pairs(spark, sf_dir):
     """One step ahead of every pair of events, by a kernel fit whose basis is all of them."""
     pairs = embedding.snapshot_pairs(embedding.delay_embed(one_series(spark, sf_dir), 2, 1, []), [], "s")
-    found = kernel_cg.solve_kernel(pairs, 0.3, 1e-2, landmarks=200, tol=1e-6)
+    found = kernel_cg.solve_kernel(pairs, 1.0, 0.1, landmarks=200, tol=1e-8)
     out = found.evaluate(pairs.select("t", "x"))
     return out.select("t", F.get("y", F.lit(0)).alias("y1"), F.get("y", F.lit(1)).alias("y2"))
