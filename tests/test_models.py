@@ -68,7 +68,7 @@ def test_fits_with_a_dictionary(series, values, kind, params):
         for step in range(5):
             assert np.isclose(pred[(start, step)], (a.b @ p)[0], atol=1e-8)
             p = a.k.T @ p
-    a.release(spark)
+    a.release(series.sparkSession)
 
 
 def test_the_linear_fit(series, values):
