@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewright.functions.lifts import Hermite
+from tidewright.functions.vectors import spectrum_table
 from tidewright.model_queries import shown
-from tidewright.operators import diagnostics, embedding, fit, kernel_cg, spectral, spectral_keys, stats
+from tidewright.operators import diagnostics, embedding, fit, kernel_cg, krylov, spectral, spectral_keys, stats
 from tidewright.queries import BY, LIFTED, lifted_events, one_series, query, read, rounded, sums_sql
 
 # Numbers like 1e0 are DOUBLE in the SQL.
@@ -147,3 +148,20 @@ def kernel_all_pairs(spark, sf_dir):
     found = kernel_cg.solve_kernel(pairs, 1.0, 0.1, landmarks=200, tol=1e-8)
     out = found.evaluate(pairs.select("t", "x"))
     return out.select("t", F.get("y", F.lit(0)).alias("y1"), F.get("y", F.lit(1)).alias("y2"))
+
+
+#: Cells of a ring, more than a spectrum is dense for; an event turns by 16 cells a unit, and a few.
+RING = 4096
+
+
+@query(f"""WITH p AS (SELECT s, count(*) / (sum(count(*)) OVER ())::DOUBLE AS v FROM (SELECT ((16 * floor(value)::BIGINT + event_id % 3) % {RING} + {RING}) % {RING} AS s FROM events WHERE value IS NOT NULL AND event_id IS NOT NULL) GROUP BY s),
+l AS (SELECT sum(v * cos(2 * pi() * ((w * s) % {RING}) / {RING})) AS re, sum(v * sin(2 * pi() * ((w * s) % {RING}) / {RING})) AS im FROM p, range({RING}) AS r(w) GROUP BY w),
+o AS (SELECT *, row_number() OVER (ORDER BY round(sqrt(re * re + im * im), 9) DESC, round(re / sqrt(re * re + im * im), 9) DESC, im DESC) AS k FROM l)
+SELECT k::INT AS k, {shown(6, re='re', im='im')} FROM o WHERE k <= 7""")
+def ring_spectrum(spark, sf_dir):
+    """Leading eigenvalues of the transfer operator on 4,096 cells of a ring that every event turns."""
+    e = read(spark, sf_dir, "events").select((16 * F.floor("value") + F.col("event_id") % 3).alias("step"))
+    operator = krylov.row_blocks(krylov.step_operator(e, RING), RING)
+    found = operator.leading(7, krylov=60)
+    operator.release()
+    return spectrum_table(spark, found.values).select("k", rounded("re").alias("re"), rounded("im").alias("im"))
