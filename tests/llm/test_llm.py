@@ -413,9 +413,13 @@ def test_counts_of_other_tokenizers(spark):
         assert got == {i: count(t or "") for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("words", [60, 700])
-def test_near_copies_of_a_large_group(spark, words):
+@pytest.mark.parametrize("words, rare", [(60, False), (700, False), (60, True), (700, True)])
+def test_near_copies_of_a_large_group(spark, monkeypatch, words, rare):
     """A group whose members are about as alike as the threshold, some of them with no partner."""
+    if rare:  # buckets of over 64 are large, and their members meet by rare shingles
+        monkeypatch.setattr(setsketch, "TURN", 1)
+        figures = iter((0.0, 1.0))
+        monkeypatch.setattr(setsketch, "comparisons", lambda mixed: next(figures))
     rng = random.Random(words)
     vocabulary = [f"w{i}" for i in range(3000)]
     base = [rng.choice(vocabulary) for _ in range(words)]
@@ -431,6 +435,39 @@ def test_near_copies_of_a_large_group(spark, words):
     out = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(d).collect()}
     want = plain_components(rows, 2, 80)
     assert out == want and len({c for _, c in want.values()}) > 60
+    assert not rare or next(figures, None) is None
+
+
+def test_a_large_bucket_whose_members_stay_apart(spark, monkeypatch):
+    """1,200 texts of one template are 0.76 alike; a few have a partner that only rare shingles show."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(base + [f"t{rng.randrange(10**9)}" for _ in range(22)])) for i in range(1160)]
+    rows += [(2000 + i, rows[29 * i][1].replace("w3 ", "v3 ") + " end") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    figures, plain = [], setsketch.comparisons
+    monkeypatch.setattr(setsketch, "comparisons", lambda mixed: figures.append(plain(mixed)) or figures[-1])
+    out = {r.doc_id: r.component_id for r in setsketch.near_duplicates(d).collect()}
+    assert out == {i: i for i in range(1160)} | {2000 + i: 29 * i for i in range(40)}
+    fewer, all_pairs = figures
+    assert all_pairs > 500 * 500 and fewer < 20 * len(rows)
+
+
+def test_rare_shingles_of_partners_meet(spark):
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    sets = {1: a, 2: np.sort(np.concatenate((a[40:], rng.integers(0, 1 << 63, 40).astype(np.uint64)))), 3: a[:1], 4: a[:320]}
+    d = spark.createDataFrame([(k, k, bytearray(v.tobytes())) for k, v in sets.items()], "doc_id long, comp long, items binary")
+    found, ahead = {}, {}
+    for r in setsketch.rare_shingles(d, 80).collect():
+        assert r.band == -1 and r.comp == r.doc_id and r.n == len(sets[r.doc_id])
+        found.setdefault(r.doc_id, set()).add(r.key)
+        if r.first:
+            ahead.setdefault(r.doc_id, set()).add(r.key)
+    assert {k: len(v) for k, v in found.items()} == {1: 81, 2: 81, 3: 1, 4: 65}
+    assert {k: len(v) for k, v in ahead.items()} == {1: 45, 2: 45, 3: 1, 4: 36}
+    assert found[1] & ahead[2] and ahead[1] & found[2] and found[1] & ahead[4]  # 0.82 and 0.8 alike
+    assert not setsketch.rare_shingles(d.limit(0), 80).count()
 
 
 def test_joint_estimate():

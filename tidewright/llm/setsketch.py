@@ -10,7 +10,8 @@ full sets.
 
 Work is kept off quadratic paths: equal sets are one class from the start; each bucket
 links its members to one member of its own (another one in each band); only members that are
-then still in different components are compared with one another.
+then still in different components are compared with one another. Members of large buckets
+do so where they share one of their rarest shingles, if that makes fewer comparisons.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SAMPLE_MARGIN = 0.13
 #: Members of a bucket that are compared with as many others at a time, and blocks that one task
 #: of a large bucket compares the rest with.
 BLOCK, TURN = 64, 8
+#: Counters of shingles by hash, for their order by rarity: 8 bytes each go to every executor.
+SLOTS = 1 << 20
 _seeds = np.random.default_rng(7).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64)
 SALT, FACTOR = _seeds[0], _seeds[1] * np.uint64(2) + np.uint64(1)
 _lower = np.arange(256, dtype=np.uint8)
@@ -190,7 +193,8 @@ def block_links(p: pa.StructArray, z: pa.StructArray, percent: int, band: int) -
     components that reach ``percent`` where both sets are whole in ``low``, or may do so where
     not: of a larger set, ``low`` has the SAMPLE smallest hashes, and two such samples estimate
     the similarity up to the smaller one's end. One certain link of a row to a component does.
-    A pair that may link counts in its first common band only, if its joint estimate allows."""
+    A pair that may link counts in its first common band only (band -1: always), if its joint
+    estimate allows."""
     sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in x.field("low")] for x in (p, z)]
     ids, n, comp = ([x.field(f).to_numpy(zero_copy_only=False) for x in (p, z)] for f in ("doc_id", "n", "comp"))
     both = np.intersect1d(np.concatenate(sets[0]), np.concatenate(sets[1]))
@@ -214,8 +218,9 @@ def block_links(p: pa.StructArray, z: pa.StructArray, percent: int, band: int) -
     i, j = np.nonzero(may)
     regs = [np.frombuffer(b"".join(x.field("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in (p, z)]
     x, y = regs[0][i], regs[1][j]
-    first = (x == y).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
-    i, j, x, y = i[first], j[first], x[first], y[first]
+    if band >= 0:
+        first = (x == y).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+        i, j, x, y = i[first], j[first], x[first], y[first]
     sure = certain[i, j]
     if not sure.all():
         fine = sure | (joint_estimate(x, y, n[0][i].astype(float), n[1][j].astype(float)) >= percent / 100 - MARGIN)
@@ -227,12 +232,12 @@ def block_links(p: pa.StructArray, z: pa.StructArray, percent: int, band: int) -
 
 
 def across_blocks(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that ``block_links`` finds between the rest and all members of each bucket.
+    """Pairs (a, b) that ``block_links`` finds between the ``rest`` and the ``met`` of each bucket.
     Buckets are dealt into blocks of about BLOCK members; a row is a pair of blocks. A bucket's
     blocks are dealt over tasks in turns of about TURN, and the rest goes to each turn: no task
     has all pairs of a bucket."""
     turns = F.ceil(F.col("blocks") / TURN)
-    every = apart.groupBy("key", "block", F.pmod("block", turns).alias("turn")).agg(F.collect_list("x").alias("z")).drop("block")
+    every = apart.where("met").groupBy("key", "block", F.pmod("block", turns).alias("turn")).agg(F.collect_list("x").alias("z")).drop("block")
     rest = apart.where("rest").groupBy("band", "key", "block", turns.alias("turns")).agg(F.collect_list("x").alias("p"))
     rest = rest.select("band", "key", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"))
 
@@ -245,6 +250,66 @@ def across_blocks(apart: DataFrame, percent: int) -> DataFrame:
     return rest.join(every, ["key", "turn"]).select("p", "z", "band").mapInArrow(run, "a long, b long")
 
 
+def mixed_groups(placed: DataFrame) -> DataFrame:
+    """(key, total, main, work) of each group of ``placed`` (key, comp, first, ..) with several
+    components and a ``first`` member: its members, its largest component, and how many comparisons
+    bring its rest, the members outside that component, together with all, one of two being first."""
+    shares = placed.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum(F.col("first").cast("long")).alias("f"))
+    mixed = shares.groupBy("key").agg(F.sum("k").alias("total"), F.sum("f").alias("f"), F.max(F.struct("k", "comp", "f")).alias("m"))
+    rest = F.col("total") - F.col("m.k")
+    ahead = F.col("f") - F.col("m.f")
+    work = ahead.cast("double") * F.col("total") + (rest - ahead).cast("double") * F.col("f")
+    return mixed.where((rest > 0) & (F.col("f") > 0)).select("key", "total", F.col("m.comp").alias("main"), work.alias("work"))
+
+
+def comparisons(mixed: DataFrame) -> float:
+    return mixed.agg(F.sum("work")).first()[0] or 0.0
+
+
+def rare_shingles(crowd: DataFrame, percent: int) -> DataFrame:
+    """(band -1, key, doc_id, n, comp, first): the rarest hashes of each set (doc_id, comp, items), so
+    many that two sets of the wanted similarity share one of them, which is ``first`` in the smaller.
+
+    Sets of similarity s have s of the larger one in common, and 2 s / (1 + s) of the smaller one. The
+    rarest hash in common comes, in either set, before all others in common: among the first
+    n - s n + 1 of the larger set, and the first n - 2 s n / (1 + s) + 1 of the smaller. Rarity is the
+    count of the hash's slot, ties by the hash: an order that all sets share, which is all it needs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                np.add.at(seen, np.frombuffer(v.as_buffer(), np.uint64) % np.uint64(SLOTS), 1)
+        slots = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(seen[slots], pa.int64())], names=["slot", "c"])
+
+    counts = crowd.select("items").mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c")).toArrow()
+    seen = np.zeros(SLOTS, np.int64)
+    seen[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    sent = crowd.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for x in batches for s in small_batches(x)):
+            chosen = []
+            for v in batch.column(2):
+                x = np.frombuffer(v.as_buffer(), np.uint64)
+                order = np.lexsort((x, sent.value[x % np.uint64(SLOTS)]))
+                chosen.append(x[order[: len(x) + percent * len(x) // -100 + 1]].view(np.int64))
+            size = np.array([len(c) for c in chosen], np.int64)
+            of = np.repeat(np.arange(batch.num_rows), size)
+            n = np.array([len(v.as_buffer()) // 8 for v in batch.column(2)], np.int64)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            first = place < (n + 2 * percent * n // -(100 + percent) + 1)[of]
+            keys = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+            at = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), -1), pa.int32()), pa.array(keys, pa.int64()), batch.column(0).take(at), pa.array(n[of], pa.int64()), batch.column(1).take(at), pa.array(first)],
+                names=["band", "key", "doc_id", "n", "comp", "first"],
+            )
+
+    return crowd.select("doc_id", "comp", "items").mapInArrow(run, "band int, key long, doc_id long, n long, comp long, first boolean")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of edges (a, b) with the smallest id as root; nodes
     without an edge, and roots, are not listed.
@@ -310,16 +375,31 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     # members of a bucket that are still apart: those outside its largest component against all others
     placed = members.select("band", "key", "doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = written(placed.select("band", "key", "doc_id", "n", F.coalesce("root", "doc_id").alias("comp")), "placed")
-    shares = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    mixed = shares.groupBy("key").agg(F.sum("k").alias("total"), F.max(F.struct("k", "comp")).alias("m"))
-    blocks = F.ceil(F.col("total") / BLOCK)
-    mixed = written(mixed.where(F.col("total") > F.col("m.k")).select("key", blocks.alias("blocks"), F.col("m.comp").alias("main")), "mixed")
+    placed = written(placed.select("band", "key", "doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), F.lit(True).alias("first")), "placed")
+    mixed = written(mixed_groups(placed), "mixed")
     low = sets.select("doc_id", F.substring("items", 1, 8 * SAMPLE).alias("low"))
-    apart = placed.join(mixed, "key").join(low, "doc_id").join(reps.select("doc_id", "regs"), "doc_id")
-    block = F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks"))
-    apart = written(apart.select("band", "key", "blocks", block.alias("block"), F.struct("doc_id", "n", "comp", "low", "regs").alias("x"), (F.col("comp") != F.col("main")).alias("rest")), "apart")
-    second = written(across_blocks(apart, percent).distinct(), "second").join(stars, ["a", "b"], "left_anti")
+
+    def across(placed: DataFrame, mixed: DataFrame, all_first: bool = True) -> DataFrame:
+        mixed = mixed.select("key", F.ceil(F.col("total") / BLOCK).alias("blocks"), "main")
+        apart = placed.join(mixed, "key").join(low, "doc_id").join(reps.select("doc_id", "regs"), "doc_id")
+        block = F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks"))
+        x = F.struct("doc_id", "n", "comp", "low", "regs").alias("x")
+        apart = written(apart.select("band", "key", "blocks", block.alias("block"), x, (F.col("comp") != F.col("main")).alias("outside"), "first"), "apart")
+        ahead = apart.withColumn("rest", F.col("outside") & F.col("first")).withColumn("met", F.lit(True))
+        behind = apart.withColumn("rest", F.col("outside") & ~F.col("first")).withColumn("met", F.col("first"))
+        found = across_blocks(ahead, percent)
+        return found if all_first else found.unionByName(across_blocks(behind, percent))
+
+    large = F.col("total") > BLOCK * TURN
+    crowd = placed.join(mixed.where(large), "key", "left_semi").groupBy("doc_id").agg(F.min("comp").alias("comp"))
+    met = None
+    if not mixed.where(large).isEmpty():
+        rare = written(rare_shingles(crowd.join(sets, "doc_id"), percent), "rare")
+        fewer = written(mixed_groups(rare), "mixed")
+        if comparisons(fewer) < comparisons(mixed.where(large)):
+            met = across(placed, mixed.where(~large)).unionByName(across(rare, fewer, all_first=False))
+    met = across(placed, mixed) if met is None else met
+    second = written(met.distinct(), "second").join(stars, ["a", "b"], "left_anti")
     more = written(verified(second, sets, percent), "links")
     if not more.isEmpty():
         roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
