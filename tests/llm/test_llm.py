@@ -453,6 +453,67 @@ def test_a_large_bucket_whose_members_stay_apart(spark, monkeypatch):
     assert all_pairs > 500 * 500 and fewer < 20 * len(rows)
 
 
+def stage_tasks(spark, group, job):
+    """The result of job() and the largest number of tasks that one of its stages took."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = job()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds}
+        return out, max(info.numTasks for info in map(tracker.getStageInfo, stages) if info)
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+
+
+@pytest.mark.parametrize("rare", [False, True])
+def test_a_large_bucket_does_not_multiply_tasks(spark, monkeypatch, rare):
+    """Where Spark deals skewed joins anew, both sides of a group that met by a join went to the
+    product of their pieces, a task each."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(base + [f"t{rng.randrange(10**9)}" for _ in range(22)])) for i in range(900)]
+    rows += [(2000 + i, rows[29 * i][1].replace("w3 ", "v3 ") + " end") for i in range(30)]
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "16k"}
+    conf |= {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    figures = iter((0.0, 1.0) if rare else (1.0, 0.0))
+    monkeypatch.setattr(setsketch, "comparisons", lambda mixed: next(figures))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)
+        found, most = stage_tasks(spark, f"large-{rare}", lambda: setsketch.near_duplicates(d).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in found} == {i: i for i in range(900)} | {2000 + i: 29 * i for i in range(30)}
+    assert most <= 600
+
+
+@pytest.mark.parametrize("r, m", [(1, 1), (1, 700), (300, 300), (700, 1300), (2, 0), (0, 5)])
+def test_each_pair_of_rest_and_met_shares_one_cell(spark, r, m):
+    """r members of the rest, the last of them met as well, and m others that are met."""
+    both = r // 3
+    d = spark.range(r + m).selectExpr("id doc_id", "5L key", f"id < {r} rest", f"id >= {r - both} met")
+    n = F.lit(r).cast("long"), F.lit(m + both).cast("long")
+    at = d.select("doc_id", F.explode(setsketch.cells(F.col("rest"), F.col("met"), *n, 0)).alias("x")).select("doc_id", "x.*").collect()
+    groups = {}
+    for x in at:
+        p, z = groups.setdefault((x.turn, x.i, x.j), ([], []))
+        p += [x.doc_id] * x.rest
+        z += [x.doc_id] * x.met
+    pairs = [(a, b) for p, z in groups.values() for a in p for b in z]
+    assert sorted(pairs) == [(a, b) for a in range(r) for b in range(r - both, r + m)]
+    assert all(len(p) < 400 and len(z) < 700 for p, z in groups.values())
+
+
+def test_ids_with_an_empty_row_beside_a_full_one(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(1, text), (1, ""), (2, text + " end"), (2, None), (3, text + " end"), (4, "other words")], "doc_id long, text string")
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in setsketch.near_duplicates(d).collect())
+    assert out == [(1, 0, 1), (1, 59, 1), (2, 0, 2), (2, 60, 1), (3, 60, 1), (4, 1, 4)]
+
+
 def test_rare_shingles_of_partners_meet(spark):
     rng = np.random.default_rng(4)
     a = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))

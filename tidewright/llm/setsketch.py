@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import by_bytes, mix64, plain_names, small_batches, span_hashes, text_bytes, words_of, written
@@ -36,8 +36,8 @@ MARGIN = 0.22
 #: Hashes of a set that its block holds: smaller sets are whole there. MARGIN's like for such a sample.
 SAMPLE = 256
 SAMPLE_MARGIN = 0.13
-#: Members of a bucket that are compared with as many others at a time, and blocks that one task
-#: of a large bucket compares the rest with.
+#: Members of a bucket that are compared with as many others at a time, and blocks that one cell
+#: of a large bucket has.
 BLOCK, TURN = 64, 8
 #: Counters of shingles by hash, for their order by rarity: 8 bytes each go to every executor.
 SLOTS = 1 << 20
@@ -231,35 +231,59 @@ def block_links(p: pa.StructArray, z: pa.StructArray, percent: int, band: int) -
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def across_blocks(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that ``block_links`` finds between the ``rest`` and the ``met`` of each bucket.
-    Buckets are dealt into blocks of about BLOCK members; a row is a pair of blocks. A bucket's
-    blocks are dealt over tasks in turns of about TURN, and the rest goes to each turn: no task
-    has all pairs of a bucket."""
-    turns = F.ceil(F.col("blocks") / TURN)
-    every = apart.where("met").groupBy("key", "block", F.pmod("block", turns).alias("turn")).agg(F.collect_list("x").alias("z")).drop("block")
-    rest = apart.where("rest").groupBy("band", "key", "block", turns.alias("turns")).agg(F.collect_list("x").alias("p"))
-    rest = rest.select("band", "key", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"))
+def cells(rest: Column, met: Column, n_rest: Column, n_met: Column, turn: int) -> Column:
+    """The cells (turn, i, j, rest, met) of a group that one of its members goes to. The group's ``rest``
+    is dealt over about n_rest / (BLOCK TURN / 2) rows, its ``met`` over about n_met / (BLOCK TURN) columns:
+    a member of the rest goes to its whole row, one of the met to its whole column, to the cell where
+    these cross once. No ``rest``, no cells."""
+    h = F.xxhash64("doc_id", "key")
+    rows, columns = F.ceil(n_rest / (BLOCK * TURN // 2)), F.ceil(n_met / (BLOCK * TURN))
+    i, j = F.pmod(h, F.greatest(rows, F.lit(1))), F.pmod(h, F.greatest(columns, F.lit(1)))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1)
+    cell = lambda i, j, rest, met: F.struct(F.lit(turn).alias("turn"), i.alias("i"), j.alias("j"), rest.alias("rest"), met.alias("met"))
+    along = F.transform(upto(columns), lambda k: cell(i, k, F.lit(True), met & (k == j)))
+    down = F.transform(F.filter(upto(rows), lambda k: ~(rest & (k == i))), lambda k: cell(k, j, F.lit(False), F.lit(True)))
+    none = F.slice(along, 1, 0)
+    return F.concat(F.when(rest, along).otherwise(none), F.when(met & (n_rest > 0), down).otherwise(none))
+
+
+def across_blocks(placed: DataFrame, mixed: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that ``block_links`` finds in the ``mixed_groups`` of ``placed``: the rest that is first
+    with all members, and the rest that is not with those that are. ``payload`` has low and regs of each
+    doc_id. A cell of a group meets by one aggregate, about BLOCK TURN members by half as many; it is
+    compared in blocks. There is no join of members with members: one that deals the two sides of a large
+    group anew makes as many tasks as the product of their pieces."""
+    outside, first = F.col("comp") != F.col("main"), F.col("first")
+    where = F.concat(cells(outside & first, F.lit(True), F.col("ahead"), F.col("total"), 0), cells(outside & ~first, first, F.col("rest") - F.col("ahead"), F.col("f"), 1))
+    dealt = placed.join(mixed, "key").select("band", "key", "doc_id", "n", "comp", where.alias("cells")).where(F.size("cells") > 0)
+    dealt = dealt.join(payload, "doc_id").select("band", "key", "doc_id", "n", "comp", "low", "regs", F.explode("cells").alias("at"))
+    x = F.struct("doc_id", "n", "comp", "low", "regs", "at.rest", "at.met")
+    groups = dealt.groupBy("band", "key", "at.turn", "at.i", "at.j").agg(F.collect_list(x).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [block_links(p.values, z.values, percent, band.as_py()) for p, z, band in zip(*batch.columns, strict=True)]
+            found = []
+            for band, x in zip(*batch.columns, strict=True):
+                p, z = x.values.filter(x.values.field("rest")), x.values.filter(x.values.field("met"))
+                for i in range(0, len(p), BLOCK):
+                    found += [block_links(p[i : i + BLOCK], z[j : j + BLOCK], percent, band.as_py()) for j in range(0, len(z), BLOCK)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rest.join(every, ["key", "turn"]).select("p", "z", "band").mapInArrow(run, "a long, b long")
+    return groups.select("band", "x").mapInArrow(run, "a long, b long")
 
 
 def mixed_groups(placed: DataFrame) -> DataFrame:
-    """(key, total, main, work) of each group of ``placed`` (key, comp, first, ..) with several
-    components and a ``first`` member: its members, its largest component, and how many comparisons
-    bring its rest, the members outside that component, together with all, one of two being first."""
+    """(key, total, f, main, rest, ahead, work) of each group of ``placed`` (key, comp, first, ..) with several
+    components and a ``first`` member: its members, the first ones, its largest component, the members outside
+    it, the first ones of these, and how many comparisons bring this rest together with all, one of two
+    being first."""
     shares = placed.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum(F.col("first").cast("long")).alias("f"))
     mixed = shares.groupBy("key").agg(F.sum("k").alias("total"), F.sum("f").alias("f"), F.max(F.struct("k", "comp", "f")).alias("m"))
     rest = F.col("total") - F.col("m.k")
     ahead = F.col("f") - F.col("m.f")
     work = ahead.cast("double") * F.col("total") + (rest - ahead).cast("double") * F.col("f")
-    return mixed.where((rest > 0) & (F.col("f") > 0)).select("key", "total", F.col("m.comp").alias("main"), work.alias("work"))
+    return mixed.where((rest > 0) & (F.col("f") > 0)).select("key", "total", "f", F.col("m.comp").alias("main"), rest.alias("rest"), ahead.alias("ahead"), work.alias("work"))
 
 
 def comparisons(mixed: DataFrame) -> float:
@@ -367,9 +391,13 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     wanted = docs.join(needed, "doc_id", "left_semi")
     twice = filled.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
     twice = written(twice.select("doc_id"), "repeated")
-    if not twice.isEmpty():  # rows that repeat an id: each of its texts once
+    repeated = not twice.isEmpty()
+    if repeated:  # rows that repeat an id: each of its texts once
         wanted = wanted.join(twice, "doc_id", "left_anti").unionByName(wanted.join(twice, "doc_id", "left_semi").distinct())
-    sets = written(full_sets(wanted, size), "sets").join(reps.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "items")
+    sets = written(full_sets(wanted, size), "sets").where(F.length("items") > 0)
+    if repeated:  # else each id has one set, its representative's
+        sets = sets.join(reps.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
+    sets = sets.select("doc_id", "items")
     found = written(verified(tried, sets, percent), "links")
     roots = components(found)
 
@@ -377,18 +405,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     placed = members.select("band", "key", "doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = written(placed.select("band", "key", "doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), F.lit(True).alias("first")), "placed")
     mixed = written(mixed_groups(placed), "mixed")
-    low = sets.select("doc_id", F.substring("items", 1, 8 * SAMPLE).alias("low"))
-
-    def across(placed: DataFrame, mixed: DataFrame, all_first: bool = True) -> DataFrame:
-        mixed = mixed.select("key", F.ceil(F.col("total") / BLOCK).alias("blocks"), "main")
-        apart = placed.join(mixed, "key").join(low, "doc_id").join(reps.select("doc_id", "regs"), "doc_id")
-        block = F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks"))
-        x = F.struct("doc_id", "n", "comp", "low", "regs").alias("x")
-        apart = written(apart.select("band", "key", "blocks", block.alias("block"), x, (F.col("comp") != F.col("main")).alias("outside"), "first"), "apart")
-        ahead = apart.withColumn("rest", F.col("outside") & F.col("first")).withColumn("met", F.lit(True))
-        behind = apart.withColumn("rest", F.col("outside") & ~F.col("first")).withColumn("met", F.col("first"))
-        found = across_blocks(ahead, percent)
-        return found if all_first else found.unionByName(across_blocks(behind, percent))
+    payload = sets.select("doc_id", F.substring("items", 1, 8 * SAMPLE).alias("low")).join(reps.select("doc_id", "regs"), "doc_id")
 
     large = F.col("total") > BLOCK * TURN
     crowd = placed.join(mixed.where(large), "key", "left_semi").groupBy("doc_id").agg(F.min("comp").alias("comp"))
@@ -397,8 +414,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
         rare = written(rare_shingles(crowd.join(sets, "doc_id"), percent), "rare")
         fewer = written(mixed_groups(rare), "mixed")
         if comparisons(fewer) < comparisons(mixed.where(large)):
-            met = across(placed, mixed.where(~large)).unionByName(across(rare, fewer, all_first=False))
-    met = across(placed, mixed) if met is None else met
+            met = across_blocks(placed, mixed.where(~large), payload, percent).unionByName(across_blocks(rare, fewer, payload, percent))
+    met = across_blocks(placed, mixed, payload, percent) if met is None else met
     second = written(met.distinct(), "second").join(stars, ["a", "b"], "left_anti")
     more = written(verified(second, sets, percent), "links")
     if not more.isEmpty():
