@@ -42,6 +42,23 @@ def test_families_of_all_keys_are_those_of_each(spark, branch_growth):
         assert {b: sorted(ks) for b, ks in got.get(key, {}).items()} == want
 
 
+def test_many_families_take_few_jobs(spark):
+    """Hundreds of families in a key, some modes many times: jobs don't grow with them."""
+    r = np.random.default_rng(12)
+    crowd = np.exp(1j * r.uniform(0.05, 3.0, 250)) * r.uniform(0.96, 1.04, 250)
+    same = np.repeat(np.exp(1j * np.array([0.37, 0.74, 1.11, 5.55])), 40)
+    modes = {0: np.concatenate((crowd, same)), 1: same, 2: np.array([1.0, 0.5], complex)}
+    spark.sparkContext.setJobGroup("families", "families")
+    got = {}
+    for row in spectral_keys.harmonic_families(table(spark, modes), ["key"], 0.1).collect():
+        got.setdefault(row.key, {}).setdefault(row.branch, []).append(row.k - 1)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("families")) < 40
+    for key, values in modes.items():
+        assert {b: sorted(ks) for b, ks in got.get(key, {}).items()} == spectral.harmonic_branches(values, 0.1)
+    assert len(got[0]) > 100
+
+
 def test_phase_and_amplitude_of_all_keys(spark):
     modes = mode_rows(6, 60)
     out, families = spectral_keys.phase_and_amplitude(table(spark, modes), ["key"], 0.1)

@@ -1,15 +1,16 @@
 """Spectra of many operators at once: a table of modes (keys, k, re, im), k from 1 in each key.
 
-One operator for each key is solved in a group of its own; everything that follows, the choice of modes,
-their powers and families, are joins and aggregates over all keys together. Families take rounds: each
-round gives every key that has a mode left one more family.
+One operator for each key is solved in a group of its own; what follows, the choice of modes and their
+powers, are joins and aggregates over all keys together. All families of a key are a walk over its modes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,32 +100,109 @@ def phase_and_amplitude(modes: DataFrame, by: Sequence[str], dt: float, tol_unit
     return out, family.join(both.select(*by, "base"), [*by, "base"])
 
 
+class Places:
+    """Different points of the plane with the lowest k at each, in leaves of neighbouring ones: what is
+    looked for near a target is in the leaves whose boxes reach there."""
+
+    def __init__(self, re: np.ndarray, im: np.ndarray, k: np.ndarray):
+        order = np.lexsort((k, im, re))
+        re, im, k = re[order], im[order], k[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (re[1:] != re[:-1]) | (im[1:] != im[:-1])
+        self.re, self.im, self.k = re[new], im[new], k[new]
+        size, todo, leaves = max(32, math.isqrt(len(self.k))), [np.arange(len(self.k))] if len(k) else [], []
+        while todo:
+            part = todo.pop()
+            if len(part) <= size:
+                leaves.append(part)
+                continue
+            c = self.re if np.ptp(self.re[part]) >= np.ptp(self.im[part]) else self.im
+            half = np.argpartition(c[part], len(part) // 2)
+            todo += [part[half[: len(part) // 2]], part[half[len(part) // 2 :]]]
+        self.leaves = leaves
+        self.boxes = [np.array([f(v[x]) for x in leaves]) for v in (self.re, self.im) for f in (np.min, np.max)]
+        self.first = np.array([self.k[x].min() for x in leaves])
+
+    def away(self, x: float, y: float) -> np.ndarray:
+        """What a point of each leaf is away at least; rounding keeps the order."""
+        left, right, low, high = self.boxes
+        u, v = np.maximum(np.maximum(left - x, x - right), 0), np.maximum(np.maximum(low - y, y - high), 0)
+        return np.sqrt(u * u + v * v)
+
+    def distances(self, leaf: int, x: float, y: float) -> tuple[np.ndarray, np.ndarray]:
+        at = self.leaves[leaf]
+        u, v = self.re[at] - x, self.im[at] - y
+        return np.sqrt(u * u + v * v), self.k[at]
+
+    def nearest(self, x: float, y: float, reach: float) -> int | None:
+        """The k of the least (distance, k), if that distance is under ``reach``."""
+        away, best = self.away(x, y), (math.inf, 0)
+        near = np.flatnonzero(away < reach)
+        for leaf in near[np.argsort(away[near])]:
+            if away[leaf] > best[0]:
+                break
+            d, k = self.distances(leaf, x, y)
+            best = min(best, (float(d.min()), int(k[d == d.min()].min())))
+        return best[1] if best[0] < reach else None
+
+    def lowest(self, x: float, y: float, reach: float) -> int | None:
+        """The lowest k nearer than ``reach``."""
+        near, best = np.flatnonzero(self.away(x, y) < reach), None
+        for leaf in near[np.argsort(self.first[near])]:
+            if best is not None and self.first[leaf] > best:
+                break
+            d, k = self.distances(leaf, x, y)
+            if (d < reach).any():
+                found = int(k[d < reach].min())
+                best = found if best is None else min(best, found)
+        return best
+
+    def family(self, re: float, im: float, tol: float, max_harmonic: int, growth: float) -> set[int]:
+        """``families_of`` for a base at (re, im), without the base."""
+        r, a = math.sqrt(re * re + im * im), math.atan2(im, re)
+        out = {self.lowest(r * math.cos(a), -(r * math.sin(a)), tol)} if max_harmonic > 0 else set()
+        for h in range(2, max_harmonic + 1):
+            x, y, reach = math.pow(r, h) * math.cos(h * a), math.pow(r, h) * math.sin(h * a), tol * math.pow(growth, h - 1)
+            out |= {self.nearest(x, y, reach), self.nearest(x, -y, reach)}
+        return out - {None}
+
+
 def harmonic_families(modes: DataFrame, by: Sequence[str], dt: float, mag_tol: float = 0.05, tol: float = 0.05, growth: float = 1.5, branch_growth: float = 1.0, max_harmonic: int = 5) -> DataFrame:
     """(keys, branch, k): all harmonic families of each key, numbered from 1; families may share modes.
 
     The phase mode's family comes first, then that of the slowest mode on the circle that no
-    family has yet. Each tolerance is ``branch_growth`` times the last. A round is written."""
+    family has yet. Each tolerance is ``branch_growth`` times the last. What comes next depends on all
+    that came before, so that a task walks a key's modes from the slowest on, once; it holds them, some
+    tens of bytes each. Equal modes share one search."""
     by = list(by)
-    modes = written(modes.select(*by, "k", "re", "im"), "modes")
+    modes = written(modes.select(*by, "k", "re", "im").dropna(), "modes")
     _, first = phase_and_amplitude(modes, by, dt, tol_harmonic=tol, max_harmonic=max_harmonic)
-    out = written(first.select(*by, F.lit(1).alias("branch"), "k"), "branch")
-    parts, done = [out], out
-    left = modes.where(on_the_circle(mag_tol))
-    while True:
-        left = written(left.join(done.select(*by, "k"), [*by, "k"], "left_anti"), "left")
-        if not left.limit(1).count():
-            break
-        slow = left.groupBy(*by).agg(F.min(F.struct("im", "k")).alias("s")).select(*by, F.col("s.k").alias("base"))
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        so_far = every.groupBy(*by).agg(F.max("branch").alias("n"))
-        bases = slow.join(so_far, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        bases = written(bases.withColumn("tol", F.lit(float(tol)) * F.pow(F.lit(float(branch_growth)), F.col("n"))), "bases")
-        found = families_of(modes, bases.drop("n"), by, max_harmonic, growth).join(bases.select(*by, "base", "n"), [*by, "base"])
-        done = written(found.select(*by, (F.col("n") + 1).cast("int").alias("branch"), "k"), "branch")
-        parts.append(done)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every
+    first = first.select(*by, "k", F.lit(True).alias("phase"))
+    flagged = modes.withColumn("circle", on_the_circle(mag_tol)).join(first, [*by, "k"], "left")
+
+    def walk(group: pa.Table) -> pa.Table:
+        k, re, im = (group.column(c).to_numpy() for c in ("k", "re", "im"))
+        head = k[group.column("phase").is_valid().to_numpy()]
+        base = np.flatnonzero(group.column("circle").to_numpy())
+        base = base[np.lexsort((k[base], im[base]))]
+        finite = np.isfinite(re) & np.isfinite(im)  # nothing else is near anything
+        places = Places(re[finite], im[finite], k[finite])
+        taken, n = set(head.tolist()), int(len(head) > 0)
+        branch, members = [1] * len(head), sorted(taken)
+        known: dict[tuple[float, float], set[int]] = {}
+        for one, x, y in zip(k[base].tolist(), re[base].tolist(), im[base].tolist(), strict=True):
+            if one in taken:
+                continue
+            if branch_growth != 1 or (x, y) not in known:
+                known = known if branch_growth == 1 else {}
+                known[x, y] = places.family(x, y, tol * math.pow(branch_growth, n), max_harmonic, growth)
+            own = sorted(known[x, y] | {one})
+            n += 1
+            branch += [n] * len(own)
+            members += own
+            taken.update(own)
+        same = {c: pa.repeat(group.column(c)[0], len(members)) for c in by}
+        return pa.table({**same, "branch": pa.array(branch, pa.int32()), "k": pa.array(members, group.column("k").type)})
+
+    types = dict(modes.dtypes)
+    return flagged.groupBy(*by).applyInArrow(walk, ", ".join(f"`{c}` {types[c]}" for c in by) + f", branch int, k {types['k']}")
