@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import diagnostics, fit, kernel_cg, spectral, spectral_keys
+from tidewright.operators import diagnostics, fit, kernel_cg, kernel_nodes, spectral, spectral_keys
+from tidewright.shared import shared_root
 
 # --- many spectra at once -----------------------------------------------------------------
 
@@ -134,6 +135,48 @@ def test_kernel_limits_and_reports(spark):
     assert (kernel_cg.solve_kernel(same, 1.0, 1e-2, landmarks=5).residual < 1e-8).all()
 
 
+@pytest.mark.parametrize("low,high,sigma", [([0.0], [30.0], 1.0), ([0.0, -1.0], [5.8, 4.0], 1.0), ([-1.0, 0.0, 3.0], [1.0, 1.0, 3.0], 0.9), ([2.0, 2.0], [2.0, 2.0], 0.1)])
+def test_features_make_the_kernel_to_rounding(low, high, sigma):
+    low, high = np.array(low), np.array(high)
+    x = np.vstack((low, high, np.random.default_rng(2).uniform(low, high, (400, len(low)))))
+    c = kernel_nodes.node_features(low, high, sigma)(x)
+    assert np.abs(c @ c.T - np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * sigma * sigma))).max() < 1e-13
+    assert kernel_nodes.node_features(low - 1e3, high + 1e3, sigma) is None and kernel_nodes.node_features(low * np.nan, high, sigma) is None
+
+
+def folders(spark, name):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{name}-*")
+    return len(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def test_a_box_of_few_widths_is_solved_without_pairs(spark):
+    r = np.random.default_rng(9)
+    x, alpha = r.uniform(0, 4, (2500, 2)), 1e-3
+    y = np.stack((np.sin(x[:, 0]), r.normal(size=2500)), 1)
+    rows = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "t long, x array<double>, y array<double>").repartition(5)
+    before = folders(spark, "blocks")
+    found = kernel_cg.solve_kernel(rows, 1.0, alpha, landmarks=50, tol=1e-8, block=600)
+    assert found.passes <= 2 and (found.residual <= 1e-8).all() and folders(spark, "blocks") == before
+    k = kernel_cg.gaussian(x, x, 1.0)
+    w = np.linalg.solve(k + alpha * np.eye(2500), y)
+    got = np.zeros_like(w)
+    for b in found.blocks.collect():
+        got[np.frombuffer(b["keys"], "<i8")] = kernel_cg.unpacked(b["p"], 2)
+    assert np.linalg.norm((k + alpha * np.eye(2500)) @ got - y) <= 1e-8 * np.linalg.norm(y)
+    for at in (x[:60], x[:60] + 3.0):  # the second leaves the box
+        points = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(at)], "t long, x array<double>")
+        out = np.array([q.y for q in found.evaluate(points).orderBy("t").collect()])
+        assert np.allclose(out, kernel_cg.gaussian(at, x, 1.0) @ w, atol=1e-5)
+
+
+def test_a_pass_over_pairs_leaves_one_state(spark):
+    x = np.random.default_rng(1).normal(size=(300, 5))
+    rows = spark.createDataFrame([(i, a.tolist(), a[:1].tolist()) for i, a in enumerate(x)], "t long, x array<double>, y array<double>")
+    before = folders(spark, "cg"), folders(spark, "blocks")
+    found = kernel_cg.solve_kernel(rows, 1.0, 0.1, landmarks=20, block=150)
+    assert found.passes > 2 and (folders(spark, "cg"), folders(spark, "blocks")) == (before[0] + 1, before[1])
+
+
 def test_small_kernel_fits_refer_to_it(spark, monkeypatch):
     monkeypatch.setattr(fit, "MAX_LANDMARKS", 10)
     rows = spark.createDataFrame([(i, [0.1 * i], [0.1]) for i in range(30)], "t long, x array<double>, y array<double>")
