@@ -1,5 +1,11 @@
+import gc
+import os
+import threading
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.operators import neighbours
 from tidewright.operators.neighbours import Counted, asked_rings, median_distance, nearest_neighbours
@@ -53,6 +59,71 @@ def test_clusters_compare_a_small_share_of_all_pairs(spark):
     assert found.count() == 6000 and compared < 0.1 * 6000 * 6000
 
 
+def on_disk(spark):
+    """Bytes of shuffles and of tables in the shared folder, when Spark has dropped what nothing refers to."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+    return held(spark)
+
+
+def held(spark):
+    tops = [spark.conf.get(c).removeprefix("file:") for c in ("spark.local.dir", "spark.checkpoint.dir")]
+    files = [f"{d}/{f}" for top in tops for d, _, names in os.walk(top) for f in names]
+    return sum(os.path.getsize(f) for f in files if os.path.exists(f))
+
+
+def test_disk_follows_the_rows(spark):
+    """Random points of 64 dimensions meet all others, and are not copied for it."""
+    points = table(spark, np.random.default_rng(4).uniform(-1, 1, (8000, 64))).persist()
+    assert points.count() == 8000
+    before = on_disk(spark)
+    counted = nearest_neighbours(points).agg(F.count("nn"))
+    assert counted.collect()[0][0] == 8000
+    assert on_disk(spark) - before < 8 * 8000 * 64 * 8  # while the result is held, and with it what it was made of
+    points.unpersist()
+    del counted
+
+
+def test_the_medians_disk_follows_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 256)
+    x = np.random.default_rng(4).uniform(-1, 1, (6000, 64))
+    points = table(spark, x).toDF("key", "x").persist()
+    assert points.count() == 6000
+    before, peak, over = on_disk(spark), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.1):
+            peak[0] = max(peak[0], held(spark))
+
+    tops = threading.Thread(target=watch)
+    tops.start()
+    median_distance(points)
+    over.set()
+    tops.join()
+    assert peak[0] - before < 16 * 6000 * 64 * 8  # all passes, of which each deals the rows out twice
+    points.unpersist()
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_many_chunks_and_turns(spark, monkeypatch, kind):
+    """Rings larger than a chunk, keys that repeat, and several turns of the right side."""
+    monkeypatch.setattr(neighbours, "CHUNK", 64)
+    monkeypatch.setattr(neighbours, "CHUNKS", 64)
+    monkeypatch.setattr(neighbours, "TURN", 3)
+    monkeypatch.setattr(neighbours, "MAX_PIVOTS", 3)
+    r = np.random.default_rng(17)
+    x = np.vstack((r.normal(size=(300, 6)), np.repeat(r.normal(size=(2, 6)), 150, 0))).astype(np.float32).astype(float)
+    keys = r.permutation(np.append(np.arange(590), [3, 3, 5, 7, 7, 7, 11, 13, 17, 19]))
+    points = table(spark, x, keys).withColumn("s", F.col("s").cast(f"array<{kind}>"))
+    d, want = np.sqrt(neighbours.exact_squares(x, x)), {}
+    for i, k in enumerate(keys):
+        want[int(k)] = min([want.get(int(k), (np.inf, 0)), *[(d[i, j], int(keys[j])) for j in range(len(keys)) if keys[j] != k]])
+    assert {q.t: (q.distance, q.nn) for q in nearest_neighbours(points).collect()} == want
+    assert median_distance(points.toDF("key", "x")) == plain_median(x, keys)
+
+
 def test_few_and_no_points(spark):
     assert nearest_neighbours(table(spark, np.zeros((1, 2)))).count() == 0
     assert nearest_neighbours(table(spark, np.zeros((1, 2))).limit(0)).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.vectors import EPS
 from tidewright.operators.embedding import haloed, ranked
-from tidewright.operators.neighbours import median_distance
+from tidewright.operators.neighbours import floats, median_distance
 
 #: Points whose pairwise distances give an automatic width, as in the reference; a documented bound.
 SIGMA_POINTS = 1000
@@ -64,7 +64,7 @@ def normalize_vector(df: DataFrame, value: str, by: Sequence[str] = (), lb: floa
 def median_sigma(df: DataFrame, value: str = "x", key: str = "t", n_sample: int | None = SIGMA_POINTS, seed: int = 0) -> float:
     """Exact median of the pairwise distances of at most ``n_sample`` rows, all where there are no
     more or it is None; 1.0 for fewer than two rows."""
-    points = df.select(F.col(key).alias("key"), F.col(value).cast("array<double>").alias("x"))
+    points = df.select(F.col(key).alias("key"), floats(df, value).alias("x"))
     if n_sample is not None:
         points = points.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(n_sample)
     out = median_distance(points)

@@ -560,7 +560,7 @@ def zero_level_set(spark, sf_dir):
 @query("""WITH p AS (SELECT vec_id AS t, embedding::DOUBLE[] AS x FROM embeddings), d AS (SELECT a.t, b.t AS nn, list_distance(a.x, b.x) AS d FROM p a JOIN p b ON a.t <> b.t)
 SELECT t, arg_min(nn, (d, nn)) AS nn, round(min(d), 6) + 0.0::DOUBLE AS distance FROM d GROUP BY t""")
 def nearest_embeddings(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("s"))
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.col("embedding").alias("s"))
     return diagnostics.nearest_neighbours(e).select("t", "nn", rounded("distance").alias("distance"))
 
 
